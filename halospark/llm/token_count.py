@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = Counter(text.split())
                 if len(known) > NODES:
                     known.clear()
-                for w in words.keys() - known.keys():
+                for w in [w for w in words if w not in known]:
                     known[w] = trie.count(MARK + w)
                 out.append((sum(words.values()), sum(n * known[w] for w, n in words.items()), len(text.encode("utf-8", "surrogatepass"))))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.int64()) for k in range(3))], names=["id", "n_pretokens", "n_tokens", "n_bytes"])
