@@ -17,8 +17,8 @@ from .common import table
 
 MARK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-#: Nodes of a task's trie; a full trie is begun anew, which costs time, not results.
-NODES = 600_000
+#: Nodes of a task's trie and words whose counts it remembers; what is full is begun anew, which costs time, not results.
+NODES, KNOWN = 1_200_000, 600_000
 #: Log score of a byte token, of which a character outside the vocabulary takes one for each of its UTF-8 bytes.
 BYTE = -20.0
 
@@ -81,7 +81,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in b.column(1):
                 text = text.as_py() or ""
                 words = Counter(text.split())
-                if len(known) > NODES:
+                if len(known) > KNOWN:
                     known.clear()
                 for w in [w for w in words if w not in known]:
                     known[w] = trie.count(MARK + w)
