@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ def seen_by(particles: DataFrame, observers: DataFrame, box: int, low: int, high
     """Particles with iobs, their position from the observer (dx, dy, dz; nearest image) and r2, where low^2 <= r2 < high^2.
 
     first: only the first observer, in the order of iobs, of each particle. observers: a fixed list, broadcast."""
-    rows = particles.join(F.broadcast(observers), F.expr(f"pmod(z - oz, {box}) < {high} or pmod(oz - z, {box}) < {high}"))
+    n = max(1, box // high)  # cells at least as wide as the reach; the last one may be wider
+    cell = lambda c: F.least(F.floor(F.col(c) * n / box), F.lit(n - 1)).cast("long")
+    around = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abc", o))) for o in product((-1, 0, 1), repeat=3)))
+    near = observers.withColumn("_o", F.explode(around)).withColumns({f"_{c}": F.pmod(cell(f"o{c}") + F.col(f"_o.{k}"), F.lit(n)) for c, k in zip("xyz", "abc")}).drop("_o").distinct()
+    rows = particles.withColumns({f"_{c}": cell(c) for c in "xyz"}).join(F.broadcast(near), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
     d = {f"d{c}": min_image_signed(F.col(c) - F.col(f"o{c}"), box) for c in "xyz"}
     rows = rows.withColumns(d).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
     rows = rows.filter((F.col("r2") >= low * low) & (F.col("r2") < high * high)).drop("ox", "oy", "oz")

@@ -121,7 +121,7 @@ def unwrap(members: DataFrame, b: int, box: int, group: str = "hid") -> DataFram
         gaps = flagged.withColumn("_gap", F.coalesce(gap, F.lit(0)))
         gaps = gaps.withColumn("_above", F.max("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         moved = gaps.withColumn(c, F.when(F.col("_above") == 1, F.col(c) - box).otherwise(F.col(c))).drop("_gap", "_above")
-        members = members.join(touch, group, "left_anti").unionByName(moved)
+        members = cut(members.join(touch, group, "left_anti").unionByName(moved))
     return members
 
 

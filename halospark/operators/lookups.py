@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def snapshot_schedule(steps: DataFrame, wanted: list[float], amax: float, astep: float) -> DataFrame:
     """Steps (step, a) at least as near to one of the wanted redshifts as the steps before and after."""
@@ -42,7 +44,7 @@ def load_imbalance(df: DataFrame, by=None) -> DataFrame:
 
 def repartition_slabs(df: DataFrame, parts: int, col: str = "z") -> tuple[DataFrame, DataFrame]:
     """O3: df in `parts` ranges of about equal counts, and their bounds."""
-    ranged = df.repartitionByRange(parts, col).withColumn("slab", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(parts, col).withColumn("slab", F.spark_partition_id()))
     return ranged, ranged.groupBy("slab").agg(F.min(col).alias("low"), F.max(col).alias("high"), F.count("*").alias("n"))
 
 
