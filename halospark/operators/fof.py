@@ -68,11 +68,9 @@ def _blocks(df: DataFrame, b: int, box: int, edge: int) -> DataFrame:
 
 
 def block_edge(b: int, box: int, blocks: int) -> int:
-    """The edge of at most `blocks` blocks per axis, at least 3, each over 2 b wide."""
-    n = max(3, min(blocks, box // (2 * b + 1)))
-    while n > 1 and box % n:
-        n -= 1
-    return box // max(1, n)
+    """The edge of about `blocks` blocks per axis, at least 3, that divide the box and are over 2 b wide."""
+    fit = [n for n in range(3, max(4, box // (2 * b + 1) + 1)) if box % n == 0]
+    return box // max([n for n in fit if n <= blocks] or fit[:1] or [1])
 
 
 def fof_groups(particles: DataFrame, b: int, box: int, blocks: int = 8, key: str = "indx") -> DataFrame:
