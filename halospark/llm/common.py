@@ -1,13 +1,15 @@
-"""What the text operators share: normalising, shared scratch tables, skew-safe joins, components."""
+"""What the text operators share: normalising and skew-safe joins; scratch tables and components are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..scratch import cut, shared_dir
+
+__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "cut", "shared_dir", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A key that holds more than one row in HOT_SHARE is hot; so there are at most HOT_SHARE hot keys.
@@ -23,25 +25,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_dir.get()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns the written table: later stages, and a rerun after a lost executor, start from it."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def attach(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """left LEFT JOIN right on non-null keys, whole under skew. right has a row for each key, and in `size` the number of left
     rows with it. Keys with over total/HOT_SHARE rows, at most HOT_SHARE of them, are broadcast; their rows of left are not shuffled."""
@@ -50,28 +33,3 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], size: str, total:
     if hot.isEmpty():
         return left.join(right, keys, "left")
     return left.join(hot, keys).unionByName(left.join(hot, keys, "left_anti").join(cold, keys, "left"))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) long pairs -> (node, root): the smallest node of each connected component, for every node named by a pair.
-
-    Alternates large-star and small-star steps, each an aggregation and a join on a node; the edge table is written after
-    every round. Nulls and loops are ignored; an empty input gives an empty table."""
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = now
-    state = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct())
-        # settled when a round changes nothing
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        state = seen
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

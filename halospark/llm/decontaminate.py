@@ -34,7 +34,7 @@ def words_of(text: str | None) -> list[str]:
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

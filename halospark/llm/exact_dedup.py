@@ -58,15 +58,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that exact_duplicates() keeps, one for each text, with all columns."""
     found = exact_duplicates(docs, id_col, text_col, keep).filter("group_size > 1")
     pairs = cut(found.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")))
-    digest = docs.withColumn("_sha", F.sha2(_norm(text_col), 256))
-    same = lambda p: digest[id_col].eqNullSafe(p["_id"]) & (digest["_sha"] == p["_digest"])
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(_norm(text_col), 256).alias("sha"))
+    same = lambda p: rows["id"].eqNullSafe(p["_id"]) & (rows["sha"] == p["_digest"])
     gone, again = pairs.filter("not _kept"), pairs.filter("_kept and _n > 1")
-    out = digest.join(gone, same(gone), "left_anti")
+    out = rows.join(gone, same(gone), "left_anti")
     if not again.isEmpty():  # rows that repeat an id and its text
-        one = digest.join(again, same(again), "left_semi").dropDuplicates([id_col, "_sha"])
+        one = rows.join(again, same(again), "left_semi").dropDuplicates(["id", "sha"])
         both = pairs.filter("not _kept or _n > 1")
-        out = digest.join(both, same(both), "left_anti").unionByName(one)
-    return out.drop("_sha")
+        out = rows.join(both, same(both), "left_anti").unionByName(one)
+    return out.select("row.*")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -89,16 +89,18 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **target) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with mix_epoch (from 0) and mix_key: sorted by these two, each
     source's rows come as its permutations. Rows that repeat an id have one key and come or go together. Null texts have no
-    tokens and come as their place among the others says. An empty table gives an empty mix."""
+    tokens and come as their place among the others says. Columns mix_epoch and mix_key of docs are replaced, others kept
+    whatever their names. An empty table gives an empty mix."""
     plan = plan_mix(docs, id_col, text_col, source_col, **target)
-    name = "_source_key"
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     n = plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    by_source = plan.select(key("source").alias(name), F.col("rows").alias("_rows"), F.col("epochs").alias("_epochs"), F.col("last_key").alias("_last"))
-    dealt = attach(docs.withColumn(name, key(source_col)), by_source, [name], "_rows", n)
-    more = F.coalesce((order_key(id_col, F.col("_epochs")) <= F.col("_last")).cast("int"), F.lit(0))
-    dealt = dealt.withColumn("_n", (F.col("_epochs") + more).cast("int")).filter("_n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return dealt.withColumn("mix_key", order_key(id_col, F.col("mix_epoch"))).select(*docs.columns, "mix_epoch", "mix_key")
+    by_source = plan.select(key("source").alias("s"), "rows", "epochs", "last_key")
+    kept = [c for c in docs.columns if c not in ("mix_epoch", "mix_key")]
+    rows = docs.select(F.struct(*(docs[c] for c in kept)).alias("row"), F.col(id_col).alias("id"), key(source_col).alias("s"))
+    dealt = attach(rows, by_source, ["s"], "rows", n)
+    more = F.coalesce((order_key("id", F.col("epochs")) <= F.col("last_key")).cast("int"), F.lit(0))
+    dealt = dealt.withColumn("n", (F.col("epochs") + more).cast("int")).filter("n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return dealt.select("row.*", "mix_epoch", order_key("id", F.col("mix_epoch")).alias("mix_key"))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

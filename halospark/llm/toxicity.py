@@ -61,7 +61,7 @@ class Classifier:
         for w in words_of(text):
             h = known.get(w)
             if h is None:
-                if len(known) > 600_000:
+                if len(known) > 300_000:
                     known.clear()
                 h = known[w] = self.hits(w)
             if h:
