@@ -19,7 +19,7 @@ from .common import cut, table
 #: Labelled rows of each label that are learnt from (those with the smallest hashes of their ids), features used, threshold.
 SAMPLE, FEATURES, THRESHOLD = 8000, 4000, 0.7
 FOLDS, HELD = 3, 1
-PENALTY, RIDGE, STEPS = 1.0, 2e-4, 400
+PENALTY, RIDGE, STEPS = 1.0, 2e-5, 400
 PREFIXES = (4, 5, 6)
 #: Identity terms, by group (fixed values); a term is swapped for the next of its group.
 IDENTITY = (
@@ -76,7 +76,7 @@ def choose(counts: DataFrame, positives: int, negatives: int, most: int = FEATUR
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     share = (p + n) / F.lit(float(positives + negatives))
     g2 = 2 * (term(p, share * positives) + term(n, share * negatives) + term(positives - p, (1 - share) * positives) + term(negatives - n, (1 - share) * negatives))
-    rows = counts.filter("pos + neg >= 3").withColumn("g2", g2).filter("g2 > 12").orderBy(F.desc("g2"), "feature").limit(most).collect()  # `most` rows
+    rows = counts.filter("pos + neg >= 3").withColumn("g2", g2).filter("g2 > 8").orderBy(F.desc("g2"), "feature").limit(most).collect()  # `most` rows
     return [r["feature"] for r in rows]
 
 
