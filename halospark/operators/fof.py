@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import cut
 from .graph import components
-from .pairs import HALF_SHELL, cells_per_axis
+from .pairs import HALF_SHELL
 
 
 def local_labels(ids: np.ndarray, pos: np.ndarray, b: float, box: int | None = None) -> np.ndarray:
