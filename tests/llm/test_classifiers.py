@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from halospark.llm import licenses, registry, secrets, toxicity

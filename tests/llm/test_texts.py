@@ -5,7 +5,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from halospark.llm import decontaminate as D
 from halospark.llm import lm_score as LM
