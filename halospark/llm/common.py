@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..scratch import cut, shared_dir
 
-__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "cut", "shared_dir", "table"]
+__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "cut", "drop_copies", "shared_dir", "table", "text_digest"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -25,6 +25,26 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_digest(text: str) -> Column:
+    """SHA-256, in hex, of the text with A-Z lower-cased; null counts as empty."""
+    return F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)
+
+
+def drop_copies(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that pairs drops. pairs: (_id, _digest, _kept, _n), each id and text_digest() once, with whether one
+    of its _n rows stays; the others go. Rows not in pairs stay. All columns of docs are kept, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_digest(text_col).alias("sha"))
+    same = lambda p: rows["id"].eqNullSafe(p["_id"]) & (rows["sha"] == p["_digest"])
+    # "merge": the copies grow with the rows, so the join is one that doesn't change with their size
+    gone, again = pairs.filter("not _kept").hint("merge"), pairs.filter("_kept and _n > 1")
+    out = rows.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():  # rows that repeat an id and its text
+        one = rows.join(again, same(again), "left_semi").dropDuplicates(["id", "sha"])
+        both = pairs.filter("not _kept or _n > 1").hint("merge")
+        out = rows.join(both, same(both), "left_anti").unionByName(one)
+    return out.select("row.*")
+
+
 def attach(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """left LEFT JOIN right on non-null keys, whole under skew. right has a row for each key, and in `size` the number of left
     rows with it. Keys with over total/HOT_SHARE rows, at most HOT_SHARE of them, are broadcast; their rows of left are not shuffled."""

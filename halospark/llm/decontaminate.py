@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, text_digest
 
 WORDS, CONTAINMENT, MISS = 5, 0.8, 1e-6
 #: Items broadcast at once, and their characters; more are searched in blocks, each over all documents.
@@ -161,9 +161,11 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item."""
-    gone = cut(contained_items(docs, items, id_col, text_col).select(F.col(id_col).alias("_id")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    """The rows of docs that hold no item, decided by each row's text: ids may be null or repeat."""
+    texts = docs.select(text_digest(text_col).alias("_digest"), F.col(text_col).alias("text"))
+    gone = cut(contained_items(texts, items, "_digest").select(F.col("_digest")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), text_digest(text_col).alias("sha"))
+    return rows.join(gone, rows["sha"] == gone["_digest"], "left_anti").select("row.*")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

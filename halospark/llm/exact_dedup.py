@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, drop_copies, table
 
 FAN = 16
 #: A digest counts as verified when the length and an independent 64-bit hash of the text agree too.
@@ -58,16 +58,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that exact_duplicates() keeps, one for each text, with all columns."""
     found = exact_duplicates(docs, id_col, text_col, keep).filter("group_size > 1")
     pairs = cut(found.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(_norm(text_col), 256).alias("sha"))
-    same = lambda p: rows["id"].eqNullSafe(p["_id"]) & (rows["sha"] == p["_digest"])
-    # "merge": the copies grow with the rows, so the join is one that doesn't change with their size
-    gone, again = pairs.filter("not _kept").hint("merge"), pairs.filter("_kept and _n > 1")
-    out = rows.join(gone, same(gone), "left_anti")
-    if not again.isEmpty():  # rows that repeat an id and its text
-        one = rows.join(again, same(again), "left_semi").dropDuplicates(["id", "sha"])
-        both = pairs.filter("not _kept or _n > 1").hint("merge")
-        out = rows.join(both, same(both), "left_anti").unionByName(one)
-    return out.select("row.*")
+    return drop_copies(docs, pairs, id_col, text_col)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

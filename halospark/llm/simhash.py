@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, table
+from .common import attach, components, cut, drop_copies, table, text_digest
 
 SEED, WORDS, RADIUS, TREE = 42, 3, 3, 20_000
 _SHIFT = np.arange(63, -1, -1, dtype=np.uint64)
@@ -168,10 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their group: one id of each group stays. Rows with a null id stay only in groups without other ids."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = cut(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    """One row of each group of near_duplicates(), that of its smallest id; null ids lose to any other. Rows are told apart by
+    id and text, so a null or repeated id takes no other row with it."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_digest(text_col).alias("sha"))
+    found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key")
+    pairs = found.groupBy("key").agg(F.max(F.col("key") == F.col("component_id")).alias("_kept"), F.count("*").alias("_n"))
+    return drop_copies(docs, cut(pairs.select(F.col("key.id").alias("_id"), F.col("key.sha").alias("_digest"), "_kept", "_n")), id_col, text_col)
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:

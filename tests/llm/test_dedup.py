@@ -156,3 +156,11 @@ def test_attach_is_whole_with_hot_keys(spark):
     right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k % 2 = 1")
     got = attach(left, right, ["k"], "n", 5000)
     assert got.count() == 5000 and got.filter("n is null").count() == 500
+
+
+def test_drop_near_copies_decides_by_row(spark):
+    """A null or repeated id of a dropped row takes no clean row with it, and a group of null ids keeps one row."""
+    near, alone, nulls = " ".join(f"a{k}" for k in range(300)), " ".join(f"b{k}" for k in range(300)), " ".join(f"c{k}" for k in range(300))
+    rows = [(1, near), (None, near + "\n"), (2, near + "\n\n"), (2, alone), (None, "clean row without an id"), (None, nulls), (None, nulls + "\n")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(got) == 4 and {(1, near), (2, alone), (None, "clean row without an id")} < set(got)

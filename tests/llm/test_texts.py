@@ -202,3 +202,11 @@ def test_lm_probabilities_sum_to_at_most_one(spark):
         a = (1 - LM.RETURN) * x / (x + y) + LM.RETURN * (1 - LM.RECENT)
         seen[w] += 1
     assert abs(one - total - math.log10(a * 0.05)) < 1e-9
+
+
+def test_drop_contaminated_decides_by_row(spark):
+    dirty = " ".join(words(30, 3))
+    rows = [(None, dirty, "a"), (None, "clean row without an id", "a"), (7, dirty, "a"), (7, "clean row of a repeated id", "a"), (8, None, "a")]
+    kept = D.drop_contaminated(frame(spark, rows), spark.createDataFrame([(1, dirty)], "item_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.filter("text is not null").collect()) == [(0, "clean row without an id"), (7, "clean row of a repeated id")]
+    assert kept.filter("text is null").count() == 1
