@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from halospark.llm import exact_dedup, simhash
+from halospark.llm import exact_dedup, near_copies, simhash
 from halospark.llm.common import attach, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _sha string, row long, fp long, n long, digest string, keep string"
@@ -164,3 +164,69 @@ def test_drop_near_copies_decides_by_row(spark):
     rows = [(1, near), (None, near + "\n"), (2, near + "\n\n"), (2, alone), (None, "clean row without an id"), (None, nulls), (None, nulls + "\n")]
     got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert len(got) == 4 and {(1, near), (2, alone), (None, "clean row without an id")} < set(got)
+
+
+def jaccard_groups(texts):
+    """Groups of numbers of texts by plain Jaccard similarity of all pairs that share a five-word shingle."""
+    import re
+
+    sets = []
+    for t in texts:
+        w = re.findall(r"\w+", (t or "").lower()) or (t or "").split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {""})
+    holders: dict = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    up = list(range(len(texts)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    pairs = 0
+    for k, s in enumerate(sets):
+        shared: dict = {}
+        for x in s:
+            for m in holders[x]:
+                if m < k:
+                    shared[m] = shared.get(m, 0) + 1
+        for m, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[m]) - n):
+                pairs += 1
+                a, b = root(k), root(m)
+                up[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(texts))], pairs
+
+
+def edited(rng, text, share):
+    w = text.split()
+    for k in rng.sample(range(len(w)), max(1, int(share * len(w)))):
+        w[k] = f"z{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("left", [1000, 0])
+def test_drop_similar_against_brute_force(spark, monkeypatch, left):
+    monkeypatch.setattr(near_copies, "LEFT", left)
+    monkeypatch.setattr(near_copies, "ROUNDS", 2)
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 30, 120, 400]))) for _ in range(40)]
+    for t in texts[:30]:
+        texts += [edited(rng, t, rng.choice([0.005, 0.01, 0.02, 0.03])) for _ in range(4)]
+    chain = texts[3]
+    for _ in range(12):
+        texts.append(chain := edited(rng, chain, 0.015))
+    texts += ["", None, " \n", "!!!", "???", "one", "One."]
+    roots, pairs = jaccard_groups(texts)
+    assert pairs > 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_copies.drop_similar(docs).collect()) == sorted(set(roots))
+
+
+def test_drop_similar_on_given_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    roots, _ = jaccard_groups([r["text"] for r in rows])
+    got = near_copies.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted({rows[k]["doc_id"] for k in roots})
