@@ -131,15 +131,22 @@ def findings(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col
 
 
 def forest(labelled: DataFrame, sample: int = SAMPLE):
-    """A random forest on (features, label) of at most `sample` rows, picked by their digest; None without rows of both labels."""
+    """A random forest on (features, label) of at most `sample` distinct findings; None without rows of both labels.
+
+    Findings alike in digest, features and label are one, weighted by their number. Each label is sampled apart, by a hash, and
+    gets half of the sample and what the other leaves; its weights then keep its share of all labelled findings."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = labelled.filter("label in (0, 1)").orderBy("digest", "start").limit(sample).select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"))
-    rows = cut(rows)
-    if rows.select("y").distinct().count() < 2:
+    rows = cut(labelled.filter("label in (0, 1)").groupBy("digest", "features", "label").agg(F.count("*").cast("double").alias("n")))
+    kinds = {r["label"]: r["many"] for r in rows.groupBy("label").agg(F.count("*").alias("many")).collect()}
+    if len(kinds) < 2:
         return None
-    return RandomForestClassifier(featuresCol="x", labelCol="y", predictionCol="_p", rawPredictionCol="_r", probabilityCol="_prob", numTrees=TREES, maxDepth=DEPTH, seed=7).fit(rows)
+    parts = [rows.filter(F.col("label") == y).orderBy(F.xxhash64("digest", "features"), "digest").limit(max(sample // 2, sample - kinds[1 - y])) for y in (0, 1)]
+    taken = cut(parts[0].unionByName(parts[1]))
+    scale = rows.groupBy("label").agg(F.sum("n").alias("all")).join(taken.groupBy("label").agg(F.sum("n").alias("part")), "label")
+    taken = cut(taken.join(F.broadcast(scale), "label").select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"), (F.col("n") * F.col("all") / F.col("part")).alias("w")))
+    return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", predictionCol="_p", rawPredictionCol="_r", probabilityCol="_prob", numTrees=TREES, maxDepth=DEPTH, seed=7).fit(taken)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:

@@ -139,3 +139,17 @@ def test_pipeline_is_its_stages(spark):
     last = corpus_pipeline.run(spark, SF)
     got = {r["doc_id"] for r in last.collect()}
     assert got <= want - dirty and len(got) > 0.8 * len(want - dirty) and set(docs.columns) < set(last.columns)
+
+
+def test_forest_sees_both_labels_under_many_copies(spark):
+    """One finding with more copies than the sample has rows, whose digest sorts first."""
+    def row(k, y):
+        return (f"{k:04x}", 0, [float(y)] * len(secrets.FEATURES), y)
+
+    labelled = spark.createDataFrame([row(0, 1)] * 100 + [row(k, k % 2) for k in range(1, 30)], "digest string, start long, features array<double>, label int")
+    model = secrets.forest(labelled, sample=20)
+    assert model is not None
+    from pyspark.ml.linalg import Vectors
+
+    assert [model.predict(Vectors.dense(row(0, y)[2])) for y in (0, 1)] == [0.0, 1.0]
+    assert secrets.forest(labelled.filter("label = 1"), sample=20) is None
