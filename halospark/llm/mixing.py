@@ -59,7 +59,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """A row for each source: source, rows, tokens, weight, quota (tokens), epochs (whole ones), last_key (of the next, null: none).
 
     budget: the mix's tokens as a multiple of those of docs. Tokens are words between ASCII white space; null text has none. A null source is
-    one of its own. A source without tokens takes no budget and is kept once. If even the natural shares repeat too often, they are taken."""
+    one of its own. A source without tokens takes no budget and is kept once. If even the natural shares repeat too often, they are taken.
+
+    entropy is a floor: the exponent is at most 1, so sources that are more even than that keep their natural shares."""
     rows = cut(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long").alias("tokens")))
     sources = cut(rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens")))
     total, most = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
