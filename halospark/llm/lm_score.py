@@ -1,47 +1,43 @@
 """Language-model scores by logistic context mixing over bits.
 
-A token is the bytes of a word and a space; a text's end is one line-feed byte. Bytes are predicted bit by bit. Each context
-order (the last 1, 2, 3, 4 and 6 bytes of the word so far) is a predictor: counts of zeros and ones in a table of hashed
-slots. A mixer adds the predictors' log odds with weights picked by a gate, the longest order whose context was seen together
-with the bit's position, and an adaptive table refines the mixed probability by context and probability. A gate mixes the
-probability of a token's bits with the token's share of the training tokens. The last gate mixes that with the token's share
-of the text so far, and adapts to which of both has predicted the text better.
-
-Learning is on the training rows only, over their vocabulary with counts, which grows with the corpus: counts of the words;
-counts of the slots; online gradient steps of the mixer and counts of the refinement; and the last gate by expectation
-maximisation, where each word is predicted without one occurrence of itself. Fixed shards by a word's hash learn on their own
-and are averaged, so the model does not depend on partitions. When scoring, what was learnt stands still and the last gate starts
-anew for each text, so a document's score depends on no other's, and each distinct word's bits are scored once. What is
-broadcast has fixed sizes: the slots, the mixer and HEAD frequent words with their scores. Those of rarer words are joined."""
+Frequent words, an escape and a text's end have a binary code, and a text is the bits of its words' codes. Predictors are the
+code alone and hashed contexts across words: the last word, the last two, and the last two words' endings. A mixer adds what
+they say with weights picked by a gate, and a table refines the result (context_mixing.py). While a text is scored, its copy
+of the weights goes on learning from what has been read of it.
+
+An escaped word is one that the text has escaped before, as often as it did, or a new one: (m or NOVEL * p) / (k + NOVEL)
+after k escapes, m of them this word. p is a share of the rarer training words, discounted, and what that leaves goes to
+words that training lacks; these are spelt, by bit predictors over the bytes of the word so far that learn from the rarer
+training words, each once.
+
+Learning is on the training rows only. Their words are all counted, and all their bits in tables summed block by block, so what is
+gathered grows with the corpus. The tables grow with the training tokens up to SLOT_BITS for a predictor, and HEAD words have
+codes, which bounds what is broadcast: a byte for each slot. Weights and refinement are learnt on one training row of TUNE, with
+codes and tables that lack these rows, in shards by a hash whose results are averaged; the tables then get all rows. So a document's score
+depends on no other scored row and not on the partitions."""
 
 from __future__ import annotations
 
+import itertools
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import attach, cut, table
+from .context_mixing import BLOCK, Events, Mixer, SpellingContexts, WordContexts, inputs, online, ranges
 
-ORDERS = (1, 2, 3, 4, 6)
-SLOT_BITS = (16, 18, 19, 19, 20)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
-GATES = len(ORDERS) * 8
-BINS, REFINE = 24, 256 * 24
-RATE, PRIOR, HEAD, SHARDS = 0.3, 0.4, 300_000, 24
-#: Words that a task counts the slots of; each task gives a row for each slot it has seen, so there are COUNT_TASKS at least and ten times more at most.
-COUNT_WORDS, COUNT_TASKS = 2_000_000, 8
-BATCH_BYTES, LEARN_WORDS = 4096, 8192
-SPACE, END = 0x20, 0x0A
-FOLDS, SMOOTH = 10, 0.1
-#: The last gate's first weight of the text so far, and the part of the weights that returns to the first ones with each token.
-RECENT, RETURN = 0.05, 0.005
-_HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
+#: Words with a code; bits of a slot's number at least and at most; one in TUNE rows sets weights; shards at least and at most.
+HEAD, SLOT_BITS, TUNE, SHARDS = 131_072, (16, 22), 8, (1, 256)
+FOLDS, SMOOTH, NOVEL = 10, 0.1, 50.0
+#: The step of a text's own weights and what holds it, and where in a text they learn: after 32 words and then 1.5 times as many each.
+OWN_RATE, OWN_CALM = 2.0, 50.0
+TURNS = np.array([int(32 * 1.5**k) for k in range(40)])
+#: Words of the texts that are scored together.
+TOGETHER = 3000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -49,264 +45,219 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def held_out(id_text: str | None) -> bool:
-    return zlib.crc32((id_text or "").encode()) % FOLDS == 0
-
-
-def bit_slots(words: list[bytes]):
-    """For the bits of the words' bytes and spaces: slots (orders x bits), bits, bytes so far with a leading one, and each word's first bit."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return _slots(data, np.arange(len(data)) - np.repeat(first, sizes)) + (first * 8,)
-
-
-def _slots(data: np.ndarray, place: np.ndarray):
-    wide, past = data.astype(np.uint64), np.zeros(len(data), np.uint64)
-    for k in range(1, 7):  # the k-th last byte of the word, 0 before its start
-        back = np.zeros(len(data), np.uint64)
-        back[k:] = wide[:-k]
-        past |= np.where(place >= k, back, np.uint64(0)) << np.uint64(8 * (k - 1))
-    value = data.astype(np.int32)
-    partial = np.stack([(1 << j) | (value >> (8 - j)) for j in range(8)], axis=1).ravel()  # 1 and the j bits before
-    spread = partial * np.int32(0x1E3779)
-    bits = np.unpackbits(data)
-    slots = np.empty((len(ORDERS), len(bits)), np.int32)
-    for n, (order, width) in enumerate(zip(ORDERS, SLOT_BITS)):
-        if order == 1:
-            where = np.repeat((past & np.uint64(255)).astype(np.int32) << 8, 8) | partial
-        else:
-            mask = np.uint64((1 << 8 * order) - 1)
-            context = (((past & mask) + np.uint64(1)) * _HASH[n] >> np.uint64(64 - width)).astype(np.int32)
-            where = (np.repeat(context, 8) ^ spread) & np.int32((1 << width) - 1)
-        np.add(where, np.int32(OFFSETS[n]), out=slots[n])
-    return slots, bits, partial
-
-
-def _batches(words: list[bytes]):
-    at = size = 0
-    for k, w in enumerate(words):
-        size += len(w) + 1
-        if size >= BATCH_BYTES:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(words):
-        yield at, len(words)
-
-
-class Mixer:
-    """Weights by gate, and the refinement's counts."""
-
-    def __init__(self):
-        self.w = np.full((GATES, len(ORDERS) + 1), 0.3, np.float32)
-        self.w[:, -1] = 0.0
-        self.ones, self.all = np.zeros(REFINE), np.zeros(REFINE)
-
-    def mixed(self, x: np.ndarray):
-        """(gate, log odds) of the bits whose predictors' log odds are x (orders x bits); a context not seen has 0."""
-        gate = np.arange(x.shape[1]) % 8
-        seen = np.zeros(x.shape[1], np.int64)
-        for k in range(1, len(ORDERS)):
-            np.copyto(seen, 8 * k, where=x[k] != 0)
-        gate += seen
-        w = self.w[gate]
-        return gate, np.clip(np.einsum("kn,nk->n", x, w[:, :-1]) + w[:, -1], -14, 14)
-
-    @staticmethod
-    def bins(z: np.ndarray, partial: np.ndarray) -> np.ndarray:
-        return partial * BINS + np.clip((z + 12) * (BINS / 24), 0, BINS - 1).astype(np.int32)
-
-    def refined(self, z: np.ndarray, partial: np.ndarray) -> np.ndarray:
-        """The probability of a one: the mean of the mixed one and what was seen at such probabilities after these bits."""
-        p, k = 1 / (1 + np.exp(-z)), self.bins(z, partial)
-        return np.clip((p + (self.ones[k] + 8 * p) / (self.all[k] + 8)) / 2, 1e-6, 1 - 1e-6)
-
-    def learn(self, x, bits, partial, weight) -> None:
-        gate, z = self.mixed(x)
-        k = self.bins(z, partial)
-        self.ones += np.bincount(k, weight * bits, REFINE)
-        self.all += np.bincount(k, weight, REFINE)
-        err = (bits - 1 / (1 + np.exp(-z))) * weight
-        step = RATE / (np.bincount(gate, weight, GATES) + weight.sum() / GATES)
-        for n in range(len(ORDERS)):
-            self.w[:, n] += step * np.bincount(gate, err * x[n], GATES)
-        self.w[:, -1] += step * np.bincount(gate, err, GATES)
-
-
-def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
-
-
 class Model:
-    """stretch: the predictors' log odds by slot (float32); mixer."""
-
-    def __init__(self, stretch: np.ndarray, mixer: Mixer):
-        self.stretch, self.mixer = stretch, mixer
-        x, bits, partial = self._end()
-        self.end = float(self._log10(x, bits, partial).sum())
+    """Contexts, inputs by slot, and the mixer."""
 
-    def _end(self):
-        slots, bits, partial = _slots(np.array([END], np.uint8), np.zeros(1, np.int64))
-        return self.stretch[slots], bits, partial
+    def __init__(self, contexts, inputs_by_slot: np.ndarray, mixer: Mixer):
+        self.contexts, self.inputs, self.mixer, self.settled = contexts, inputs_by_slot, mixer, mixer.settled()
 
-    def _log10(self, x, bits, partial) -> np.ndarray:
-        p = self.mixer.refined(self.mixer.mixed(x)[1], partial)
-        return np.log10(np.where(bits == 1, p, 1 - p))
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
+    def spell(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word, its bits one after the other; for SpellingContexts."""
         out = [np.zeros(0)]
-        for s, e in _batches(words):
-            slots, bits, partial, first = bit_slots(words[s:e])
-            out.append(np.add.reduceat(self._log10(self.stretch[slots], bits, partial), first))
+        for e in self.contexts.stream(words):
+            x, gate = self.mixer.look(self.inputs, e)
+            z = self.mixer.mixed(x, gate)
+            p = self.mixer.likelihood(z, self.mixer.odds_to_p(z), e.bits, e.place, self.settled)
+            out.append(np.add.reduceat(np.log10(p.astype(float)), e.first))
         return np.concatenate(out)
 
+    def follow(self, pieces: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log10 probability of the codes of each of the pieces (codes, contexts); for WordContexts."""
+        sizes = np.array([len(ids) for ids, _ in pieces])
+        if not sizes.sum():
+            return np.zeros(len(pieces))
+        turn = np.searchsorted(TURNS, ranges(sizes), side="right").astype(np.int8)
+        piece, order = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), np.argsort(turn, kind="stable")
+        piece = piece[order]
+        e: Events = self.contexts.events(np.concatenate([p[0] for p in pieces])[order], np.concatenate([p[1] for p in pieces], axis=1)[:, order])
+        x, gate = self.mixer.look(self.inputs, e)
+        bounds = np.append(e.first, len(e.bits))
+        ends = bounds[np.cumsum(np.bincount(turn))]
+        p = online(self.mixer, self.settled, x, e, gate, np.repeat(piece, np.diff(bounds)), ends.tolist(), OWN_RATE, OWN_CALM)
+        return np.bincount(piece, np.log10(np.multiply.reduceat(p.astype(float), e.first)), len(pieces))
+
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """(token binary, n, all): the words of (text, held), with their counts in the training rows and in all rows."""
+    """(token binary, n, others, all): the words of (text, held, tune), with their counts in the training rows, in those that
+    aren't tuning rows, and in all rows."""
 
     def made(seen):
-        words = list(seen[0].keys() | seen[1].keys())
+        words = list(set().union(*seen))
         for k in range(0, len(words), 50_000):
             part = words[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([c[w] for w in part], pa.int64()) for c in seen)], names=["token", "n", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([c[w] for w in part], pa.int64()) for c in seen)], names=["token", "held", "tune", "others"])
 
     def run(batches):
-        seen: tuple = (Counter(), Counter())
+        seen = [Counter() for _ in range(3)]
         for b in batches:
-            for t, held in zip(b.column(0), b.column(1).to_pylist()):
-                seen[held].update(tokens_of(t.as_py()))
-                if len(seen[0]) > 500_000:
+            for t, held, tune in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                seen[0 if held else 1 if tune else 2].update(tokens_of(t.as_py()))
+                if len(seen[2]) + len(seen[1]) + len(seen[0]) > 700_000:
                     yield from made(seen)
-                    seen = (Counter(), Counter())
+                    seen = [Counter() for _ in range(3)]
         yield from made(seen)
 
-    counted = rows.select("text", "held").mapInArrow(run, "token binary, n long, held long")
-    return counted.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("held")).alias("all"))
+    counted = rows.select("text", "held", "tune").mapInArrow(run, "token binary, held long, tune long, others long")
+    n = F.col("tune") + F.col("others")
+    return counted.groupBy("token").agg(F.sum(n).alias("n"), F.sum("others").alias("others"), F.sum(n + F.col("held")).alias("all"))
+
 
+def slot_bits(tokens: int) -> int:
+    """About eight slots for each training token."""
+    return int(np.clip(max(tokens, 1).bit_length() + 3, *SLOT_BITS))
 
-def _sharded(vocab: DataFrame) -> DataFrame:
-    """The vocabulary by shards of a token's hash, in a fixed order within each."""
-    return vocab.withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("token"), "token")
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A byte for each count where that is enough, else four."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
-def _words(b, start, end):
-    words = b.column(0).slice(start, end - start).to_pylist()
-    return words, b.column(1).slice(start, end - start).to_numpy(zero_copy_only=False).astype(np.float32)
 
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == 2 * BLOCK else np.uint32)
 
-def train(vocab: DataFrame, ends: int) -> Model:
-    """The model of (token, n), n over 0, and `ends` text ends."""
-    spark, size = vocab.sparkSession, int(OFFSETS[-1])
 
-    def count(batches):
-        seen = np.zeros(2 * size)  # zeros and ones of a slot side by side
+def _bit_counts(rows: DataFrame, shared) -> DataFrame:
+    """(block, others, tuning): counts of zeros and ones, side by side, of BLOCK slots, each row by one task; rows: (item, tune)."""
+
+    def run(batches):
+        contexts = shared.value
+        size = -(-int(contexts.offsets[-1]) // BLOCK) * BLOCK
+        seen = np.zeros((2, 2 * size), np.uint32)
         for b in batches:
-            words, n = _words(b, 0, b.num_rows)
-            for s, e in _batches(words):
-                slots, bits, _, first = bit_slots(words[s:e])
-                weight = np.repeat(n[s:e].astype(float), np.diff(np.append(first, len(bits))))
-                for k in range(len(ORDERS)):
-                    np.add.at(seen, slots[k].astype(np.int64) * 2 + bits, weight)
-        seen = seen.reshape(-1, 2)
-        at = np.flatnonzero(seen.any(axis=1))
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part, 0].astype(np.float32)), pa.array(seen[part, 1].astype(np.float32))], names=["slot", "zeros", "ones"])
-
-    parts = cut(_sharded(vocab))
-    # words of equal beginnings, which share slots, one after the other and mostly in one task
-    tasks = min(10 * COUNT_TASKS, max(COUNT_TASKS, parts.count() // COUNT_WORDS))
-    alike = parts.select("token", "n").repartitionByRange(max(SHARDS, tasks), "token").sortWithinPartitions("token").coalesce(tasks)
-    slots = alike.mapInArrow(count, "slot int, zeros float, ones float").groupBy("slot").agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones"))
-    zeros, ones = np.zeros(size, np.float32), np.zeros(size, np.float32)
-    for b in slots.toArrow().to_batches():  # at most OFFSETS[-1] rows
-        k = b.column(0).to_numpy()
-        zeros[k], ones[k] = b.column(1).to_numpy(), b.column(2).to_numpy()
-    end_slots, end_bits, _ = _slots(np.array([END], np.uint8), np.zeros(1, np.int64))
-    for k in range(len(ORDERS)):
-        np.add.at(zeros, end_slots[k], float(ends) * (1.0 - end_bits))
-        np.add.at(ones, end_slots[k], float(ends) * end_bits)
-    counts = spark.sparkContext.broadcast((zeros, ones))
+            tune = np.array(b.column(1).to_pylist(), bool)
+            for f in (0, 1):
+                for e in contexts.stream(x.as_py() for x in b.column(0).filter(pa.array(tune == bool(f)))):
+                    one = np.ones(len(e.bits), np.uint32)
+                    for s in e.slots:
+                        np.add.at(seen[f], s.astype(np.int64) * 2 + e.bits, one)
+        full = np.flatnonzero(seen.reshape(2, -1, 2 * BLOCK).any(axis=(0, 2)))
+        for k in range(0, len(full), 32):
+            part = full[k : k + 32].tolist()
+            blocks = [[_packed(seen[f, j * 2 * BLOCK : (j + 1) * 2 * BLOCK]) for j in part] for f in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in blocks)], names=["block", "others", "tuning"])
 
-    def learn(batches):
-        zeros, ones = counts.value
-        mixer, shard, seen, held = Mixer(), None, 0.0, ([], np.zeros(0, np.float32))
+    return rows.select("item", "tune").mapInArrow(run, "block int, others binary, tuning binary")
+
+
+def _inputs(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """inputs() by slot of all rows, and without the tuning ones."""
+
+    def run(batches):
+        at, total = None, np.zeros((2, 2 * BLOCK))
 
         def made():
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(seen)]), pa.array([mixer.w.tobytes()]), pa.array([mixer.ones.tobytes()]), pa.array([mixer.all.tobytes()])], names=["shard", "seen", "w", "ones", "all"])
-
-        def steps(words, n):
-            total = 0.0
-            for s, e in _batches(words):
-                slots, bits, partial, first = bit_slots(words[s:e])
-                weight = np.repeat(n[s:e], np.diff(np.append(first, len(bits))))
-                x = odds(np.maximum(zeros[slots] - (1 - bits), 0), np.maximum(ones[slots] - bits, 0))  # without one occurrence
-                mixer.learn(x, bits, partial, weight)
-                total += weight.sum()
-            return total
+            others, all_rows = total[0], total.sum(axis=0)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([inputs(t[::2], t[1::2]).tobytes()], pa.binary()) for t in (all_rows, others))], names=["block", "all_rows", "others"])
 
         for b in batches:
-            shards = b.column(2).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if shards[lo] != shard:
-                    if shard is not None:
-                        seen += steps(*held)
+            for k, others, tuning in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if k != at:
+                    if at is not None:
                         yield made()
-                    mixer, shard, seen, held = Mixer(), int(shards[lo]), 0.0, ([], np.zeros(0, np.float32))
-                words, n = _words(b, lo, hi)
-                held = (held[0] + words, np.concatenate([held[1], n]))
-                while len(held[0]) >= LEARN_WORDS:  # so that steps don't depend on how rows come in batches
-                    seen += steps(held[0][:LEARN_WORDS], held[1][:LEARN_WORDS])
-                    held = (held[0][LEARN_WORDS:], held[1][LEARN_WORDS:])
-        if shard is not None:
-            seen += steps(*held)
+                    at = k
+                    total[:] = 0
+                total[0] += _unpacked(others.as_py())
+                total[1] += _unpacked(tuning.as_py())
+        if at is not None:
             yield made()
 
-    learnt = sorted(parts.select("token", "n", "shard").mapInArrow(learn, "shard int, seen double, w binary, ones binary, all binary").collect(), key=lambda r: r["shard"])  # SHARDS rows
-    mixer, total = Mixer(), sum(r["seen"] for r in learnt)
+    blocks = -(-size // BLOCK)
+    summed = counts.repartition(max(12, blocks // 64), "block").sortWithinPartitions("block").mapInArrow(run, "block int, all_rows binary, others binary")
+    out = np.zeros((2, blocks * BLOCK), np.int8)
+    for b in summed.toArrow().to_batches():  # 2 bytes for each slot, whose number is bounded
+        for k, *both in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for f in (0, 1):
+                out[f, k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(both[f].as_py(), np.int8)
+    return out[0], out[1]
+
+
+def train(rows: DataFrame, contexts, rows_per_shard: int) -> Model:
+    """The model of rows (item, tune, h); h: a hash of the row, by which tuning rows are dealt and ordered."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(contexts)
+    full, others = _inputs(_bit_counts(rows, shared), int(contexts.offsets[-1]))
+    table_of = spark.sparkContext.broadcast(others)
+
+    def learn(batches):
+        items = ((s, i.as_py()) for b in batches for s, i in zip(b.column(0).to_pylist(), b.column(1)))
+        for shard, group in itertools.groupby(items, key=lambda r: r[0]):
+            mixer, seen = Mixer(contexts_of().predictors), 0
+            for e in contexts_of().stream(i for _, i in group):
+                x, gate = mixer.look(table_of.value, e)
+                mixer.learn(x, e, gate)
+                seen += len(gate)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(seen)]), *(pa.array([a.tobytes()], pa.binary()) for a in (mixer.w, mixer.ones, mixer.all))], names=["shard", "seen", "w", "ones", "all"])
+
+    def contexts_of():
+        return shared.value
+
+    tuning = rows.filter("tune")
+    shards = int(np.clip(tuning.count() // rows_per_shard, *SHARDS))
+    dealt = tuning.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "item", "h").repartition(shards, "shard").sortWithinPartitions("shard", "h", "item")
+    learnt = sorted(dealt.select("shard", "item").mapInArrow(learn, "shard int, seen double, w binary, ones binary, all binary").collect(), key=lambda r: r["shard"])  # SHARDS rows at most
+    mixer, total = Mixer(contexts.predictors), sum(r["seen"] for r in learnt)
     if total:
         mixer.w = sum(np.frombuffer(r["w"], np.float32).reshape(mixer.w.shape) * (r["seen"] / total) for r in learnt).astype(np.float32)
         mixer.ones, mixer.all = (sum(np.frombuffer(r[c]) for r in learnt) for c in ("ones", "all"))
-    counts.unpersist()
-    return Model(odds(zeros, ones), mixer)
-
-
-def share_gate(scored: DataFrame, total: int, ends: int, end: float) -> float:
-    """The part of a token's share among the training tokens in the last mix, the rest being that of its bits."""
-    if total < 2:
-        return 0.0
-    ratio = F.round(F.log10((F.col("n") - 1) / F.lit(float(total - 1))) - F.col("bits"), 2)
-    bins = scored.filter("n > 1").groupBy(ratio.alias("r")).agg(F.sum("n").alias("n")).collect()  # a row for each hundredth of a power of ten
-    known = [(10.0 ** r["r"], r["n"]) for r in bins] + ([(10.0 ** (math.log10((ends - 1) / (total - 1)) - end), ends)] if ends > 1 else [])
-    gate = 0.5
-    for _ in range(50):
-        gate = sum(n * gate * r / (gate * r + 1 - gate) for r, n in known) / total
-    return min(gate, 1 - 1e-6)
-
-
-def adapted(which: np.ndarray, log_p: np.ndarray, end: float) -> float:
-    """log10 probability of a text: which of its different words each token is, the words' log10 probabilities and that of the
-    end, as they are without the text so far."""
-    if not len(which):
-        return math.log10((1 - RECENT) * end)
-    order = np.argsort(which, kind="stable")
-    sizes = np.bincount(which)
-    before = np.empty(len(which), np.int64)
-    before[order] = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # earlier tokens of the same word
-    recent = (before / np.maximum(np.arange(len(which)), 1)).tolist()
-    low = np.maximum(log_p, -100.0)  # what is below is added apart
-    a, keep, back, mixed = 1 - RECENT, 1 - RETURN, RETURN * (1 - RECENT), []
-    for p, y in zip((10.0 ** low)[which].tolist(), recent):
-        x = a * p
-        z = x + (1 - a) * y
-        mixed.append(z)
-        a = keep * x / z + back
-    apart = (log_p - low)[which[before == 0]].sum()
-    return float(np.log10(mixed).sum() + apart) + math.log10(a * end)
+    shared.unpersist()
+    table_of.unpersist()
+    return Model(contexts, full, mixer)
+
+
+def _frequency() -> F.Column:
+    """A class of counts in the training rows without the tuning ones, 16 for each doubling; words that came once have the lowest."""
+    return F.when(F.col("others") > 1, F.floor(F.log2("others") * 16).cast("int")).otherwise(-1)
+
+
+def head_words(vocab: DataFrame, most: int = HEAD):
+    """(the least class of head words, their tokens and counts): at most `most` words."""
+    classes = sorted(((r["c"], r["many"]) for r in vocab.filter("others > 1").groupBy(_frequency().alias("c")).agg(F.count("*").alias("many")).collect()), reverse=True)  # about a thousand rows at most
+    least, held = 10**6, 0
+    for c, many in classes:
+        if (held := held + many) > most:
+            break
+        least = c
+    top = vocab.filter(_frequency() >= least).select("token", "n").toArrow().sort_by("token")  # `most` rows at most
+    return least, top["token"].to_pylist(), np.array(top["n"].to_pylist(), float)
+
+
+class Texts:
+    """Scores texts but for the part of their rarer words: those need the vocabulary."""
+
+    def __init__(self, model: Model, bases: np.ndarray, end_base: float):
+        self.model, self.bases, self.end_base = model, np.append(bases, [0.0, end_base]), end_base
+
+    def score(self, texts) -> list[tuple]:
+        """(tokens, known head words, their and the end's base, log10 of the bits and of escapes met again, bytes, {rarer word: times})."""
+        contexts, held, many, out = self.model.contexts, [], 0, []
+        for t in texts:
+            before, rarer, total = None, {}, [0, 0, 0.0, 0.0, 0]
+            k = 0
+            for words in contexts.pieces(t):
+                ids, ctx, before = contexts.contexts(words, before)
+                for w in np.flatnonzero(ids == contexts.escape).tolist():
+                    m = rarer.get(words[w], 0)
+                    total[3] += math.log10((m or NOVEL) / (k + NOVEL))
+                    rarer[words[w]] = m + 1
+                    k += 1
+                total[0] += len(ids)
+                total[1] += int((ids < contexts.escape).sum())
+                total[2] += float(self.bases[ids].sum())
+                total[4] += sum(map(len, filter(None, words))) + len(words)
+                held.append((len(out), ids, ctx))
+                many += len(ids)
+                if many > TOGETHER:
+                    out.append((total, rarer))
+                    self._follow(held, out)
+                    held, many = [], 0
+                    out.pop()
+            out.append((total, rarer))
+        self._follow(held, out)
+        return [(*total, rarer) for total, rarer in out]
+
+    def _follow(self, held, out) -> None:
+        for (k, *_), p in zip(held, self.model.follow([h[1:] for h in held])):
+            out[k][0][3] += float(p)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,72 +265,67 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows whose crc32 of the id's text is 0 modulo FOLDS are held out (a null id counts as an empty text); the model and base_score learn from
     the others. Null texts are empty: their one token is the end. Rows that repeat an id each get a row and each count. Without
-    training rows every probability is the smoothing's or the untrained model's. An empty table gives an empty result.
+    training rows every probability is the smoothing's or the untrained model's. An empty table gives an empty result. A text of more
+    than WordContexts.WINDOW bytes is read in pieces, each with weights of its own.
     n_bytes is that of the tokens and ends; bits_per_byte is -score in bits over it."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("held", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % FOLDS == 0)
+    crc = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    rows = rows.withColumns({"held": crc % FOLDS == 0, "tune": F.floor(crc / FOLDS) % TUNE == 0, "h": F.xxhash64(F.col("id").cast("string"))})
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     vocab = cut(vocabulary(rows))
     ends = rows.select("held").filter("not held").count()
-    words, n = vocab.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    words, n, once, twice = vocab.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     total, distinct = n + ends, words + (ends > 0)
     norm = math.log10(total + SMOOTH * (distinct + 1))
-    trained = train(vocab.filter("n > 0").select("token", "n"), ends)
-    model = spark.sparkContext.broadcast(trained)
+    least, head, counts = head_words(vocab)
+    rare = vocab.filter(_frequency() < least)
+    rest, kinds = n - int(counts.sum()), words - len(head)
+    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
 
-    def score(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.score(b.column(0).to_pylist()), pa.float64())], names=["token", "n", "all", "bits"])
-
-    scored = cut(vocab.mapInArrow(score, "token binary, n long, all long, bits double"))
-    model.unpersist()
-    gate = share_gate(scored, total, ends, trained.end)
-    share = lambda n: F.lit(gate / max(total, 1)) * n
-    scored = scored.select("token", "all", (F.col("n") > 0).alias("known"), F.log10(F.col("n") + SMOOTH).alias("base"), F.when(F.col("n") == 0, F.col("bits") + math.log10(1 - gate)).otherwise(F.log10(share(F.col("n")) + F.pow(F.lit(10.0), F.col("bits")) * (1 - gate))).alias("score"))
-    top_rows = scored.orderBy(F.desc("all"), "token").limit(HEAD).collect()  # HEAD rows at most
-    values = np.array([(r["known"], r["base"], r["score"]) for r in top_rows], float).reshape(-1, 3)
-    head = spark.sparkContext.broadcast(({bytes(r["token"]): k for k, r in enumerate(top_rows)}, values))
-    end_base, end_p = math.log10(ends + SMOOTH), gate * ends / max(total, 1) + (1 - gate) * 10**trained.end
-
-    def emit(batches):
-        top = head.value[0]
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                tails = [list(set(tokens_of(t.as_py())).difference(top)) for t in part.column(1)]
-                at = np.repeat(np.arange(len(tails)), [len(t) for t in tails])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array([w for t in tails for w in t], pa.binary())], names=["row", "token"])
+    # rarer words: a share of the training words, or spelt
+    spelling = SpellingContexts(slot_bits(rest))
+    spelt = cut(rare.filter("n > 0").select(F.col("token").alias("item"), F.xxhash64("token").alias("h")).withColumn("tune", F.pmod(F.floor(F.col("h") / 256), F.lit(TUNE)) == 0))
+    speller = spark.sparkContext.broadcast(train(spelt, spelling, 20_000))
 
-    rare = rows.select("row", "text").mapInArrow(emit, "row long, token binary").join(scored.drop("all"), "token")
-    rare = rare.groupBy("row").agg(F.collect_list(F.struct("token", "known", "base", "score")).alias("tail"))
+    def spell(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(speller.value.spell(part.column(0).to_pylist()), pa.float64())], names=["token", "n", "all", "value"])
+
+    unknown = rare.filter("n = 0").select("token", "n", "all").mapInArrow(spell, "token binary, n long, all long, value double")
+    left = math.log10(discount * kinds / rest) if rest else 0.0
+    priced = rare.filter("n > 0").select("token", "n", "all").withColumn("value", F.log10((F.col("n") - F.lit(discount)) / F.lit(float(max(rest, 1))))).unionByName(unknown.withColumn("value", F.col("value") + F.lit(left)))
+    priced = cut(priced.select("token", "all", (F.col("n") > 0).cast("int").alias("known"), F.log10(F.col("n") + F.lit(SMOOTH)).alias("base"), "value"))
+
+    contexts = WordContexts(head, counts, rest, ends, slot_bits(total))
+    training = rows.filter("not held").select(F.col("text").alias("item"), "tune", "h")
+    trained = train(training, contexts, 500)
+    order = np.array([contexts.of[w] for w in head], np.int64)
+    bases = np.empty(len(head))
+    bases[order] = np.log10(counts + SMOOTH)
+    scorer = spark.sparkContext.broadcast(Texts(trained, bases, math.log10(ends + SMOOTH)))
 
     def run(batches):
-        top, values = head.value
         for b in batches:
-            tails = b.column(3)
-            sizes = np.nan_to_num(pa.compute.list_value_length(tails).to_numpy(zero_copy_only=False)).astype(int)
-            ends_at, flat = np.cumsum(sizes), tails.flatten()
-            own = np.stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (1, 2, 3)], axis=1) if len(flat) else np.zeros((0, 3))
-            tokens, out = flat.field(0), []
-            for k, t in enumerate(b.column(1)):
-                words, at = tokens_of(t.as_py()), {}
-                which = np.array([at.setdefault(w, len(at)) for w in words], np.int64)
-                lo, hi = int(ends_at[k] - sizes[k]), int(ends_at[k])
-                place = {w: -j - 1 for j, w in enumerate(tokens.slice(lo, hi - lo).to_pylist())}
-                where = np.array([top[w] if w in top else place[w] for w in at], np.int64)
-                v = np.empty((len(where), 3))
-                v[where >= 0], v[where < 0] = values[where[where >= 0]], own[lo - where[where < 0] - 1]
-                many = np.bincount(which, minlength=len(where))
-                size = int(many @ np.fromiter(map(len, at), np.int64, len(at))) + len(words) + 1
-                out.append((len(words) + 1, int(many @ v[:, 0]), end_base + float(many @ v[:, 1]), adapted(which, v[:, 2], end_p), size))
-            cols = [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["id", "held", "n_tokens", "known", "base", "score", "n_bytes"])
-
-    found = rows.join(rare, "row", "left").select("id", "text", "held", "tail").mapInArrow(run, f"id {kind}, held boolean, n_tokens long, known long, base double, score double, n_bytes long")
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                got = scorer.value.score(t.as_py() for t in part.column(1))
+                at = pa.array(np.cumsum([0, *(len(g[5]) for g in got)]), pa.int32())
+                tails = [pa.ListArray.from_arrays(at, pa.array([y for g in got for y in x(g[5])], t)) for x, t in ((dict.keys, pa.binary()), (dict.values, pa.int64()))]
+                cols = [pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *cols, *tails], names=["id", "held", "row", "n_tokens", "known", "base", "score", "n_bytes", "rarer", "times"])
+
+    found = cut(rows.select("id", "text", "held", "row").mapInArrow(run, f"id {kind}, held boolean, row long, n_tokens long, known long, base double, score double, n_bytes long, rarer array<binary>, times array<long>"))
+    met = found.select("row", F.explode(F.arrays_zip("rarer", "times")).alias("t")).select("row", F.col("t.rarer").alias("token"), F.col("t.times").alias("times"))
+    seen = rare.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    tails = attach(met, priced, ["token"], "all", seen).groupBy("row").agg(F.sum("value").alias("t_value"), F.sum(F.col("times") * F.col("base")).alias("t_base"), F.sum(F.col("times") * F.col("known")).alias("t_known"))
+    found = found.drop("rarer", "times").join(tails, "row", "left").fillna(0, ["t_value", "t_base", "t_known"])
+    score = F.col("score") + F.col("t_value")
     return found.select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score", "n_bytes", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.col("t_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("t_base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), score.alias("score"), "n_bytes", (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

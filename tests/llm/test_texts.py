@@ -2,10 +2,13 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from halospark.llm import context_mixing as CM
 from halospark.llm import decontaminate as D
 from halospark.llm import lm_score as LM
 from halospark.llm import mixing, token_count, warc
@@ -175,7 +178,7 @@ def test_lm_base_score_and_normalisation(spark):
     got = LM.score_texts(frame(spark, rows)).collect()
     counts, ends = Counter(), 0
     for i, t, _ in rows:
-        if not LM.held_out(None if i is None else str(i)):
+        if zlib.crc32(str('' if i is None else i).encode()) % LM.FOLDS:
             counts.update(LM.tokens_of(t))
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
@@ -183,25 +186,101 @@ def test_lm_base_score_and_normalisation(spark):
     for i, t, _ in rows:
         toks = LM.tokens_of(t)
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks) + math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
-        want[i, LM.held_out(None if i is None else str(i)), len(toks) + 1, sum(counts[w] > 0 for w in toks) + 1, n, round(base, 6)] += 1
+        want[i, zlib.crc32(str('' if i is None else i).encode()) % LM.FOLDS == 0, len(toks) + 1, sum(counts[w] > 0 for w in toks) + 1, n, round(base, 6)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
     assert LM.score_texts(frame(spark, [])).count() == 0
 
 
-def test_lm_probabilities_sum_to_at_most_one(spark):
-    vocab = spark.createDataFrame([(w.encode(), n) for w, n in Counter(words(400)).items()], "token binary, n long")
-    model = LM.train(vocab, 20)
-    first = model.score([bytes([c]) for c in range(256) if c not in (0x20, LM.END)])  # one-byte words, of 256^1 first bytes
-    assert 0 < sum(10.0**x for x in first) + 10.0**model.end < 1
-    one = LM.adapted(__import__("numpy").array([0, 0, 1, 0]), __import__("numpy").log10([0.1, 0.2]), 0.05)
-    a, total, seen = 1 - LM.RECENT, 0.0, Counter()
-    for k, w in enumerate([0, 0, 1, 0]):
-        x, y = a * (0.1, 0.2)[w], (1 - a) * (seen[w] / k if k else 0)
-        total += math.log10(x + y)
-        a = (1 - LM.RETURN) * x / (x + y) + LM.RETURN * (1 - LM.RECENT)
-        seen[w] += 1
-    assert abs(one - total - math.log10(a * 0.05)) < 1e-9
+def trained_on(texts, seed=1):
+    """A model of words, its tables counted in plain loops and its mixer taught on every other text."""
+    counts = Counter(w for t in texts for w in LM.tokens_of(t))
+    head = sorted(w for w, n in counts.items() if n > 1)
+    contexts = CM.WordContexts(head, np.array([counts[w] for w in head], float), sum(n for n in counts.values() if n == 1), len(texts), 14)
+    zeros, ones = np.zeros((2, contexts.offsets[-1]))
+    mixer = CM.Mixer(contexts.predictors)
+    for part in (texts[::2], texts[1::2]):
+        for e in contexts.stream(part):
+            if part is texts[1::2]:
+                mixer.learn(*(lambda x: (x[0], e, x[1]))(mixer.look(CM.inputs(zeros, ones), e)))
+            for slots in e.slots.tolist():
+                for s, bit in zip(slots, e.bits.tolist()):
+                    (ones if bit else zeros)[s] += 1
+    for e in contexts.stream(texts[1::2]):
+        mixer.learn(*(lambda x: (x[0], e, x[1]))(mixer.look(CM.inputs(zeros, ones), e)))
+    return LM.Model(contexts, CM.inputs(zeros, ones), mixer)
+
+
+def test_lm_codes_and_spellings_are_probabilities():
+    model = trained_on([" ".join(words(60, k % 7)) for k in range(40)])
+    contexts, code = model.contexts, model.contexts.code
+    assert len(code.size) == len(contexts.of) + 2 and sum(2.0 ** -int(n) for n in code.size) == 1.0  # a full prefix code
+    _, before, _ = contexts.contexts([b"w1", b"w2"])
+    after = before[:, -1:]
+    total = sum(10.0 ** model.follow([(np.array([k]), after)])[0] for k in range(len(code.size)))
+    assert abs(total - 1) < 1e-3
+    speller = LM.Model(CM.SpellingContexts(12), np.zeros(int(CM.SpellingContexts(12).offsets[-1]), np.int8), CM.Mixer(4))
+    one = sum(10.0**x for x in speller.spell([bytes([c]) for c in range(256) if c != 0x20]))
+    assert 0 < one < 1
+
+
+def test_lm_score_against_bits_one_by_one():
+    """The same model in plain Python: weights stand still in a turn of the text and learn after it."""
+    model = trained_on([" ".join(words(50 + k, k % 5)) for k in range(30)])
+    text = " ".join(words(150, 3) + ["w1", "w2", "unseen"] * 5)
+    contexts, mixer = model.contexts, model.mixer
+    codes, hashes, _ = contexts.contexts([*LM.tokens_of(text), None])
+    w, sums, many, total = mixer.w.astype(float).copy(), np.zeros(mixer.w.shape), np.zeros(mixer.gates), 0.0
+    for at, code in enumerate(codes):
+        if at in LM.TURNS.tolist():
+            w += LM.OWN_RATE * sums / (many + LM.OWN_CALM)
+            sums, many = np.zeros(mixer.w.shape), np.zeros(mixer.gates)
+        e = contexts.events(np.array([code]), hashes[:, at : at + 1])
+        for k, bit in enumerate(e.bits.tolist()):
+            x = [model.inputs[e.slots[j, k]] / CM.SCALE for j in range(mixer.k)]
+            gate = int(e.place[k]) + CM.PLACES * sum((x[j] != 0) << j - 1 for j in range(1, mixer.k))
+            z = max(-CM.LIMIT, min(CM.LIMIT, w[-1, gate] + sum(w[j, gate] * x[j] for j in range(mixer.k))))
+            p, place = 1 / (1 + math.exp(-z)), int(e.place[k]) * CM.BINS + int(min((z + CM.LIMIT) * CM.BINS / (2 * CM.LIMIT), CM.BINS - 1))
+            fine = (p + (mixer.ones[place] + 8 * p) / (mixer.all[place] + 8)) / 2
+            total += math.log10(min(max(fine if bit else 1 - fine, 1e-6), 1 - 1e-6))
+            sums[:, gate] += (bit - p) * np.array([*x, 1.0])
+            many[gate] += 1
+    assert abs(model.follow([(codes, hashes)])[0] - total) < 1e-3 * abs(total)
+    two = model.follow([(codes, hashes), (codes[:7], hashes[:, :7])])
+    assert abs(two[0] - total) < 1e-3 * abs(total)  # no text moves another's weights
+
+
+def test_lm_pieces_are_the_text(monkeypatch):
+    monkeypatch.setattr(CM.WordContexts, "WINDOW", 64)
+    contexts = CM.WordContexts([b"a", b"b"], np.array([3.0, 2.0]), 1, 1, 12)
+    for text in (None, "", " ", "a" * 500, "a b " * 100, " ".join(words(300)) + "\n", "A\x0bB\x1cb é"):
+        pieces = list(contexts.pieces(text))
+        assert sum(pieces, []) == [*LM.tokens_of(text), None] and (len(pieces) > 3 or len(text or "") < 600)
+    ids, hashes, before = contexts.contexts([b"a", b"zz", b"b", b"a"])
+    first, more = contexts.contexts([b"a", b"zz"]), None
+    more = contexts.contexts([b"b", b"a"], first[2])
+    assert np.array_equal(np.concatenate([first[1], more[1]], axis=1), hashes) and np.array_equal(np.concatenate([first[0], more[0]]), ids)
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    rows = LM.op4_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    better = sum(r["score"] > r["base_score"] for r in rows)
+    assert sum(r["score"] for r in rows) > 0.85 * sum(r["base_score"] for r in rows) and better > len(rows) / 2
+
+
+def test_lm_hears_the_order_of_words(spark):
+    rng = random.Random(4)
+    turns = [[f"p{k}", f"q{k}", f"r{k}"] for k in range(40)]
+    made = [" ".join(w for k in rng.choices(range(40), k=40) for w in turns[k]) for _ in range(300)]
+    mixed_up = [" ".join(rng.sample(t.split(), 120)) for t in made]
+    rows = [(k, t, "a") for k, t in enumerate(made)] + [(1000 + k, t, "a") for k, t in enumerate(mixed_up) if LM_held(1000 + k)]
+    score = {r["doc_id"]: r["score"] for r in LM.score_texts(frame(spark, rows)).filter("held_out").collect()}
+    right, wrong = ([v for i, v in score.items() if (i >= 1000) == late] for late in (False, True))
+    assert len(wrong) > 5 and sum(right) / len(right) > 0.7 * sum(wrong) / len(wrong)
+
+
+def LM_held(i: int) -> bool:
+    return zlib.crc32(str(i).encode()) % LM.FOLDS == 0
 
 
 def test_drop_contaminated_decides_by_row(spark):
