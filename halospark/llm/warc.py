@@ -4,12 +4,16 @@ A record is a row of text, and Spark's text writer ends each with the two line b
 to any file system Spark writes to, and files hold a bounded number of records. Blocks longer than SEGMENT bytes are cut into a first
 record and continuation records, which name it as their origin. Payloads are framed in chunks (transfer-encoding: chunked).
 The reader parses each archive by the records' lengths, brings together the segments of a record by their origin, checks their
-numbers and total length, and undoes the chunks."""
+numbers and total length, and undoes the chunks. Archives may be gzip files of any number of members. What cannot be parsed
+gives a row that says so, and the reader goes on at the next record it finds."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +51,17 @@ def dechunk(body: bytes) -> bytes:
         at += size + 2
 
 
+def named(page_id) -> str:
+    """An id as it stands in a record's name: what isn't a letter or digit in percent codes; null is nothing, an empty string %."""
+    return "" if page_id is None else quote(str(page_id), safe="", errors="surrogatepass") or "%"
+
+
+def id_of(field: str | None) -> str | None:
+    """The id's text in a name or reference that named() made, or None."""
+    parts = (field or "").strip("<>").split(":")
+    return unquote(parts[2].removesuffix("%") if parts[2] == "%" else parts[2], errors="surrogatepass") if parts[:2] == ["urn", "x-page"] and len(parts) > 2 and parts[2] else None
+
+
 def _record(kind: str, block: bytes, **fields) -> bytes:
     head = [b"WARC/1.1", b"WARC-Type: " + kind.encode()]
     head += [f"{k.replace('_', '-')}: {v}".replace("\r", "%0D").replace("\n", "%0A").encode("utf-8", "surrogatepass") for k, v in fields.items() if v is not None]
@@ -56,11 +71,11 @@ def _record(kind: str, block: bytes, **fields) -> bytes:
 def page_records(page_id, row: int, url, html, refers_to, segment: int = SEGMENT) -> list[bytes]:
     """The records of a page, without their ends. refers_to: the page with the same payload, for a revisit."""
     payload = (html or "").encode("utf-8", "surrogatepass")
-    ident = f"<urn:x-page:{'' if page_id is None else page_id}:{row}>"
+    ident = f"<urn:x-page:{named(page_id)}:{row}>"
     common = {"WARC_Target_URI": url, "WARC_Date": "1970-01-01T00:00:00Z", "WARC_Payload_Digest": "sha1:" + sha1_base32(payload)}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        return [_record("revisit", http, WARC_Record_ID=ident, **common, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:x-page:{refers_to}>", X_Payload_Length=len(payload), Content_Type="application/http;msgtype=response")]
+        return [_record("revisit", http, WARC_Record_ID=ident, **common, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:x-page:{named(refers_to)}>", X_Payload_Length=len(payload), Content_Type="application/http;msgtype=response")]
     block = http + chunked(payload)
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
     first = {} if len(parts) == 1 else {"WARC_Segment_Number": 1}
@@ -97,34 +112,58 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
+def members(data: bytes) -> tuple[bytes, str | None]:
+    """The bytes of an archive that may be compressed, and what was wrong with them."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        try:
+            out.append(one.decompress(data))
+        except zlib.error as e:
+            return b"".join(out), f"compression: {e}"
+        if not one.eof:
+            return b"".join(out), "compression: a member is cut off"
+        data = one.unused_data
+    return b"".join(out), None
+
+
 def parse_archive(data: bytes):
-    """(fields, block) of the records; field names in lower case."""
+    """(fields, block, problem) of the records; field names in lower case. Bytes that are no record are one row with a problem."""
     at, view = 0, memoryview(data)
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
             at += 2
             continue
         end = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or end < 0:
-            raise ValueError(f"no record at byte {at}")
-        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
+        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n") if data[at : at + 5] == b"WARC/" and end >= 0 else []
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start, size = end + 4, int(fields["content-length"])
-        if start + size > len(data):
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, bytes(view[start : start + size])
-        at = start + size
+        stated, start = fields.get("content-length", ""), end + 4
+        if lines and stated.isascii() and stated.isdigit() and start + int(stated) <= len(data):
+            yield fields, bytes(view[start : start + int(stated)]), None
+            at = start + int(stated)
+            continue
+        after = data.find(b"\r\nWARC/", at)
+        yield fields, b"", f"no record at byte {at}" if not lines else f"the record at byte {at} is cut off" if stated.isascii() and stated.isdigit() else f"the record at byte {at} has no length"
+        at = len(data) if after < 0 else after + 2
 
 
 def _decoded(fields: dict, block: bytes, problem: str | None, ident) -> dict:
     """A result row of RECORD; ident makes an id of its text."""
-    parts = fields.get("warc-record-id", "").strip("<>").split(":")
-    named = parts[:2] == ["urn", "x-page"]
-    out = {"record_id": fields.get("warc-record-id"), "page_id": ident(parts[2]) if named and parts[2] else None, "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "refers_to": None, "problem": problem, "payload": None}
+    def given(field):
+        try:
+            return None if (text := id_of(fields.get(field))) is None else ident(text)
+        except ValueError:  # another archive's names
+            return None
+
+    out = {"record_id": fields.get("warc-record-id"), "page_id": given("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "refers_to": None, "problem": problem, "payload": None}
     stated = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     if out["record_type"] == "revisit":
-        refers = fields.get("warc-refers-to", "").strip("<>").split(":")
-        return out | {"refers_to": ident(refers[2]) if refers[:2] == ["urn", "x-page"] else None, "payload_bytes": int(fields.get("x-payload-length", 0)), "payload_digest": stated}
+        stated_length = fields.get("x-payload-length", "0")
+        return out | {"refers_to": given("warc-refers-to"), "payload_bytes": int(stated_length) if stated_length.isascii() and stated_length.isdigit() else None, "payload_digest": stated}
+    if problem and not block:
+        return out | {"payload_bytes": None, "payload_digest": None}
     payload = block
     if fields.get("content-type", "").startswith("application/http"):
         head, _, payload = block.partition(b"\r\n\r\n")
@@ -134,16 +173,18 @@ def _decoded(fields: dict, block: bytes, problem: str | None, ident) -> dict:
             except ValueError as e:
                 out["problem"] = f"chunks: {e}"
     digest = sha1_base32(payload)
-    if stated and stated != digest:
+    if stated and stated != digest and fields["warc-payload-digest"].startswith("sha1:"):
         out["problem"] = out["problem"] or "payload digest differs"
     return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest}
 
 
 def read_warc(spark: SparkSession, path: str, id_type: str = "bigint", payload: bool = True) -> DataFrame:
-    """A row (RECORD) for each record of the archives in path, continuation records joined to their first.
+    """A row (RECORD) for each record of the archives in path, of whatever type, continuation records joined to their first.
 
-    problem is null for a sound record, or says what is wrong: missing segments, a wrong total length, broken chunks, another
-    digest than stated. Archives hold bounded numbers of records, as write_warc makes them, and each is read by one task.
+    problem is null for a sound record, or says what is wrong: no record where one should begin, no or too long a length, missing
+    segments, a wrong total length, broken chunks or compression, another digest than stated. page_id and refers_to are those of
+    records that write_warc made, else null. Archives hold bounded numbers of records, as write_warc makes them, and each is read whole by
+    one task, as Spark's reader of binary files gives them (2 GB at most).
     payload=False leaves the payload column null, after it was measured. Empty archives give no rows."""
     schema = RECORD.format(id=id_type)
     ident = str if id_type == "string" else int
@@ -158,11 +199,13 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint", payload:
         for b in batches:
             for k in range(b.num_rows):
                 rows = []
-                for fields, block in parse_archive(b.column(0)[k].as_py()):
-                    if "warc-segment-number" in fields:
-                        rows.append({"origin": fields.get("warc-segment-origin-id") or fields.get("warc-record-id"), "segment": int(fields["warc-segment-number"]), "total": int(t) if (t := fields.get("warc-segment-total-length")) else None, "block": block, "head": list(fields.items())})
-                    elif fields.get("warc-type") in ("response", "resource", "revisit"):
-                        rows.append(_decoded(fields, block, None, ident) | ({} if payload else {"payload": None}))
+                data, broken = members(b.column(0)[k].as_py())
+                for fields, block, problem in itertools.chain(parse_archive(data), [({}, b"", broken)] if broken else []):
+                    number, total = (int(x) if (x := fields.get(f"warc-segment-{f}", "")).isascii() and x.isdigit() else None for f in ("number", "total-length"))
+                    if number is not None and problem is None:
+                        rows.append({"origin": fields.get("warc-segment-origin-id") or fields.get("warc-record-id"), "segment": number, "total": total, "block": block, "head": list(fields.items())})
+                    else:
+                        rows.append(_decoded(fields, block, problem, ident) | ({} if payload else {"payload": None}))
                     if len(rows) >= 256:
                         yield pa.RecordBatch.from_pylist(rows, held)
                         rows = []

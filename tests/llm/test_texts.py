@@ -147,6 +147,35 @@ def test_warc_finds_broken_records(spark, tmp_path):
         assert [r["problem"] for r in warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()] == [problem]
 
 
+def test_warc_ids_of_any_text(spark, tmp_path):
+    ids = ["a:b", "", None, "%41", "é\r\n>", "%", "<urn:x-page:1>", "a:c"]
+    pages = [(i, "u", f"<p>{k // 2}</p>") for k, i in enumerate(ids)]
+    path = f"file://{tmp_path}/arc"
+    warc.write_warc(spark.createDataFrame(pages, "page_id string, url string, html string"), path)
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, path, "string").collect()}
+    want = set()
+    for k, i in enumerate(ids):
+        one = min((x for x in ids[k // 2 * 2 : k // 2 * 2 + 2] if x is not None), default=None)
+        want.add((i, "response" if i == one else "revisit", None if i == one else one))
+    assert got == want
+
+
+def test_warc_reads_other_records_and_goes_on_after_broken_ones(spark, tmp_path):
+    import gzip
+
+    end = b"\r\n\r\n"
+    whole = [p for k in range(3) for p in warc.page_records(k, k, "u", f"<p>{k}</p>", None)]
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\nx: y"
+    bad = [b"nonsense", b"WARC/1.1\r\nWARC-Type: request\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999\r\n\r\nshort"]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc").write_bytes(b"".join(p + end for p in [info, whole[0], bad[0], whole[1], bad[1], bad[2], whole[2]]))
+    (tmp_path / "a" / "y.warc.gz").write_bytes(b"".join(gzip.compress(p + end) for p in whole) + gzip.compress(whole[0])[:-60])
+    rows = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
+    sound = Counter((r["page_id"], r["record_type"], bytes(r["payload"])) for r in rows if r["problem"] is None)
+    assert sound == {(None, "warcinfo", b"x: y"): 1, **{(k, "response", f"<p>{k}</p>".encode()): 2 for k in range(3)}}
+    assert {r["problem"].split(" at ")[0].split(":")[0] for r in rows if r["problem"]} == {"no record", "the record", "compression"}
+
+
 def brute_tokens(text, pieces):
     """Tokens of the best segmentation by a plain forward pass over each pre-token."""
     total = 0
