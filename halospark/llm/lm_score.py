@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -108,11 +109,12 @@ def slot_bits(tokens: int) -> int:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """A byte for each count where that is enough, else four."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    """A byte for each count where that is enough, else four, compressed."""
+    return zlib.compress(counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
     return np.frombuffer(data, np.uint8 if len(data) == 2 * BLOCK else np.uint32)
 
 
