@@ -8,7 +8,6 @@ place. What it says is refined by how often a one came at such a probability and
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 
@@ -16,8 +15,8 @@ PRIOR, RATE, LIMIT = 0.4, 0.3, 14.0
 PLACES, BINS = 12, 28
 #: Slots that are counted, summed and sent together; inputs are kept as bytes, in eighths.
 BLOCK, SCALE = 4096, 8
-#: Bits of a mixer's step when it learns; tokens whose events are made together.
-STEP, CHUNK = 4096, 2000
+#: Bits of a mixer's step when it learns; bytes whose events are made together.
+STEP, CHUNK = 4096, 16_384
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 
@@ -59,45 +58,146 @@ class Events:
         self.slots, self.bits, self.place, self.first = slots, bits, place, first
 
 
+WINDOW = 1 << 18
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """The words between ASCII white space in bytes: where they start and end, and 64-bit hashes, by which they are told apart."""
+
+    up, down = _powers(_ODD, 1 << 16), _powers(pow(_ODD, -1, 1 << 64), 1 << 16)
+
+    def __init__(self, data: bytes):
+        self.data = np.frombuffer(data, np.uint8)
+        word = ~_IS_SPACE[self.data]
+        edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        while len(Words.up) <= len(data):
+            n = 2 * len(Words.up)
+            Words.up, Words.down = _powers(_ODD, n), _powers(pow(_ODD, -1, 1 << 64), n)
+        if not len(self.starts):
+            self.hashes = np.zeros(0, np.uint64)
+            return
+        value = (self.data + np.uint64(1)) * Words.up[: len(data)]
+        value *= word
+        h = np.add.reduceat(value, self.starts) * Words.down[self.starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        self.hashes = np.maximum(h ^ h >> np.uint64(29), np.uint64(1))
+
+    def endings(self) -> np.ndarray:
+        """Hashes of the words' last two bytes."""
+        last = self.data[self.ends - 1].astype(np.uint32) + np.uint32(1)
+        return (last + (self.data[self.ends - 2].astype(np.uint32) << np.uint32(9)) * (self.ends - self.starts > 1)).astype(np.uint32) * _MIX[1]
+
+    def take(self, at: np.ndarray) -> list[bytes]:
+        return [self.data[s:e].tobytes() for s, e in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+
+
+class _Table:
+    """Numbers of hashes, by open addressing."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.bits = max(4, (4 * len(hashes)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        left, at = np.arange(len(hashes)), self._place(hashes)
+        while len(left):
+            free = self.keys[at] == 0
+            _, one = np.unique(at[free], return_index=True)
+            one = np.flatnonzero(free)[one]
+            self.keys[at[one]], self.values[at[one]] = hashes[left[one]], left[one]
+            left, at = np.delete(left, one), np.delete(at, one)
+            at = (at + 1) & (len(self.keys) - 1)
+
+    def _place(self, hashes):
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out, at = np.full(len(hashes), -1, np.int64), self._place(hashes)
+        key = self.keys[at]
+        same = key == hashes
+        out[same] = self.values[at[same]]
+        left = np.flatnonzero(~same & (key != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            key = self.keys[at[left]]
+            same = key == hashes[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (key != 0)]
+        return out
+
+
+def pieces(text: str | None):
+    """(bytes, the two words before them, whether they are the last) of a text, A-Z lower-cased, in pieces of about WINDOW bytes."""
+    data, at, before = (text or "").encode("utf-8", "surrogatepass").lower(), 0, []
+    while gap := _SPACE.search(data, at + WINDOW):
+        piece = data[at : gap.start()]
+        yield piece, before, False
+        before, at = [*before, *piece.rsplit(None, 2)[-2:]][-2:], gap.end()
+    yield data[at:] if at else data, before, True
+
+
+def groups(texts, most: int):
+    """The texts' pieces (number of the text, *piece), in lists of about `most` bytes."""
+    held, many = [], 0
+    for k, t in enumerate(texts):
+        for p in pieces(t):
+            held.append((k, *p))
+            many += len(p[0]) + 1
+            if many > most:
+                yield held
+                held, many = [], 0
+    if held:
+        yield held
+
+
 class WordContexts:
     """Words as codes of the frequent ones, an escape and a text's end. Predictors: the code's bits alone, and after the last
-    word, the last two words, and the last two words' endings."""
+    word and the last two words' endings."""
 
-    predictors, WINDOW = 4, 1 << 18
+    predictors = 3
 
     def __init__(self, head: list[bytes], counts: np.ndarray, rest: int, ends: int, bits: int):
-        order = sorted(range(len(head)), key=lambda k: head[k][::-1])  # words of one ending share the code's first bits
-        head = [head[k] for k in order]
-        self.of, self.escape, self.end, self.width = {w: k for k, w in enumerate(head)}, len(head), len(head) + 1, bits
-        self.code = Code(np.concatenate([np.asarray(counts, float)[order], [max(rest, 1), max(ends, 1)]]))
+        self.order = np.array(sorted(range(len(head)), key=lambda k: head[k][::-1]), np.int64)  # words of one ending share the code's first bits
+        self.codes = _Table(Words(b" ".join(head[k] for k in self.order)).hashes)
+        self.escape, self.end, self.width = len(head), len(head) + 1, bits
+        self.code = Code(np.concatenate([np.asarray(counts, float)[self.order], [max(rest, 1), max(ends, 1)]]))
         self.offsets = np.array([0, *(-(-self.code.nodes // BLOCK) * BLOCK + k * (1 << bits) for k in range(self.predictors))])
-        self.whole, self.ending = (np.fromiter((f(w) for w in head), np.uint32, len(head)) for f in (zlib.crc32, self._ending))
-        self.blank = (np.zeros(2, np.uint32), np.zeros(2, np.uint32))
 
-    @staticmethod
-    def _ending(word: bytes) -> int:
-        return zlib.crc32(word[-2:])
-
-    def pieces(self, text: str | None):
-        """The words of a text between ASCII white space, A-Z lower-cased, in lists of bounded size; the last holds a None, the end."""
-        data, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
-        while gap := _SPACE.search(data, at + self.WINDOW):
-            yield data[at : gap.start()].split()
-            at = gap.end()
-        yield [*data[at:].split(), None]
-
-    def contexts(self, words: list, before=None):
-        """(codes, contexts, what is before the next piece) of a text's words; before: of the piece before."""
-        ids = np.fromiter(map(self.of.get, words, [-1] * len(words)), np.int64, len(words))
-        whole, ending = (t[np.maximum(ids, 0)] if len(t) else np.zeros(len(ids), np.uint32) for t in (self.whole, self.ending))
-        for k in np.flatnonzero(ids < 0).tolist():
-            w = words[k]
-            ids[k] = self.end if w is None else self.escape
-            whole[k], ending[k] = (0, 0) if w is None else (zlib.crc32(w), self._ending(w))
-        whole, ending = (np.concatenate(x) for x in zip(before or self.blank, (whole, ending)))
-        a, b, c, d = whole[1:-1], whole[:-2], ending[1:-1], ending[:-2]
-        mixed = [(a + np.uint32(1)) * _MIX[0], (a * _MIX[1] + b + np.uint32(7)) * _MIX[2], (c * _MIX[3] + d + np.uint32(13)) * _MIX[1]]
-        return ids, np.stack([h ^ h >> np.uint32(15) for h in mixed]), (whole[-2:], ending[-2:])
+    def gather(self, held: list[tuple]):
+        """(codes, contexts, pieces' sizes, escaped words, the pieces that they are in) of pieces, one after the other."""
+        words = Words(b" ".join(p[1] for p in held))
+        bounds = np.cumsum([len(p[1]) + 1 for p in held])
+        piece = np.searchsorted(bounds, words.starts, side="right")
+        ids = self.codes.find(words.hashes)
+        missed = np.flatnonzero(ids < 0)
+        ids[missed] = self.escape
+        many, last_one = np.bincount(piece, minlength=len(held)), np.array([p[3] for p in held])
+        at = np.cumsum(many)[last_one]
+        whole, ending = (words.hashes >> np.uint64(32)).astype(np.uint32), words.endings()
+        ids, whole, ending = np.insert(ids, at, self.end), np.insert(whole, at, 0), np.insert(ending, at, 0)
+        sizes = many + last_one
+        last, last_ending, older = np.zeros((3, len(ids)), np.uint32)
+        last[1:], last_ending[1:], older[2:] = whole[:-1], ending[:-1], ending[:-2]
+        starts = np.cumsum(sizes) - sizes
+        for x in (last, last_ending, older):
+            x[starts[sizes > 0]] = 0
+        older[starts[sizes > 1] + 1] = 0
+        for k, p in enumerate(held):
+            if p[2] and sizes[k]:
+                s, two = int(starts[k]), Words(b" ".join(p[2]))
+                last[s], last_ending[s] = two.hashes[-1] >> np.uint64(32), two.endings()[-1]
+                older[s : s + 2] = [two.endings()[0] if len(p[2]) > 1 else 0, last_ending[s]][: int(sizes[k])]
+        mixed = [(last + np.uint32(1)) * _MIX[0], (last_ending * _MIX[3] + older + np.uint32(13)) * _MIX[1]]
+        return ids, np.stack([h ^ h >> np.uint32(15) for h in mixed]), sizes, words.take(missed), piece[missed]
 
     def events(self, ids: np.ndarray, contexts: np.ndarray) -> Events:
         sizes = self.code.size[ids]
@@ -116,21 +216,9 @@ class WordContexts:
 
     def stream(self, texts):
         """Events of texts, in parts of bounded size."""
-        held, many = [], 0
-        for t in texts:
-            before = None
-            for words in self.pieces(t):
-                ids, contexts, before = self.contexts(words, before)
-                held.append((ids, contexts))
-                many += len(ids)
-                if many > CHUNK:
-                    yield self._joined(held)
-                    held, many = [], 0
-        if held:
-            yield self._joined(held)
-
-    def _joined(self, held) -> Events:
-        return self.events(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1))
+        for held in groups(texts, CHUNK):
+            ids, contexts, *_ = self.gather(held)
+            yield self.events(ids, contexts)
 
 
 class SpellingContexts:
@@ -165,7 +253,7 @@ class SpellingContexts:
         for w in words:
             held.append(w)
             size += len(w) + 1
-            if size > 2 * CHUNK:
+            if 4 * size > CHUNK:
                 yield self.events(held)
                 held, size = [], 0
         if held:

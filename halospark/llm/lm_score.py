@@ -1,7 +1,7 @@
 """Language-model scores by logistic context mixing over bits.
 
 Frequent words, an escape and a text's end have a binary code, and a text is the bits of its words' codes. Predictors are the
-code alone and hashed contexts across words: the last word, the last two, and the last two words' endings. A mixer adds what
+code alone and hashed contexts across words: the last word, and the last two words' endings. A mixer adds what
 they say with weights picked by a gate, and a table refines the result (context_mixing.py). While a text is scored, its copy
 of the weights goes on learning from what has been read of it.
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, cut, table
-from .context_mixing import BLOCK, Events, Mixer, SpellingContexts, WordContexts, inputs, online, ranges
+from .context_mixing import BLOCK, Events, Mixer, SpellingContexts, WordContexts, Words, groups, inputs, online, pieces, ranges
 
 #: Words with a code; bits of a slot's number at least and at most; one in TUNE rows sets weights; shards at least and at most.
-HEAD, SLOT_BITS, TUNE, SHARDS = 131_072, (16, 22), 8, (1, 256)
+HEAD, SLOT_BITS, TUNE, SHARDS = 131_072, (16, 21), 8, (1, 256)
 FOLDS, SMOOTH, NOVEL = 10, 0.1, 50.0
 #: The step of a text's own weights and what holds it, and where in a text they learn: after 32 words and then 1.5 times as many each.
 OWN_RATE, OWN_CALM = 2.0, 50.0
 TURNS = np.array([int(32 * 1.5**k) for k in range(40)])
-#: Words of the texts that are scored together.
-TOGETHER = 3000
+#: Bytes of the texts that are scored together, and whose words are counted together.
+TOGETHER, COUNTED = 24_576, 4_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -62,41 +61,49 @@ class Model:
             out.append(np.add.reduceat(np.log10(p.astype(float)), e.first))
         return np.concatenate(out)
 
-    def follow(self, pieces: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 probability of the codes of each of the pieces (codes, contexts); for WordContexts."""
-        sizes = np.array([len(ids) for ids, _ in pieces])
-        if not sizes.sum():
-            return np.zeros(len(pieces))
+    def follow(self, ids: np.ndarray, contexts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of the codes of each of the pieces, given one after the other; for WordContexts."""
+        if not len(ids):
+            return np.zeros(len(sizes))
         turn = np.searchsorted(TURNS, ranges(sizes), side="right").astype(np.int8)
-        piece, order = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), np.argsort(turn, kind="stable")
+        piece, order = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.argsort(turn, kind="stable")
         piece = piece[order]
-        e: Events = self.contexts.events(np.concatenate([p[0] for p in pieces])[order], np.concatenate([p[1] for p in pieces], axis=1)[:, order])
+        e: Events = self.contexts.events(ids[order], contexts[:, order])
         x, gate = self.mixer.look(self.inputs, e)
         bounds = np.append(e.first, len(e.bits))
         ends = bounds[np.cumsum(np.bincount(turn))]
         p = online(self.mixer, self.settled, x, e, gate, np.repeat(piece, np.diff(bounds)), ends.tolist(), OWN_RATE, OWN_CALM)
-        return np.bincount(piece, np.log10(np.multiply.reduceat(p.astype(float), e.first)), len(pieces))
+        return np.bincount(piece, np.log10(np.multiply.reduceat(p.astype(float), e.first)), len(sizes))
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
     """(token binary, n, others, all): the words of (text, held, tune), with their counts in the training rows, in those that
     aren't tuning rows, and in all rows."""
 
-    def made(seen):
-        words = list(set().union(*seen))
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([c[w] for w in part], pa.int64()) for c in seen)], names=["token", "held", "tune", "others"])
+    def made(texts, kind):
+        words = Words(b" ".join(texts))
+        _, one, n = np.unique(words.hashes, return_index=True, return_counts=True)
+        s, sizes = words.starts[one], words.ends[one] - words.starts[one]
+        ends = np.cumsum(sizes)
+        flat = words.data[np.repeat(s - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        tokens = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(flat)])
+        counts = [n if k == kind else np.zeros(len(n), np.int64) for k in range(3)]
+        for k in range(0, len(one), 50_000):
+            yield pa.RecordBatch.from_arrays([tokens.slice(k, 50_000), *(pa.array(c[k : k + 50_000]) for c in counts)], names=["token", "held", "tune", "others"])
 
     def run(batches):
-        seen = [Counter() for _ in range(3)]
+        texts, sizes = [[], [], []], [0, 0, 0]
         for b in batches:
             for t, held, tune in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                seen[0 if held else 1 if tune else 2].update(tokens_of(t.as_py()))
-                if len(seen[2]) + len(seen[1]) + len(seen[0]) > 700_000:
-                    yield from made(seen)
-                    seen = [Counter() for _ in range(3)]
-        yield from made(seen)
+                kind = 0 if held else 1 if tune else 2
+                for piece, *_ in pieces(t.as_py()):
+                    texts[kind].append(piece)
+                    sizes[kind] += len(piece)
+                    if sizes[kind] > COUNTED:
+                        yield from made(texts[kind], kind)
+                        texts[kind], sizes[kind] = [], 0
+        for kind in range(3):
+            yield from made(texts[kind], kind)
 
     counted = rows.select("text", "held", "tune").mapInArrow(run, "token binary, held long, tune long, others long")
     n = F.col("tune") + F.col("others")
@@ -229,37 +236,27 @@ class Texts:
     def __init__(self, model: Model, bases: np.ndarray, end_base: float):
         self.model, self.bases, self.end_base = model, np.append(bases, [0.0, end_base]), end_base
 
-    def score(self, texts) -> list[tuple]:
+    def score(self, texts: list) -> list[tuple]:
         """(tokens, known head words, their and the end's base, log10 of the bits and of escapes met again, bytes, {rarer word: times})."""
-        contexts, held, many, out = self.model.contexts, [], 0, []
-        for t in texts:
-            before, rarer, total = None, {}, [0, 0, 0.0, 0.0, 0]
-            k = 0
-            for words in contexts.pieces(t):
-                ids, ctx, before = contexts.contexts(words, before)
-                for w in np.flatnonzero(ids == contexts.escape).tolist():
-                    m = rarer.get(words[w], 0)
-                    total[3] += math.log10((m or NOVEL) / (k + NOVEL))
-                    rarer[words[w]] = m + 1
-                    k += 1
-                total[0] += len(ids)
-                total[1] += int((ids < contexts.escape).sum())
-                total[2] += float(self.bases[ids].sum())
-                total[4] += sum(map(len, filter(None, words))) + len(words)
-                held.append((len(out), ids, ctx))
-                many += len(ids)
-                if many > TOGETHER:
-                    out.append((total, rarer))
-                    self._follow(held, out)
-                    held, many = [], 0
-                    out.pop()
-            out.append((total, rarer))
-        self._follow(held, out)
-        return [(*total, rarer) for total, rarer in out]
-
-    def _follow(self, held, out) -> None:
-        for (k, *_), p in zip(held, self.model.follow([h[1:] for h in held])):
-            out[k][0][3] += float(p)
+        contexts, out = self.model.contexts, np.zeros((len(texts), 5))
+        rarer: list[dict] = [{} for _ in texts]
+        escapes = [0] * len(texts)
+        for held in groups(texts, TOGETHER):
+            ids, ctx, sizes, missed, where = contexts.gather(held)
+            text = np.array([p[0] for p in held])
+            of = np.repeat(text, sizes)
+            for k, w in zip(text[where].tolist(), missed):
+                m = rarer[k].get(w, 0)
+                out[k, 3] += math.log10((m or NOVEL) / (escapes[k] + NOVEL))
+                rarer[k][w] = m + 1
+                escapes[k] += 1
+            out[:, 0] += np.bincount(of, minlength=len(texts))
+            out[:, 1] += np.bincount(of, ids < contexts.escape, len(texts))
+            out[:, 2] += np.bincount(of, self.bases[ids], len(texts))
+            out[:, 4] += np.bincount(text, [len(p[1].translate(None, b" \t\n\r\v\f")) for p in held], len(texts))
+            out[:, 3] += np.bincount(text, self.model.follow(ids, ctx, sizes), len(texts))
+        out[:, 4] += out[:, 0]
+        return [(*map(int, x[:2]), x[2], x[3], int(x[4]), r) for x, r in zip(out.tolist(), rarer)]
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +265,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows whose crc32 of the id's text is 0 modulo FOLDS are held out (a null id counts as an empty text); the model and base_score learn from
     the others. Null texts are empty: their one token is the end. Rows that repeat an id each get a row and each count. Without
     training rows every probability is the smoothing's or the untrained model's. An empty table gives an empty result. A text of more
-    than WordContexts.WINDOW bytes is read in pieces, each with weights of its own.
+    than WINDOW bytes (context_mixing.py) is read in pieces, each with weights of its own.
     n_bytes is that of the tokens and ends; bits_per_byte is -score in bits over it."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -304,16 +301,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     contexts = WordContexts(head, counts, rest, ends, slot_bits(total))
     training = rows.filter("not held").select(F.col("text").alias("item"), "tune", "h")
     trained = train(training, contexts, 500)
-    order = np.array([contexts.of[w] for w in head], np.int64)
-    bases = np.empty(len(head))
-    bases[order] = np.log10(counts + SMOOTH)
+    bases = np.log10(counts + SMOOTH)[contexts.order]
     scorer = spark.sparkContext.broadcast(Texts(trained, bases, math.log10(ends + SMOOTH)))
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                got = scorer.value.score(t.as_py() for t in part.column(1))
+                got = scorer.value.score(part.column(1).to_pylist())
                 at = pa.array(np.cumsum([0, *(len(g[5]) for g in got)]), pa.int32())
                 tails = [pa.ListArray.from_arrays(at, pa.array([y for g in got for y in x(g[5])], t)) for x, t in ((dict.keys, pa.binary()), (dict.values, pa.int64()))]
                 cols = [pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
