@@ -54,8 +54,9 @@ def spherical_cone(particles: DataFrame, observers: DataFrame, box: int, r1: int
 
 
 def sort_cone(cone: DataFrame) -> DataFrame:
-    """O2."""
-    return cone.sortWithinPartitions("iobs", "type")
+    """O2: a cone's rows by observer, type and particle, in ranges."""
+    order = ("iobs", "type", "indx")
+    return cone.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def replicate_box(df: DataFrame, box: int, images: list[tuple[int, int, int]]) -> DataFrame:

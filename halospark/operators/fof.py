@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,46 +14,55 @@ from .graph import components
 from .pairs import HALF_SHELL
 
 
-def local_labels(ids: np.ndarray, pos: np.ndarray, b: float, box: int | None = None) -> np.ndarray:
-    """The smallest id of each point's group, linking points at most b apart. box: periodic, None: open."""
+#: Candidate pairs that are looked at together.
+TOGETHER = 4_000_000
+
+
+def local_labels(ids: np.ndarray, pos: np.ndarray, b: float) -> np.ndarray:
+    """The smallest id of each point's group, linking points at most b apart.
+
+    Points of a cell meet those of half the cells around, TOGETHER pairs at a time, and those linked are put in one set; so what is
+    held grows with the points, not with their pairs."""
     n = len(ids)
     if n < 2:
         return ids.copy()
     cell = np.floor(pos / b).astype(np.int64)
     cell -= cell.min(axis=0)
     side = cell.max(axis=0) + 1
-    if box is not None:
-        raise NotImplementedError("blocks are open; their ghosts carry the period")
     key = (cell[:, 0] * (side[1] + 2) + cell[:, 1]) * (side[2] + 2) + cell[:, 2]
     order = np.argsort(key, kind="stable")
     key_s, pos_s = key[order], pos[order]
-    pairs = []
+    by_id = np.argsort(ids[order], kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_id] = np.arange(n)
+    up = np.arange(n)  # by rank: the set's smallest rank, or on the way to it
+
+    def settle():
+        nonlocal up
+        while not np.array_equal(higher := up[up], up):
+            up = higher
+
     for dx, dy, dz in HALF_SHELL:
         to = key_s + (dx * (side[1] + 2) + dy) * (side[2] + 2) + dz
         lo, hi = np.searchsorted(key_s, to, "left"), np.searchsorted(key_s, to, "right")
         if (dx, dy, dz) == (0, 0, 0):
             lo = np.arange(n) + 1
-        count = np.maximum(hi - lo, 0)
-        i = np.repeat(np.arange(n), count)
-        j = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(i))
-        near = ((pos_s[i] - pos_s[j]) ** 2).sum(axis=1) <= b * b
-        pairs.append((i[near], j[near]))
-    i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    rank = np.empty(n, np.int64)
-    by_id = np.argsort(ids[order], kind="stable")
-    rank[by_id] = np.arange(n)  # labels are ranks of ids, so the smallest label is the smallest id
-    label = rank.copy()
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = np.minimum(label, label[by_id[label]])
-        if (label == before).all():
-            break
-    out = np.empty(n, ids.dtype)
-    out[order] = ids[order][by_id[label]]
-    return out
+        upto = np.cumsum(np.maximum(hi - lo, 0))
+        s = 0
+        while s < n:
+            e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + TOGETHER, "right")))
+            count = np.maximum(hi[s:e] - lo[s:e], 0)
+            i = np.repeat(np.arange(s, e), count)
+            j = np.repeat(lo[s:e] - (np.cumsum(count) - count), count) + np.arange(len(i))
+            near = ((pos_s[i] - pos_s[j]) ** 2).sum(axis=1) <= b * b
+            one, two = up[rank[i[near]]], up[rank[j[near]]]
+            while (apart := one != two).any():
+                one, two = one[apart], two[apart]
+                np.minimum.at(up, np.maximum(one, two), np.minimum(one, two))
+                settle()
+                one, two = up[one], up[two]
+            s = e
+    return ids[order][by_id[up[rank]]][np.argsort(order, kind="stable")]
 
 
 def _blocks(df: DataFrame, b: int, box: int, edge: int) -> DataFrame:
@@ -73,12 +84,18 @@ def block_edge(b: int, box: int, blocks: int) -> int:
     return box // max([n for n in fit if n <= blocks] or fit[:1] or [1])
 
 
-def fof_groups(particles: DataFrame, b: int, box: int, blocks: int = 8, key: str = "indx") -> DataFrame:
+#: Particles of a block, on average, at most.
+BLOCK_ROWS = 200_000
+
+
+def fof_groups(particles: DataFrame, b: int, box: int, blocks: int | None = None, key: str = "indx") -> DataFrame:
     """(key, label): the smallest key of each particle's group, linking particles at most b apart (inclusive, periodic).
 
     Blocks with ghosts of width b are grouped by themselves, one task's rows at a time; ghosts that got two labels give edges
     of a graph of labels, which only holds labels at block faces and whose components merge the groups. The number of
-    blocks sets how many particles a task holds at once."""
+    blocks an axis follows the particles' number by default, 8 at least, and sets how many a task holds at once."""
+    if blocks is None:
+        blocks = max(8, math.ceil((particles.count() / BLOCK_ROWS) ** (1 / 3)))
     edge = block_edge(b, box, blocks)
     if box // edge < 3:
         raise ValueError("the box is less than three blocks wide")
@@ -123,14 +140,27 @@ def unwrap(members: DataFrame, b: int, box: int, group: str = "hid") -> DataFram
     return members
 
 
-def dense_numbers(df: DataFrame, order: list, name: str = "hid", partitions: int = 8) -> DataFrame:
-    """Df with dense numbers from 0 in the given order, without a window over all rows: ranges are sorted, counted, and
-    numbered from the counts of the ranges before."""
-    ranged = cut(df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).select("_range", "_before")  # a row for each range
-    w = Window.partitionBy("_range").orderBy("_place")
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.row_number().over(w) - 1).drop("_range", "_place", "_before")
+#: Rows of a range, on average, at most.
+RANGE_ROWS = 4_000_000
+
+
+def numbered(ranged: DataFrame, name: str = "place") -> DataFrame:
+    """Rows with their places from 0 in the order in which they are, partition after partition: their place in the partition and the
+    counts of those before. The numbered rows are written."""
+    rows = cut(ranged.withColumn("_m", F.monotonically_increasing_id()))
+    counts = rows.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")  # a row for each partition
+    placed = rows.join(F.broadcast(before), F.shiftright("_m", 33) == F.col("_p"))
+    return placed.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_before")
+
+
+def dense_numbers(df: DataFrame, order: list, name: str = "hid", partitions: int | None = None) -> DataFrame:
+    """Df with dense numbers from 0 in the given order, without a window over the rows: ranges, as many as the rows need by
+    default, are sorted and counted, and rows numbered from the counts of the ranges before."""
+    if partitions is None:
+        df = cut(df)
+        partitions = max(8, -(-df.count() // RANGE_ROWS))
+    return numbered(df.repartitionByRange(partitions, *order).sortWithinPartitions(*order), name)
 
 
 def prefof_filter(particles: DataFrame, b: int, box: int, cell: int, least: int = 20, key: str = "indx") -> DataFrame:

@@ -8,32 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.scalars import w4_kernel
 
 
-def _axis_weights(scheme: str, q: Column, n: int) -> Column:
-    """An array of (cell, weight) along an axis for a position q in cells."""
-    if scheme == "cic":
-        i = F.floor(q)
-        f = q - i
-        parts = [(i, 1 - f), (i + 1, f)]
-    elif scheme == "tsc":
-        i = F.floor(q + F.lit(0.5))
-        f = q - i
-        parts = [(i + d, F.lit(0.75) - f * f if d == 0 else F.lit(0.5) * (F.lit(0.25) + f * f + d * f)) for d in (-1, 0, 1)]
-    else:
-        i = F.floor(q)
-        parts = [(i, F.lit(1.0))]
-    return F.array(*(F.struct(F.pmod(c, F.lit(n)).cast("long").alias("c"), w.alias("w")) for c, w in parts))
+#: By scheme: the base cell of a position in cells, the cells around it that get a share, and the shares for the position off the base.
+_SCHEMES = {
+    "ngp": (F.floor, (0,), lambda f: [F.lit(1.0)]),
+    "cic": (F.floor, (0, 1), lambda f: [1 - f, f]),
+    "tsc": (lambda q: F.floor(q + F.lit(0.5)), (-1, 0, 1), lambda f: [F.lit(0.5) * (F.lit(0.25) + f * f - f), F.lit(0.75) - f * f, F.lit(0.5) * (F.lit(0.25) + f * f + f)]),
+}
 
 
 def deposit(particles: DataFrame, n: int, q: dict[str, Column], scheme: str = "tsc", value: Column | None = None) -> DataFrame:
     """(ix, iy, iz, value) of the cells of an n^3 periodic mesh that particles give to. q: positions in cells.
 
-    scheme: cic (8 cells), tsc (27 cells) or ngp (1 cell). value: what each particle gives, 1 by default. Cells are summed in
-    the tasks before they are exchanged."""
-    rows = particles.select(*(_axis_weights(scheme, q[c], n).alias(f"a{c}") for c in "xyz"), (F.lit(1.0) if value is None else value.cast("double")).alias("v"))
-    for c in "xyz":
-        rows = rows.withColumn(f"e{c}", F.explode(f"a{c}")).drop(f"a{c}")
-    weight = F.col("ex.w") * F.col("ey.w") * F.col("ez.w") * F.col("v")
-    return rows.select(F.col("ex.c").alias("ix"), F.col("ey.c").alias("iy"), F.col("ez.c").alias("iz"), weight.alias("w")).groupBy("ix", "iy", "iz").agg(F.sum("w").alias("value"))
+    scheme: cic (8 cells), tsc (27 cells) or ngp (1 cell). value: what each particle gives, 1 by default. The particles of a cell
+    are summed first, one sum for each cell that they give to, and only these sums are dealt to the cells around."""
+    base, offsets, weights = _SCHEMES[scheme]
+    rows = particles.select(*(base(q[c]).alias(f"b{c}") for c in "xyz"), *(q[c].alias(f"q{c}") for c in "xyz"), (F.lit(1.0) if value is None else value.cast("double")).alias("v"))
+    rows = rows.select("v", *(F.pmod(f"b{c}", F.lit(n)).cast("int").alias(f"b{c}") for c in "xyz"), *(w.alias(f"w{c}{k}") for c in "xyz" for k, w in enumerate(weights(F.col(f"q{c}") - F.col(f"b{c}")))))
+    places = [(i, j, k) for i in range(len(offsets)) for j in range(len(offsets)) for k in range(len(offsets))]
+    plane = {(i, j): F.col(f"wx{i}") * F.col(f"wy{j}") * F.col("v") for i, j, _ in places}
+    sums = rows.groupBy("bx", "by", "bz").agg(*(F.sum(plane[i, j] * F.col(f"wz{k}")).alias(f"s{m}") for m, (i, j, k) in enumerate(places)))
+    at = lambda c, d: F.pmod(F.col(f"b{c}") + d, F.lit(n)).cast("long")
+    around = F.array(*(F.struct(at("x", offsets[i]).alias("ix"), at("y", offsets[j]).alias("iy"), at("z", offsets[k]).alias("iz"), F.col(f"s{m}").alias("w")) for m, (i, j, k) in enumerate(places)))
+    return sums.select(F.explode(around).alias("e")).select("e.*").groupBy("ix", "iy", "iz").agg(F.sum("w").alias("value"))
 
 
 def overdensity(grid: DataFrame, n: int, total: float) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import w4_kernel
+from ..scratch import cut
 from .pairs import knn_in_group
 
 
@@ -85,11 +87,35 @@ def shape(members: DataFrame, group: str = "hid") -> DataFrame:
 def pair_potential(members: DataFrame, eps: float = 0.1, group: str = "hid", tile: int = 2000) -> DataFrame:
     """Members with pe, the sum over the group's other members of -1/sqrt(r^2 + eps^2), exact.
 
-    Groups are cut in tiles of about `tile` members, and each pair of tiles is a task's matrix: a large halo becomes many
-    tasks, none over tile^2 pairs."""
+    Groups of up to `tile` members are summed one after the other by the task that has them. Larger ones are cut in tiles of
+    about that size, and each pair of tiles is a matrix of its own: a large halo becomes many tasks, none over tile^2 pairs."""
     sizes = members.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
-    rows = members.join(sizes, group).select(F.col(group).alias("g"), F.col("indx").alias("id"), *(F.col(c).cast("double") for c in "xyz"), "_tiles")
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    rows = cut(members.join(sizes, group).select(F.col(group).alias("g"), F.col("indx").alias("id"), *(F.col(c).cast("double") for c in "xyz"), "_tiles"))
+    alone = rows.filter("_tiles = 1").drop("_tiles").repartition("g").sortWithinPartitions("g")
+
+    def whole(batches):
+        held = None
+        for b in batches:
+            now = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            g = now["g"].to_numpy()
+            ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+            if len(ends) > 1:
+                yield from _sums_of(now.slice(0, int(ends[-2])), ends[:-1])
+            held = now.slice(int(ends[-2])) if len(ends) > 1 else now
+        if held is not None and held.num_rows:
+            yield from _sums_of(held, np.array([held.num_rows]))
+
+    def _sums_of(part, ends):
+        place, out = np.stack([part[c].to_numpy() for c in "xyz"], axis=1), np.empty(part.num_rows)
+        for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            d = place[s:e, None, :] - place[None, s:e, :]
+            f = 1 / np.sqrt(np.einsum("ijk,ijk->ij", d, d) + eps * eps)
+            np.fill_diagonal(f, 0)
+            out[s:e] = -f.sum(axis=1)
+        yield from pa.table({"g": part["g"], "id": part["id"], "pe": out}).to_batches()
+
+    few = alone.mapInArrow(whole, "g long, id long, pe double")
+    rows = rows.filter("_tiles > 1").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     left = rows.select("g", F.col("_own").alias("i"), F.col("_other").alias("j"), F.lit(True).alias("left"), "id", "x", "y", "z")
     right = rows.select("g", F.col("_other").alias("i"), F.col("_own").alias("j"), F.lit(False).alias("left"), "id", "x", "y", "z")
 
@@ -105,10 +131,15 @@ def pair_potential(members: DataFrame, eps: float = 0.1, group: str = "hid", til
         return pd.DataFrame({"g": a["g"], "id": a["id"], "pe": out})
 
     tiles = left.unionByName(right).groupBy("g", "i", "j").applyInPandas(sums, "g long, id long, pe double")
-    pe = tiles.groupBy("g", "id").agg(F.sum("pe").alias("pe"))
+    pe = few.unionByName(tiles.groupBy("g", "id").agg(F.sum("pe").alias("pe")))
     return members.join(pe, (members[group] == pe["g"]) & (members["indx"] == pe["id"])).drop("g", "id")
 
 
+def kinetic_total(particles: DataFrame) -> DataFrame:
+    """The sum of squared velocities, and the number of particles."""
+    return particles.agg(F.sum(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")).alias("kinetic"), F.count("*").alias("n"))
+
+
 def most_bound(members: DataFrame, energy, group: str = "hid") -> DataFrame:
     """The member with the least energy of each group; of equal ones that with the smallest indx."""
     return members.groupBy(group).agg(F.min(F.struct(energy.alias("e"), "indx")).alias("m")).select(group, F.col("m.indx").alias("mbp"), F.col("m.e").alias("e"))
@@ -148,12 +179,15 @@ def halo_properties(members: DataFrame, hubble: float, eps: float = 0.1, g: floa
 
 
 def sph_density(members: DataFrame, k: int, box: int, edge: int, group: str = "hid") -> DataFrame:
-    """(group, indx, density): the kernel summed over the k nearest others and the row itself, of radius the distance of the k-th."""
+    """(group, indx, density): the kernel summed over the k nearest others and the row itself, of radius the distance of the k-th.
+
+    Where the k-th is at the same place the density has no bound and is null, and so it is for the only member of a group."""
     near = knn_in_group(members, k, box, edge, group)
     far = near.groupBy(group, "id").agg((F.sqrt(F.max("r2").cast("double")) / 2).alias("h"))
-    both = near.join(far, [group, "id"]).filter("h > 0")
+    both = near.join(far, [group, "id"])
     others = both.groupBy(group, "id").agg(F.sum(w4_kernel(F.sqrt(F.col("r2").cast("double")), F.col("h"))).alias("d"), F.first("h").alias("h"))
-    return others.select(group, F.col("id").alias("indx"), (F.col("d") + w4_kernel(F.lit(0.0), F.col("h"))).alias("density"))
+    found = others.select(group, F.col("id").alias("indx"), F.when(F.col("h") > 0, F.col("d") + w4_kernel(F.lit(0.0), F.col("h"))).alias("density"))
+    return members.select(group, "indx").join(found, [group, "indx"], "left")
 
 
 def density_peak(members: DataFrame, density: DataFrame, group: str = "hid") -> DataFrame:

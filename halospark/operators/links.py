@@ -71,13 +71,11 @@ def link_steps(members: DataFrame, steps: list[int], least: int) -> DataFrame:
 def trace(links: DataFrame, start: DataFrame, down: bool, steps: int) -> DataFrame:
     """Rows of links reached from start (step, mbp) by going down or up one step at a time, as long as the MBP is there.
 
-    Each round is a join of the frontier; the frontier is written every ten rounds."""
+    Each round is a join of the frontier, which is written, so no round is evaluated twice."""
     d = -1 if down else 1
-    frontier = links.join(start.select("step", "mbp").distinct(), ["step", "mbp"], "left_semi")
+    frontier = cut(links.join(start.select("step", "mbp").distinct(), ["step", "mbp"], "left_semi"))
     out = frontier
-    for n in range(1, steps):
-        frontier = links.join(frontier.select((F.col("step") + d).alias("step"), "mbp"), ["step", "mbp"], "left_semi")
-        if n % 10 == 0:
-            frontier = cut(frontier)
+    for _ in range(1, steps):
+        frontier = cut(links.join(frontier.select((F.col("step") + d).alias("step"), "mbp"), ["step", "mbp"], "left_semi"))
         out = out.unionByName(frontier)
     return out

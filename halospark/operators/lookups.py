@@ -48,6 +48,11 @@ def repartition_slabs(df: DataFrame, parts: int, col: str = "z") -> tuple[DataFr
     return ranged, ranged.groupBy("slab").agg(F.min(col).alias("low"), F.max(col).alias("high"), F.count("*").alias("n"))
 
 
+def sort_by_key(df: DataFrame, *order, parts: int = 8) -> DataFrame:
+    """O1: df in `parts` ranges of the order, each sorted: partition after partition, rows are in order."""
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def top_n(df: DataFrame, n: int, *order) -> DataFrame:
     """O4, A34."""
     return df.orderBy(*order).limit(n)

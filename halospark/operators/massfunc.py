@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def reverse_cumulative(bins: DataFrame, value: str, order: str = "bin", by: list[str] | None = None) -> DataFrame:
     """Bins with `cumulative`, the sum of value over this and all later bins. bins: a row for each bin."""
@@ -18,14 +20,20 @@ def mass_function(halos: DataFrame, mass: str, nbin: int, volume: float = 1.0, l
     """(bin, n, mass, dndlogm, hi, lo, cumulative) over nbin bins of equal width in log10 mass.
 
     low, high: log10 of the range, else that of the halos. h multiplies masses. The heaviest halo is on the last bin's edge:
-    `keep` counts it there, `drop` leaves it out; halos outside a given range are left out. Bins are means of their edges' masses;
-    dndlogm is the number in a unit volume and decade, hi and lo one Poisson deviation off."""
+    `keep` counts it there, `drop` leaves it out; halos outside a given range are left out. Halos that are all alike get a range of one
+    decade around them; no halos give no bins. Bins are means of their edges' masses; dndlogm is the number in a unit volume and decade,
+    hi and lo one Poisson deviation off."""
     m = (F.col(mass) * h).cast("double")
+    if low is not None and high is not None and high <= low:
+        raise ValueError("high must be above low")
     rows = halos.filter(m > 0).select(F.log10(m).alias("logm"))
     if low is None or high is None:
+        rows = cut(rows)  # the range and the counts read it: halos are found once
         least, most = rows.agg(F.min("logm"), F.max("logm")).first()
+        if least is not None and (least if low is None else low) >= (most if high is None else high):
+            least, most = (least - 0.5 if high is None else high - 1), (most + 0.5 if low is None else low + 1)
         low, high = (least if low is None else low), (most if high is None else high)
-    if low is None or high is None or high <= low:
+    if low is None or high is None:
         return halos.sparkSession.createDataFrame([], "bin long, n long, mass double, dndlogm double, hi double, lo double, cumulative double")
     width = (high - low) / nbin
     bin_ = F.floor((F.col("logm") - low) / width).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,25 +18,41 @@ def fourier_modes(grid: DataFrame, n: int) -> DataFrame:
     The transform is taken axis by axis: lines of n cells are grouped, transformed and dealt out again for the next axis, so a task
     holds lines, never the mesh."""
 
-    def axis(place: str, rows: pd.DataFrame, real: bool) -> np.ndarray:
-        line = np.zeros(n, complex)
-        line[rows[place].to_numpy(np.int64)] = rows["re"].to_numpy() + (0 if real else 1j * rows["im"].to_numpy())
-        return np.fft.rfft(line.real) if real else np.fft.fft(line)
-
-    def along_x(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = axis("kx", pdf, True)
-        return pd.DataFrame({"kx": np.arange(len(f)), "ky": pdf["ky"].iloc[0], "kz": pdf["kz"].iloc[0], "re": f.real, "im": f.imag})
-
-    def along_y(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = axis("ky", pdf, False)
-        return pd.DataFrame({"kx": pdf["kx"].iloc[0], "ky": np.arange(n), "kz": pdf["kz"].iloc[0], "re": f.real, "im": f.imag})
-
-    def along_z(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = axis("kz", pdf, False)
-        return pd.DataFrame({"kx": pdf["kx"].iloc[0], "ky": pdf["ky"].iloc[0], "kz": np.arange(n), "re": f.real, "im": f.imag})
-
-    rows = grid.select(F.col("ix").alias("kx"), F.col("iy").alias("ky"), F.col("iz").alias("kz"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    return rows.groupBy("ky", "kz").applyInPandas(along_x, MODE).groupBy("kx", "kz").applyInPandas(along_y, MODE).groupBy("kx", "ky").applyInPandas(along_z, MODE)
+    def along(rows: DataFrame, place: str) -> DataFrame:
+        """Transforms along an axis, many lines at a time; rows come sorted by line."""
+        line = [c for c in ("kx", "ky", "kz") if c != place]
+
+        def run(batches):
+            held = None
+            for b in batches:
+                now = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+                key = now[line[0]].to_numpy() * n + now[line[1]].to_numpy()
+                new = np.flatnonzero(key[1:] != key[:-1])
+                upto = int(new[-1]) + 1 if len(new) else 0
+                if upto:
+                    yield from whole(now.slice(0, upto))
+                held = now.slice(upto)
+            if held is not None and held.num_rows:
+                yield from whole(held)
+
+        def whole(part):
+            u, v = (part[c].to_numpy() for c in line)
+            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
+            for lo in range(0, len(first), 4096):
+                rows = slice(int(first[lo]), int(first[lo + 4096]) if lo + 4096 < len(first) else len(u))
+                many = min(4096, len(first) - lo)
+                lines = np.zeros((many, n), complex)
+                lines[of[rows] - lo, part[place].to_numpy()[rows]] = part["re"].to_numpy()[rows] + 1j * part["im"].to_numpy()[rows]
+                f = np.fft.fft(lines, axis=1)[:, : n // 2 + 1 if place == "kx" else n]
+                m = f.shape[1]
+                cols = {line[0]: np.repeat(u[first[lo : lo + many]], m), line[1]: np.repeat(v[first[lo : lo + many]], m), place: np.tile(np.arange(m), many), "re": f.real.ravel(), "im": f.imag.ravel()}
+                yield from pa.table({c: cols[c] for c in ("kx", "ky", "kz", "re", "im")}).to_batches()
+
+        return rows.repartition(*line).sortWithinPartitions(*line).mapInArrow(run, MODE)
+
+    rows = grid.select(F.col("ix").cast("long").alias("kx"), F.col("iy").cast("long").alias("ky"), F.col("iz").cast("long").alias("kz"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    return along(along(along(rows, "kx"), "ky"), "kz")
 
 
 def power_spectrum(modes: DataFrame, n: int, window: int = 3, hermitian: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from .fof import dense_numbers
 from .massfunc import histogram_quantiles, mass_function
 
 
-def build_tree(links: DataFrame, partitions: int = 8) -> DataFrame:
+def build_tree(links: DataFrame, partitions: int | None = None) -> DataFrame:
     """Links with gid, a number for each unbroken line of an MBP, and majorgid, that of its host's heaviest.
 
     A line is an island of consecutive steps of one mbp; islands are numbered by first step and mbp. A lost MBP that comes back
@@ -35,7 +35,7 @@ def propagate_gid(tree: DataFrame) -> DataFrame:
     return tree.join(before, ["step", "mbp"]).select("step", "mbp", "gid", "gid_before")
 
 
-def sort_by_major(tree: DataFrame, step: int, partitions: int = 8) -> DataFrame:
+def sort_by_major(tree: DataFrame, step: int, partitions: int | None = None) -> DataFrame:
     """Tree with new gids, dense in the order of majorgid at the given step (lines without one last), then gid; majorgids follow."""
     lines = tree.groupBy("gid").agg(F.max(F.when(F.col("step") == step, F.col("majorgid"))).alias("_major"))
     lines = lines.withColumn("_order", F.coalesce("_major", F.lit(2**62)))
@@ -44,11 +44,11 @@ def sort_by_major(tree: DataFrame, step: int, partitions: int = 8) -> DataFrame:
     return both.drop("gid", "majorgid").withColumnsRenamed({"newgid": "gid", "newmajor": "majorgid"})
 
 
-def finalize(tree: DataFrame, partitions: int = 8) -> DataFrame:
+def finalize(tree: DataFrame, partitions: int | None = None) -> DataFrame:
     """T4: non-empty histories, sorted by gid and step in ranges."""
     from .filters import drop_empty_histories
 
-    return drop_empty_histories(tree).repartitionByRange(partitions, "gid").sortWithinPartitions("gid", "step")
+    return drop_empty_histories(tree).repartitionByRange(partitions or 8, "gid").sortWithinPartitions("gid", "step")
 
 
 def histories(tree: DataFrame, cols: list[str]) -> DataFrame:

@@ -173,7 +173,7 @@ def a10_halo_properties(spark, sf):
 
 
 _W4 = "CASE WHEN {q} < 1 THEN 1 - 1.5e0*{q}*{q} + 0.75e0*{q}*{q}*{q} WHEN {q} < 2 THEN 0.25e0*(2-{q})*(2-{q})*(2-{q}) ELSE 0 END / (pi()*h*h*h)"
-DENSITY = f"{KNN}, hh AS (SELECT hid, id, sqrt(max(r2))/2 AS h FROM kn GROUP BY 1, 2), dn AS MATERIALIZED (SELECT hid, id AS indx, round((sum({_W4.format(q='(sqrt(r2)/h)')}) + 1/(pi()*any_value(h*h*h)))*1000000, 3) AS density FROM kn JOIN hh USING (hid, id) WHERE h > 0 GROUP BY 1, 2)"
+DENSITY = f"{KNN}, hh AS (SELECT hid, id, sqrt(max(r2))/2 AS h FROM kn GROUP BY 1, 2), dn AS MATERIALIZED (SELECT c.hid, c.indx, density FROM c LEFT JOIN (SELECT hid, id AS indx, round((sum({_W4.format(q='(sqrt(r2)/h)')}) + 1/(pi()*any_value(h*h*h)))*1000000, 3) AS density FROM kn JOIN hh USING (hid, id) WHERE h > 0 GROUP BY 1, 2) USING (hid, indx))"
 
 
 def _density(spark, sf):
@@ -185,18 +185,18 @@ def a11_sph_density(spark, sf):
     return _density(spark, sf)
 
 
-@query(f"WITH {DENSITY} SELECT hid, indx, density, x, y, z FROM (SELECT dn.*, x, y, z, row_number() OVER (PARTITION BY dn.hid ORDER BY density DESC, indx) AS rn FROM dn JOIN c USING (hid, indx)) WHERE rn = 1")
+@query(f"WITH {DENSITY} SELECT hid, indx, density, x, y, z FROM (SELECT dn.*, x, y, z, row_number() OVER (PARTITION BY dn.hid ORDER BY density DESC NULLS LAST, indx) AS rn FROM dn JOIN c USING (hid, indx)) WHERE rn = 1")
 def a12_density_peak_center(spark, sf):
     return halo.density_peak(clumps(spark, sf), _density(spark, sf))
 
 
 @query(f"""WITH c AS (SELECT hid, avg(x)/256 AS qx, avg(y)/256 AS qy, avg(z)/256 AS qz FROM ({CLUMPS}) GROUP BY 1), o AS (SELECT unnest(range(-2, 3)) AS o),
 w AS (SELECT ix, iy, iz, sqrt(pow(ix-qx, 2)+pow(iy-qy, 2)+pow(iz-qz, 2)) AS r FROM (SELECT c.*, CAST(floor(qx) AS BIGINT)+a.o AS ix, CAST(floor(qy) AS BIGINT)+b.o AS iy, CAST(floor(qz) AS BIGINT)+e.o AS iz FROM c, o a, o b, o e) WHERE ix BETWEEN 0 AND 63 AND iy BETWEEN 0 AND 63 AND iz BETWEEN 0 AND 63)
-SELECT ix, iy, iz, round(sum({_W4.format(q='r').replace('h*h*h', '1')}), 7) AS value FROM w WHERE r < 2 GROUP BY 1, 2, 3 HAVING sum({_W4.format(q='r').replace('h*h*h', '1')}) >= 0.00001""")
+SELECT ix, iy, iz, round(sum({_W4.format(q='r').replace('h*h*h', '1')}), 7) AS value FROM w WHERE r < 2 GROUP BY 1, 2, 3""")
 def a13_deposit_w4(spark, sf):
     centres = clumps(spark, sf).groupBy("hid").agg(*((F.avg(c) / 256).alias(f"q{c}") for c in "xyz"))
     out = deposit_w4(centres, 64, 2, {c: F.col(f"q{c}") for c in "xyz"}, F.lit(1.0))
-    return out.filter("value >= 0.00001").withColumn("value", F.round("value", 7))
+    return out.withColumn("value", F.round("value", 7))
 
 
 MF = """lim AS (SELECT min(lm) AS lo, max(lm) AS hi FROM hl),
@@ -238,7 +238,7 @@ def _cores(spark, sf):
     contours = subhalo.separate_contours(subhalo.halo_density(c, 64)[0]).select("hid", "ix", "iy", "iz", "peak")
     cells = c.withColumns({f"i{v}": F.expr(f"{v} div 64") for v in "xyz"})
     joined = cells.join(contours, ["hid", "ix", "iy", "iz"], "left")
-    return cut(joined.select(*c.columns, (F.col("hid") * 1000 + F.col("peak")).alias("core")))
+    return cut(joined.select(*c.columns, F.when(F.col("peak").isNotNull(), F.xxhash64("hid", "peak")).alias("core")))
 
 
 @query()

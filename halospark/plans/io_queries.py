@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import links as L
+from ..operators.lookups import snapshot_schedule
 from ..operators.tree import build_tree, histories
 from ..scratch import cut, shared_dir
 from ..sources import binary as B
@@ -48,14 +49,18 @@ def s3_read_halo_catalog(spark, sf):
     return rows.select("np", *_floats(rows, "x", "vx"))
 
 
-@query(f"SELECT indx, hid FROM ({MEMBERS}) WHERE step = 0")
+@query(f"SELECT step, indx, hid FROM ({MEMBERS})")
 def s4_read_members(spark, sf):
-    """Members in halo order in one file; the halo's numbers and counts say whose they are."""
+    """For each step a member file in halo order, without halo numbers; the halos' numbers and counts say whose its rows are."""
     from ..operators.fof import dense_numbers
 
-    rows = members(spark, sf).filter("step = 0")
-    placed = dense_numbers(rows.select("indx", "hid"), [F.col("hid"), F.col("indx")], "row").select("row", "indx")
-    return text.assign_runs(placed, rows.groupBy("hid").agg(F.count("*").alias("np")), 100).select("indx", "hid")
+    path, rows, out = shared_dir(spark), cut(members(spark, sf)), None
+    for s in range(STEPS):
+        mine = rows.filter(F.col("step") == s)
+        dense_numbers(mine.select("indx", "hid"), [F.col("hid"), F.col("indx")], "row").select("row", "indx").write.parquet(f"{path}/{s}")
+        runs = text.assign_runs(spark.read.parquet(f"{path}/{s}"), mine.groupBy("hid").agg(F.count("*").alias("np")), 100).select(F.lit(s).alias("step"), "indx", "hid")
+        out = runs if out is None else out.unionByName(runs)
+    return out
 
 
 @query(f"SELECT hid, CAST(CAST(mass AS FLOAT) AS DOUBLE) AS mass, CAST(CAST(q AS FLOAT) AS DOUBLE) AS q, CAST(CAST(s AS FLOAT) AS DOUBLE) AS s, CAST(3*mass AS DOUBLE) AS ang_sum FROM ({HALO_PROPS})")
@@ -89,11 +94,11 @@ def s7_read_table_ascii(spark, sf):
     return text.read_table_ascii(spark, path, ["k", "pk"])
 
 
-@query(f"SELECT indx, x, y, z FROM ({PARTICLES}) WHERE z < 4096")
+@query(f"SELECT indx, x, y, z FROM ({PARTICLES})")
 def s8_write_snapshot(spark, sf):
     path = shared_dir(spark)
     tables.write_snapshot(particles(spark, sf).withColumn("step", F.lit(1)), path)
-    return spark.read.parquet(path).filter("step = 1 and z < 4096").select("indx", "x", "y", "z")
+    return spark.read.parquet(path).filter("step = 1").select("indx", "x", "y", "z")
 
 
 @query(f"SELECT step, hid, CAST(count(*) AS BIGINT) AS np FROM ({MEMBERS}) GROUP BY 1, 2 HAVING count(*) >= 20")
@@ -111,18 +116,18 @@ def s10_export_halo_list(spark, sf):
     return text.read_table_ascii(spark, path, ["mass", "x", "y", "z", "vx", "vy", "vz"]).select("mass", "x")
 
 
-@query(f"WITH p AS MATERIALIZED ({PARTICLES}), {tsc_sql(MESH, 16)} SELECT ix, iy, iz, value FROM g WHERE iz < 16")
+@query(f"WITH p AS MATERIALIZED ({PARTICLES}), {tsc_sql(MESH, 16)} SELECT ix, iy, iz, value FROM g")
 def s11_write_density(spark, sf):
     path = shared_dir(spark)
     tables.write_density(tsc(spark, sf).withColumn("step", F.lit(0)), path)
-    return spark.read.parquet(path).filter("step = 0 and iz < 16").select("ix", "iy", "iz", "value")
+    return spark.read.parquet(path).filter("step = 0").select("ix", "iy", "iz", "value")
 
 
-@query(f"WITH {TREE} SELECT gid, mbp, mass FROM tree WHERE step = 2")
+@query(f"WITH {TREE} SELECT step, gid, mbp, mass FROM tree")
 def s12_write_tree_step(spark, sf):
     path = shared_dir(spark)
     tables.write_tree(build_tree(L.link_steps(members(spark, sf), list(range(STEPS)), MIN_MEMBERS)), path)
-    return spark.read.parquet(path).filter("step = 2").select("gid", "mbp", "mass")
+    return spark.read.parquet(path).select("step", "gid", "mbp", "mass")
 
 
 @query(f"WITH {TREE} SELECT gid, CAST(count(*) AS INTEGER) AS n, min(step) AS birth, max(step) AS last, CAST(sum(mass) AS BIGINT) AS mass FROM tree GROUP BY 1")
@@ -148,18 +153,24 @@ def s14_write_cone(spark, sf):
 
 
 def _arrive(spark, rows, path):
-    """Writes rows a step at a time, as they would arrive."""
+    """Writes rows a step at a time, as they would arrive, each step in several files."""
     rows = cut(rows)
     for s in range(STEPS):
-        rows.filter(F.col("step") == s).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(F.col("step") == s).repartition(FILES, "indx").write.mode("append").parquet(path)
     return rows.schema
 
 
+#: Files that a step arrives in, and files of a batch, so that steps span batches.
+FILES, BATCH = 3, 4
+
+
 @query(f"SELECT step, hid, CAST(count(*) AS BIGINT) AS np FROM ({MEMBERS}) WHERE step IN (0, 2, 4) GROUP BY 1, 2")
 def r1_stream_products(spark, sf):
     path, out = shared_dir(spark), shared_dir(spark)
     schema = _arrive(spark, members(spark, sf), path)
-    products.stream_products(products.arriving(spark, path, schema), out, shared_dir(spark), F.col("step") % 2 == 0, lambda b: b.groupBy("step", "hid").agg(F.count("*").alias("np")))
+    times = spark.range(STEPS).select(F.col("id").cast("int").alias("step"), ((F.col("id") + 2) / 10).alias("a"))
+    due = snapshot_schedule(times, [4.0, 1.5, 2 / 3], 1.0, 0.1)  # the redshifts of steps 0, 2 and 4
+    products.stream_products(products.arriving(spark, path, schema, BATCH), out, shared_dir(spark), shared_dir(spark), due, lambda b: b.groupBy("step", "hid").agg(F.count("*").alias("np")))
     return spark.read.parquet(out).select("step", "hid", "np")
 
 
@@ -168,8 +179,8 @@ def r2_stream_cone_sync(spark, sf):
     path, out = shared_dir(spark), shared_dir(spark)
     timed = members(spark, sf).select("indx", "step", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("step") * 600).alias("ts"), F.col("e").cast("double").alias("v"))
     schema = _arrive(spark, timed, path)
-    a = products.arriving(spark, path, schema).withColumnRenamed("v", "v0")
-    b = products.arriving(spark, path, schema).withColumnRenamed("v", "v1")
+    a = products.arriving(spark, path, schema, FILES * STEPS).withColumnRenamed("v", "v0")
+    b = products.arriving(spark, path, schema, FILES * STEPS).withColumnRenamed("v", "v1")
     joined = products.stream_cone_sync(a, b, 0.9, 0.6, 0.8)
     joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_dir(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("indx", "step", F.round("v", 6).alias("v"))
@@ -179,5 +190,5 @@ def r2_stream_cone_sync(spark, sf):
 def r3_stream_link(spark, sf):
     path, out = shared_dir(spark), shared_dir(spark)
     schema = _arrive(spark, members(spark, sf), path)
-    products.stream_links(products.arriving(spark, path, schema), out, shared_dir(spark), MIN_MEMBERS)
+    products.stream_links(products.arriving(spark, path, schema, BATCH), out, shared_dir(spark), shared_dir(spark), MIN_MEMBERS)
     return spark.read.parquet(out).select(*L.LINKS)

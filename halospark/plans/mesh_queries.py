@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cone, ellipsoids, grid, lookups, spectrum
+from ..operators import cone, ellipsoids, grid, halo, lookups, spectrum
+from ..operators.fof import numbered
 from ..operators.massfunc import drop_group_head, hist2d, mass_function, reverse_cumulative
 from .base import SEEN, query, tsc_sql
 from .halo_queries import MF
@@ -67,11 +69,13 @@ def a19_xy_slice(spark, sf):
     return grid.xy_slice(tsc(spark, sf))
 
 
-_N = 8
+_N = 32
 _SINC = "CASE WHEN {k} = 0 THEN 1e0 ELSE pow(sin({c!r}e0*{k})/({c!r}e0*{k}), 3e0) END"
 _W = "pow(" + "*".join(f"({_SINC.format(k=k, c=math.pi / _N)})" for k in "abc") + ", 2e0)"
-SPECTRUM = f"""{_P}, {tsc_sql(_N, 128)}, kk AS (SELECT unnest(range({_N})) AS k),
-mo AS (SELECT a.k AS kx, b.k AS ky, c.k AS kz, sum(value*cos({2 * math.pi / _N!r}e0*(a.k*ix+b.k*iy+c.k*iz))) AS re, sum(value*sin({2 * math.pi / _N!r}e0*(a.k*ix+b.k*iy+c.k*iz))) AS im FROM g, kk a, kk b, kk c WHERE a.k <= {_N // 2} GROUP BY 1, 2, 3),
+SPECTRUM = f"""{_P}, {tsc_sql(_N, 32)}, kk AS (SELECT CAST(unnest(range({_N})) AS BIGINT) AS k), tw AS MATERIALIZED (SELECT i.k AS i, j.k AS k, cos({2 * math.pi / _N!r}e0*i.k*j.k) AS c, sin({2 * math.pi / _N!r}e0*i.k*j.k) AS s FROM kk i, kk j),
+mx AS MATERIALIZED (SELECT k AS kx, iy, iz, sum(value*c) AS re, sum(-value*s) AS im FROM g JOIN tw ON i = ix WHERE k <= {_N // 2} GROUP BY 1, 2, 3),
+my AS MATERIALIZED (SELECT kx, k AS ky, iz, sum(re*c+im*s) AS re, sum(im*c-re*s) AS im FROM mx JOIN tw ON i = iy GROUP BY 1, 2, 3),
+mo AS MATERIALIZED (SELECT kx, ky, k AS kz, sum(re*c+im*s) AS re, sum(im*c-re*s) AS im FROM my JOIN tw ON i = iz GROUP BY 1, 2, 3),
 md AS (SELECT kx*1e0 AS a, CASE WHEN ky > {_N // 2} THEN ky-{_N} ELSE ky END*1e0 AS b, CASE WHEN kz > {_N // 2} THEN kz-{_N} ELSE kz END*1e0 AS c, (re*re+im*im)/{float(_N) ** 6!r} AS p FROM mo),
 mw AS (SELECT p/({_W}) AS p, sqrt(a*a+b*b+c*c) AS wave FROM md),
 sp AS (SELECT k, sum(w) AS weight, sum(w*p)/sum(w) AS pk FROM (
@@ -80,7 +84,7 @@ sp AS (SELECT k, sum(w) AS weight, sum(w*p)/sum(w) AS pk FROM (
 
 
 def _spectrum(spark, sf):
-    return spectrum.power_spectrum(spectrum.fourier_modes(tsc(spark, sf, None, _N, 128), _N), _N)
+    return spectrum.power_spectrum(spectrum.fourier_modes(tsc(spark, sf, None, _N, 32), _N), _N)
 
 
 @query(f"WITH {SPECTRUM} SELECT k, round(weight, 6) AS weight, round(pk, 6) AS pk FROM sp")
@@ -188,7 +192,7 @@ def a34_heaviest(spark, sf):
 
 @query(f"SELECT CAST(sum(vx*vx+vy*vy+vz*vz) AS BIGINT) AS kinetic, CAST(count(*) AS BIGINT) AS n FROM ({PARTICLES})")
 def a35_kinetic_total(spark, sf):
-    return particles(spark, sf).agg(F.sum(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")).alias("kinetic"), F.count("*").alias("n"))
+    return halo.kinetic_total(particles(spark, sf))
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS parts, avg(n) AS mean, round((avg(n)-min(n))/avg(n), 9) AS below, round((max(n)-avg(n))/avg(n), 9) AS above FROM (SELECT z//2048 AS s, count(*) AS n FROM ({PARTICLES}) GROUP BY 1)")
@@ -207,9 +211,10 @@ def w3_reverse_cumulative(spark, sf):
     return reverse_cumulative(halo_props(spark, sf).groupBy(F.expr("mass div 1000").alias("bin")).agg(F.count("*").alias("n")), "n")
 
 
-@query(f"SELECT indx, z FROM ({PARTICLES})")
+@query(f"SELECT indx, z, row_number() OVER (ORDER BY z, indx) - 1 AS place FROM ({PARTICLES})")
 def o1_sort_by_key(spark, sf):
-    return particles(spark, sf).select("indx", "z").repartitionByRange(8, "z").sortWithinPartitions("z", "indx")
+    """With each row's place in the order that comes out."""
+    return numbered(lookups.sort_by_key(particles(spark, sf).select("indx", "z"), "z", "indx"))
 
 
 @query(f"SELECT z//2048 AS slab, CAST(count(*) AS BIGINT) AS n, min(z) AS zmin, max(z) AS zmax FROM ({PARTICLES}) GROUP BY 1")
@@ -220,9 +225,10 @@ def v9_slab_bounds(spark, sf):
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(indx) AS BIGINT) AS total FROM ({PARTICLES})")
 def o3_repartition_slabs(spark, sf):
-    """Slabs of about equal counts must hold all particles, and follow each other."""
+    """Slabs of about equal counts must hold all particles, each between its slab's bounds, and follow each other."""
     ranged, bounds = lookups.repartition_slabs(particles(spark, sf), 8)
-    inside = ranged.join(F.broadcast(bounds), "slab").filter("z between low and high")
+    apart = bounds.withColumn("after", F.coalesce(F.lag("high").over(Window.orderBy("slab")) <= F.col("low"), F.lit(True))).filter("after")
+    inside = ranged.join(F.broadcast(apart), "slab").filter("z between low and high")
     return inside.agg(F.count("*").alias("n"), F.sum("indx").alias("total"))
 
 
@@ -255,9 +261,10 @@ def c1_spherical_lightcone(spark, sf):
     return _spherical(spark, sf).select("indx", "iobs", "dx", "dy", "dz", "type")
 
 
-@query(f"{_CONE} SELECT CAST(iobs AS BIGINT) AS iobs, {ZONE} AS type, CAST(count(*) AS BIGINT) AS n FROM f WHERE rn = 1 GROUP BY 1, 2")
+@query(f"{_CONE} SELECT CAST(iobs AS BIGINT) AS iobs, {ZONE} AS type, indx, row_number() OVER (ORDER BY iobs, {ZONE}, indx) - 1 AS place FROM f WHERE rn = 1")
 def o2_sort_cone(spark, sf):
-    return cone.sort_cone(_spherical(spark, sf)).groupBy("iobs", "type").agg(F.count("*").alias("n"))
+    """With each row's place in the order that comes out."""
+    return numbered(cone.sort_cone(_spherical(spark, sf).select("iobs", "type", "indx")))
 
 
 _DISK = f"WITH im AS (SELECT indx, image, x+sx AS x, y+sy AS y, z+sz AS z FROM ({PARTICLES}), {IMAGES_SQL}), r AS (SELECT *, {ROTATED} FROM im WHERE x*x+y*y+z*z >= 4000*4000 AND x*x+y*y+z*z < 9000*9000)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks
 from ..operators import links as L
 from ..operators import tree as T
+from ..operators.fof import numbered
 from ..scratch import cut
 from .base import TREE, TREE_COLUMNS, links_sql, query
 from .fixtures import MIN_MEMBERS, STEPS, members
@@ -35,21 +36,23 @@ def t2_build_tree(spark, sf):
     return tree(spark, sf).select(*TREE_COLUMNS.split(", "))
 
 
-@query(f"WITH {links_sql(1)} SELECT m.step, m.indx, m.hid, m.e FROM m JOIN l0 ON m.indx = l0.mbp WHERE m.step = 1")
+@query(f"WITH {links_sql()} SELECT m.step, m.indx, m.hid, m.e FROM m JOIN links ON m.indx = links.mbp AND m.step = links.step + 1")
 def j5_was_mbp(spark, sf):
-    rows = members(spark, sf)
-    first = L.link_step(rows.filter("step = 0").drop("step"), None, 0, MIN_MEMBERS)
-    return L.was_mbp(rows.filter("step = 1"), first).select("step", "indx", "hid", "e")
+    rows, all_links = members(spark, sf), cut(links(spark, sf))
+    return _union([L.was_mbp(rows.filter(F.col("step") == s + 1), all_links.filter(F.col("step") == s)).select("step", "indx", "hid", "e") for s in range(LAST)])
 
 
-@query(f"WITH {links_sql()} SELECT a.step, a.mbp, a.nowhid FROM links a WHERE a.step < {LAST} AND NOT EXISTS (SELECT 1 FROM links b WHERE b.step = a.step + 1 AND b.mbp = a.mbp)")
-def j6_missing_mbp(spark, sf):
-    all_links = cut(links(spark, sf))
-    parts = [L.missing_mbp(all_links.filter(F.col("step") == s), all_links.filter(F.col("step") == s + 1)) for s in range(LAST)]
+def _union(parts):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("step", "mbp", "nowhid")
+    return out
+
+
+@query(f"WITH {links_sql()} SELECT a.step, a.mbp, a.nowhid FROM links a WHERE a.step < {LAST} AND NOT EXISTS (SELECT 1 FROM links b WHERE b.step = a.step + 1 AND b.mbp = a.mbp)")
+def j6_missing_mbp(spark, sf):
+    all_links = cut(links(spark, sf))
+    return _union([L.missing_mbp(all_links.filter(F.col("step") == s), all_links.filter(F.col("step") == s + 1)) for s in range(LAST)]).select("step", "mbp", "nowhid")
 
 
 @query(f"WITH {links_sql()} SELECT a.step, a.mbp, b.nowhid AS down_hid, b.mass AS down_mass FROM links a JOIN links b ON b.step = a.step - 1 AND b.mbp = a.mbp")
@@ -206,20 +209,23 @@ def t3_sort_by_major_gid(spark, sf):
     return T.sort_by_major(tree(spark, sf), LAST).select("step", "gid", "majorgid", "mbp", "mass")
 
 
-@query(f"WITH {SORTED} SELECT step, gid, mbp FROM st")
+@query(f"WITH {SORTED} SELECT step, gid, mbp, row_number() OVER (ORDER BY gid, step) - 1 AS place FROM st")
 def t4_finalize_sorted_tree(spark, sf):
-    return T.finalize(T.sort_by_major(tree(spark, sf), LAST)).select("step", "gid", "mbp")
+    """With each row's place in the order that comes out."""
+    return numbered(T.finalize(T.sort_by_major(tree(spark, sf), LAST)).select("step", "gid", "mbp"))
 
 
-@query(f"WITH {links_sql()} SELECT bin, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE NOT there) AS BIGINT) AS missing FROM (SELECT CAST(floor(log10(CAST(mass AS DOUBLE))*4 + 1e-9) AS BIGINT) AS bin, mbp IN (SELECT mbp FROM l2) AS there FROM l1) GROUP BY 1")
+@query(f"WITH {links_sql()} SELECT step, bin, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE NOT there) AS BIGINT) AS missing FROM (SELECT step, CAST(floor(log10(CAST(mass AS DOUBLE))*4 + 1e-9) AS BIGINT) AS bin, EXISTS (SELECT 1 FROM links b WHERE b.step = a.step + 1 AND b.mbp = a.mbp) AS there FROM links a WHERE a.step < {LAST}) GROUP BY 1, 2")
 def v1_missing_link_fraction(spark, sf):
     all_links = cut(links(spark, sf))
-    return checks.missing_link_fraction(all_links.filter("step = 1"), all_links.filter("step = 2"))
+    return _union([checks.missing_link_fraction(all_links.filter(F.col("step") == s), all_links.filter(F.col("step") == s + 1)).withColumn("step", F.lit(s)) for s in range(LAST)])
 
 
-@query(f"WITH {links_sql()} SELECT step, nowhid, CAST(count(*) AS BIGINT) AS n FROM links WHERE mass = fofhmass GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"WITH {links_sql()}, spoilt AS (SELECT step, nowhid, mass, fofhmass FROM links UNION ALL SELECT step, nowhid, mass, fofhmass FROM links WHERE mbp % 7 = 0) SELECT step, nowhid, CAST(count(*) AS BIGINT) AS n FROM spoilt WHERE mass = fofhmass GROUP BY 1, 2 HAVING count(*) > 1")
 def v2_duplicate_hosts(spark, sf):
-    return checks.duplicate_hosts(links(spark, sf))
+    """On links of which some are there twice: sound ones have no violation."""
+    found = cut(links(spark, sf))
+    return checks.duplicate_hosts(found.unionByName(found.filter("mbp % 7 = 0")))
 
 
 @query(f"WITH {TREE} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE mass < 100) AS BIGINT) AS low FROM tree WHERE step = {LAST}")
@@ -233,9 +239,10 @@ def v4_null_mbp_fraction(spark, sf):
     return checks.null_mbp(t, t.select("gid").distinct(), list(range(STEPS)))
 
 
-@query(f"WITH {TREE} SELECT gid, CAST(count(DISTINCT mbp) AS BIGINT) AS n FROM tree GROUP BY 1 HAVING count(DISTINCT mbp) > 1")
+@query(f"WITH {TREE} SELECT gid, CAST(count(DISTINCT mbp) AS BIGINT) AS n FROM (SELECT gid, CASE WHEN gid % 5 = 0 THEN mbp + step // 2 ELSE mbp END AS mbp FROM tree) GROUP BY 1 HAVING count(DISTINCT mbp) > 1")
 def v5_mbp_constant_in_history(spark, sf):
-    return checks.changing_mbp(tree(spark, sf))
+    """On a tree of which some lines change their MBP: a sound one has no violation."""
+    return checks.changing_mbp(tree(spark, sf).withColumn("mbp", F.when(F.col("gid") % 5 == 0, F.col("mbp") + F.expr("step div 2")).otherwise(F.col("mbp"))))
 
 
 @query(f"WITH {TREE} SELECT step, CAST(count(*) AS BIGINT) AS n FROM (SELECT gid, max(step) AS step FROM tree GROUP BY 1) WHERE step < {LAST} GROUP BY 1")
@@ -243,9 +250,16 @@ def v6_history_gap_count(spark, sf):
     return checks.vanished(tree(spark, sf), LAST)
 
 
-@query(f"WITH {TREE} SELECT gid, step, majorgid FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY step) AS rn FROM tree) WHERE rn = 1 AND gid <> majorgid")
+@query(f"WITH {TREE} SELECT gid, CAST(sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END) AS BIGINT) AS gaps FROM (SELECT gid, step - lag(step) OVER (PARTITION BY gid ORDER BY step) AS gap FROM tree WHERE (gid + step) % 3 > 0) GROUP BY 1 HAVING sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END) > 0")
+def v6_history_gaps(spark, sf):
+    """On a tree of which some rows are taken out: a sound one has no gap."""
+    return checks.history_gaps(tree(spark, sf).filter((F.col("gid") + F.col("step")) % 3 > 0))
+
+
+@query(f"WITH {TREE} SELECT gid, step, majorgid FROM (SELECT gid, step, CASE WHEN gid % 4 = 0 THEN majorgid + 1 ELSE majorgid END AS majorgid, row_number() OVER (PARTITION BY gid ORDER BY step) AS rn FROM tree) WHERE rn = 1 AND gid <> majorgid")
 def v7_birth_major_is_self(spark, sf):
-    return checks.birth_not_major(tree(spark, sf))
+    """On a tree of which some lines have another's major line: a sound one has no violation."""
+    return checks.birth_not_major(tree(spark, sf).withColumn("majorgid", F.when(F.col("gid") % 4 == 0, F.col("majorgid") + 1).otherwise(F.col("majorgid"))))
 
 
 @query("SELECT side, n, total FROM (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders), (VALUES ('before'), ('after')) t(side)")
@@ -256,8 +270,4 @@ def v8_row_conservation(spark, sf):
 @query(f"WITH {links_sql()} SELECT step, CAST(count(*) AS BIGINT) AS n FROM links GROUP BY 1")
 def u1_union_steps(spark, sf):
     all_links = cut(links(spark, sf))
-    parts = [all_links.filter(F.col("step") == s) for s in range(STEPS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("step").agg(F.count("*").alias("n"))
+    return _union([all_links.filter(F.col("step") == s) for s in range(STEPS)]).groupBy("step").agg(F.count("*").alias("n"))

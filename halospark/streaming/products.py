@@ -13,14 +13,30 @@ def arriving(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_products(stream: DataFrame, out: str, checkpoint: str, due, product) -> None:
-    """For each batch of a stream of rows with `step`, writes product(rows) of the steps that `due` (a column of step) holds for.
+def _land(batch: DataFrame, number: int, landed: str) -> list[int]:
+    """Writes a batch's rows to landed/step=/batch= and returns its steps. A batch that runs again replaces what it has written."""
+    batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step", "batch").parquet(landed)
+    return sorted(r["step"] for r in batch.select("step").distinct().collect())  # a batch's steps
 
-    A step's folder is overwritten, so a batch that runs again leaves one copy. Returns when what has arrived is done."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.filter(due)
-        product(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(out)
+def _landed(spark: SparkSession, landed: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(landed).drop("batch")
+
+
+def stream_products(stream: DataFrame, out: str, landed: str, checkpoint: str, due: DataFrame, product) -> None:
+    """product(rows) of each step of `due` (step, a short table such as snapshot_schedule() gives), over all rows that have come of it.
+
+    Rows land in `landed` by step and batch. Each batch then makes the products of its due steps anew from all that has landed of
+    them, so a step may come in any number of files and batches, and a batch that runs again leaves the same. Rows of other steps are not
+    kept. Returns when what has arrived is done."""
+    spark = stream.sparkSession
+    wanted = {r["step"] for r in due.select("step").distinct().collect()}
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.filter(F.col("step").isin(*wanted)) if wanted else batch.limit(0)
+        if steps := _land(rows, number, landed):
+            whole = _landed(spark, landed, batch.schema).filter(F.col("step").isin(*steps))
+            product(whole).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(out)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -35,16 +51,26 @@ def stream_cone_sync(candidates: DataFrame, velocities: DataFrame, gv1: float, g
     return a.join(b, near).select("indx", "step", (gv1 * F.col("v0") + gv2 * (F.col("v1") - vf1 * F.col("v0"))).alias("v"))
 
 
-def stream_links(stream: DataFrame, out: str, checkpoint: str, least: int) -> None:
-    """Links each arriving step of members (step, indx, hid, e) to the one before, which is read back from `out`.
+def stream_links(stream: DataFrame, out: str, landed: str, checkpoint: str, least: int) -> None:
+    """Links each step of members (step, indx, hid, e) to the one before, which is read back from `out`.
 
-    A batch may hold several steps, which are taken in order; steps must arrive in order."""
+    Rows land in `landed` by step and batch, so a step may come in any number of files and batches. From the first step of a batch on
+    all steps that have landed are linked anew, in their order, as each rests on the one before. A step whose predecessor has not come
+    is linked as a first one, until it comes."""
     spark = stream.sparkSession
-
-    def write(batch: DataFrame, _: int) -> None:
-        for step in sorted(r["step"] for r in batch.select("step").distinct().collect()):  # the steps of a batch
-            before = spark.read.parquet(f"{out}/step={step - 1}").withColumn("step", F.lit(step - 1)) if step else None
-            links = link_step(batch.filter(F.col("step") == step).drop("step"), before, step, least)
+    known: set[int] = set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        steps = _land(batch, number, landed)
+        if not steps:
+            return
+        rows = _landed(spark, landed, batch.schema)
+        known.update(steps)
+        if not known >= set(range(steps[0], max(known) + 1)):  # what has landed before this run
+            known.update(r["step"] for r in rows.select("step").distinct().collect())
+        for step in sorted(s for s in known if s >= steps[0]):
+            before = spark.read.parquet(f"{out}/step={step - 1}").withColumn("step", F.lit(step - 1)) if step - 1 in known else None
+            links = link_step(rows.filter(F.col("step") == step).drop("step"), before, step, least)
             links.select(*LINKS).drop("step").write.mode("overwrite").parquet(f"{out}/step={step}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
