@@ -183,7 +183,7 @@ def sph_density(members: DataFrame, k: int, box: int, edge: int, group: str = "h
 
     Where the k-th is at the same place the density has no bound and is null, and so it is for the only member of a group."""
     near = knn_in_group(members, k, box, edge, group)
-    far = near.groupBy(group, "id").agg((F.sqrt(F.max("r2").cast("double")) / 2).alias("h"))
+    far = near.groupBy(group, "id").agg(F.nullif(F.sqrt(F.max("r2").cast("double")) / 2, F.lit(0.0)).alias("h"))
     both = near.join(far, [group, "id"])
     others = both.groupBy(group, "id").agg(F.sum(w4_kernel(F.sqrt(F.col("r2").cast("double")), F.col("h"))).alias("d"), F.first("h").alias("h"))
     found = others.select(group, F.col("id").alias("indx"), F.when(F.col("h") > 0, F.col("d") + w4_kernel(F.lit(0.0), F.col("h"))).alias("density"))

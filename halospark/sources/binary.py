@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+#: Record layouts and the header's end (fixed values of the formats).
 SNAPSHOT = "x:f4,y:f4,z:f4,vx:f4,vy:f4,vz:f4,indx:i8"
 HALO = "np:u8,x:f4,y:f4,z:f4,vx:f4,vy:f4,vz:f4"
 HALO_HEADER = "size:f4,hubble:f4,npower:f4,omep:f4,omepb:f4,omeplam:f4,bias:f4,nx:i4,nspace:i4,amax:f4,astep:f4,anow:f4"

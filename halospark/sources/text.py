@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 #: Parameter names that are known (fixed values); others are read and marked.
 KNOWN = ("OmegaMatter0", "OmegaLambda0", "OmegaBaryon0", "Hubble", "Boxsize(Mpc/h)", "Amax", "Astep", "Anow", "Nx", "Ny", "Nz", "Nspace", "Theta", "Stepnum", "Nskip", "Bias", "Powerflag")
 
+#: The line that ends a header (a fixed value).
+CLOSING = "#End of Ascii Header"
+
 
 def read_params(spark: SparkSession, path: str, known=KNOWN) -> DataFrame:
-    """(file, key, value, known) of lines `define KEY = VALUE`; lines that begin with # are comments."""
-    lines = spark.read.text(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    """(file, key, value, known) of lines `define KEY = VALUE`; lines that begin with # are comments.
+
+    A file is read up to its closing line, if it has one: what follows, as a snapshot's records, is no header."""
+    lines = spark.read.text(path).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1)).withColumn("_at", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()))
+    end = lines.filter(F.rtrim("value") == CLOSING).groupBy("file").agg(F.min("_at").alias("_end"))
+    lines = lines.join(end, "file", "left").filter(F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
     key, value = F.regexp_extract("value", r"^\s*define\s+(\S+)\s*=\s*(.*?)\s*$", 1), F.regexp_extract("value", r"^\s*define\s+(\S+)\s*=\s*(.*?)\s*$", 2)
     return lines.filter(~F.col("value").rlike(r"^\s*#")).select("file", key.alias("key"), value.alias("value")).filter("key <> ''").withColumn("known", F.col("key").isin(*known))
 

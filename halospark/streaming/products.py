@@ -58,16 +58,13 @@ def stream_links(stream: DataFrame, out: str, landed: str, checkpoint: str, leas
     all steps that have landed are linked anew, in their order, as each rests on the one before. A step whose predecessor has not come
     is linked as a first one, until it comes."""
     spark = stream.sparkSession
-    known: set[int] = set()
 
     def write(batch: DataFrame, number: int) -> None:
         steps = _land(batch, number, landed)
         if not steps:
             return
         rows = _landed(spark, landed, batch.schema)
-        known.update(steps)
-        if not known >= set(range(steps[0], max(known) + 1)):  # what has landed before this run
-            known.update(r["step"] for r in rows.select("step").distinct().collect())
+        known = {r["step"] for r in rows.select("step").distinct().collect()}  # of all batches and runs
         for step in sorted(s for s in known if s >= steps[0]):
             before = spark.read.parquet(f"{out}/step={step - 1}").withColumn("step", F.lit(step - 1)) if step - 1 in known else None
             links = link_step(rows.filter(F.col("step") == step).drop("step"), before, step, least)

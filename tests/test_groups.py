@@ -96,3 +96,23 @@ def test_dense_numbers_and_knn(spark):
                 d = np.minimum(d, BOX - d)
                 dist.append((int((d * d).sum()), j))
         assert [got[i, k + 1] for k in range(4)] == [j for _, j in sorted(dist)[:4]]
+
+
+def test_labels_of_a_dense_cell_are_found_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(fof, "TOGETHER", 1000)
+    rng = np.random.default_rng(8)
+    pos = np.concatenate([rng.random((400, 3)), rng.random((100, 3)) * 40, [[100.0, 0, 0], [101.0, 0, 0], [103.0, 0, 0]]])
+    ids = rng.permutation(len(pos)).astype(np.int64) * 3
+    label = fof.local_labels(ids, pos, 1.5)
+    up = list(range(len(pos)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(pos)):
+        for j in range(i):
+            if ((pos[i] - pos[j]) ** 2).sum() <= 1.5**2:
+                up[max(root(i), root(j), key=lambda k: ids[k])] = min(root(i), root(j), key=lambda k: ids[k])
+    assert [ids[root(i)] for i in range(len(pos))] == label.tolist()

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from halospark.operators import ellipsoids, grid, halo, spectrum
+from halospark.operators.massfunc import mass_function
 
 
 def members(spark, seed=0, n=40):
@@ -23,6 +24,40 @@ def test_potential_tiles_agree_with_numpy(spark):
             assert abs(got[i] - want) < 1e-9
 
 
+def test_mass_function_of_one_mass(spark):
+    for masses in ([7.0], [100.0] * 5):
+        rows = mass_function(spark.createDataFrame([(m,) for m in masses], "mass double"), "mass", 4).collect()
+        assert len(rows) == 4 and sum(r["n"] for r in rows) == len(masses) and rows[0]["cumulative"] == len(masses)
+    assert mass_function(spark.createDataFrame([], "mass double"), "mass", 4).count() == 0
+
+
+def test_deposits_agree_with_loops(spark):
+    rng = np.random.default_rng(3)
+    q, n = rng.random((50, 3)) * 8, 8
+    df = spark.createDataFrame([(*map(float, p), float(k)) for k, p in enumerate(q)], "a double, b double, c double, v double")
+    for scheme in ("ngp", "cic", "tsc"):
+        want = np.zeros((n, n, n))
+        for k, p in enumerate(q):
+            if scheme == "tsc":
+                parts = [[(int(np.floor(x + 0.5)) + d, 0.75 - f * f if d == 0 else 0.5 * (0.5 + d * f) ** 2) for d in (-1, 0, 1)] for x in p for f in [x - np.floor(x + 0.5)]]
+            else:
+                parts = [[(int(x), 1 - f), (int(x) + 1, f)] if scheme == "cic" else [(int(x), 1.0)] for x in p for f in [x - int(x)]]
+            for i, u in parts[0]:
+                for j, v in parts[1]:
+                    for m, w in parts[2]:
+                        want[i % n, j % n, m % n] += u * v * w * k
+        got = np.zeros((n, n, n))
+        for r in grid.deposit(df, n, {"x": F.col("a"), "y": F.col("b"), "z": F.col("c")}, scheme, F.col("v")).collect():
+            got[r["ix"], r["iy"], r["iz"]] += r["value"]
+        assert np.allclose(got, want)
+
+
+def test_lone_and_coincident_members_have_no_density(spark):
+    rows = [(1, 1, 5, 5, 5), (2, 2, 7, 7, 7), (2, 3, 7, 7, 7), (2, 4, 9, 7, 7)]
+    got = {r["indx"]: r["density"] for r in halo.sph_density(spark.createDataFrame(rows, "hid long, indx long, x long, y long, z long"), 1, 4096, 64).collect()}
+    assert got[1] is None and got[2] is None and got[3] is None and got[4] > 0
+
+
 def test_shape_agrees_with_numpy(spark):
     df, pos, _ = members(spark, 1)
     for r in halo.shape(df).collect():

@@ -66,7 +66,7 @@ def test_runs_and_params(spark, tmp_path):
     halos = spark.createDataFrame([(0, 3), (1, 0), (2, 2), (300, 1)], "hid long, np long")
     rows = spark.range(6).select(F.col("id").alias("row"))
     assert [r["hid"] for r in text.assign_runs(rows, halos, 100).orderBy("row").collect()] == [0, 0, 0, 2, 2, 300]
-    (tmp_path / "p.dat").write_text("# a comment\ndefine Nx = 64\ndefine Odd = 3 4\n\n#End\n")
+    (tmp_path / "p.dat").write_text("# a comment\ndefine Nx = 64\ndefine Odd = 3 4\n\n#End of Ascii Header\ndefine Late = 1\n")
     got = {r["key"]: (r["value"], r["known"]) for r in text.read_params(spark, str(tmp_path / "p.dat")).collect()}
     assert got == {"Nx": ("64", True), "Odd": ("3 4", False)}
     assert np.isclose(text.read_table_ascii(spark, str(tmp_path / "k.txt") if (tmp_path / "k.txt").write_text("# k\n 1.0  2e3\n") else "", ["k", "p"]).first()["p"], 2000)
