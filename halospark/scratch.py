@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders of the tables that cut() has written.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the shared folder: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
@@ -24,4 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and returns the written table, which ends the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() has written, when nothing is read from them any more."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
