@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..scratch import cut, shared_dir
+from ..scratch import cut, discard, shared_dir
 
-__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "cut", "drop_copies", "shared_dir", "table", "text_digest"]
+__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "cut", "discard", "drop_copies", "shared_dir", "table", "text_digest"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
