@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..scratch import cut, discard, shared_dir
 
-__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "cut", "discard", "drop_copies", "shared_dir", "table", "text_digest"]
+__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "cut", "discard", "drop_copies", "least_hashed", "shared_dir", "table", "text_digest"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -45,6 +45,16 @@ def drop_copies(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -
     return out.select("row.*")
 
 
+def least_hashed(rows: DataFrame, h: Column, n: int, total: int | None = None, *ties) -> DataFrame:
+    """About n rows, at most n: those with the least h, a 64-bit hash. Rows over a threshold from the count are left out first, so that
+    no partition sorts or sends n rows of its own."""
+    total = rows.count() if total is None else total
+    if total > n:
+        part = min(1.0, (1.1 * n + 6 * n**0.5 + 20) / total)
+        rows = rows.filter(h < F.lit(int(-(2**63) + part * (2**64 - 2**11))))
+    return rows.orderBy(h, *ties).limit(n)
+
+
 def attach(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """left LEFT JOIN right on non-null keys, whole under skew. right has a row for each key, and in `size` the number of left
     rows with it. Keys with over total/HOT_SHARE rows, at most HOT_SHARE of them, are broadcast; their rows of left are not shuffled."""

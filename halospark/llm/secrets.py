@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, least_hashed, table
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_-])")
 WORD = re.compile(r"[^\W\d_]{3,30}")
@@ -86,6 +86,19 @@ def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def dictionary(words: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """The words of four letters and more that come as often as the most frequent class of words with at most `most` in it and above;
+    classes of counts are a quarter of a doubling, so words of equal counts are in or out together."""
+    long = words.filter(F.length("word") >= 4).withColumn("c", F.floor(F.log2("n") * 4).cast("int"))
+    classes = sorted(((r["c"], r["many"]) for r in long.groupBy("c").agg(F.count("*").alias("many")).collect()), reverse=True)  # some hundred rows
+    least, held = 10**6, 0
+    for c, many in classes:
+        if (held := held + many) > most:
+            break
+        least = c
+    return long.filter(F.col("c") >= least).select("word").toArrow()["word"].to_pylist()  # `most` rows at most
+
+
 def letter_pairs(words: DataFrame) -> np.ndarray:
     """log2 probabilities of a letter after another, by code below 128, over all words with their counts."""
 
@@ -110,8 +123,7 @@ def letter_pairs(words: DataFrame) -> np.ndarray:
 def findings(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """A row for each candidate of each text: id, start, length, digest (SHA-256 of the candidate), label (rule_label), features."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    top = words.filter(F.length("word") >= 4).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()  # DICTIONARY rows at most
-    shared = spark.sparkContext.broadcast(({r["word"] for r in top}, letter_pairs(words)))
+    shared = spark.sparkContext.broadcast((set(dictionary(words)), letter_pairs(words)))
 
     def run(batches):
         known, pairs = shared.value
@@ -142,7 +154,7 @@ def forest(labelled: DataFrame, sample: int = SAMPLE):
     kinds = {r["label"]: r["many"] for r in rows.groupBy("label").agg(F.count("*").alias("many")).collect()}
     if len(kinds) < 2:
         return None
-    parts = [rows.filter(F.col("label") == y).orderBy(F.xxhash64("digest", "features"), "digest").limit(max(sample // 2, sample - kinds[1 - y])) for y in (0, 1)]
+    parts = [least_hashed(rows.filter(F.col("label") == y), F.xxhash64("digest", "features"), max(sample // 2, sample - kinds[1 - y]), kinds[y], "digest") for y in (0, 1)]
     taken = cut(parts[0].unionByName(parts[1]))
     scale = rows.groupBy("label").agg(F.sum("n").alias("all")).join(taken.groupBy("label").agg(F.sum("n").alias("part")), "label")
     taken = cut(taken.join(F.broadcast(scale), "label").select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"), (F.col("n") * F.col("all") / F.col("part")).alias("w")))

@@ -3,9 +3,10 @@
 Fingerprints within 3 bits of each other agree in at least one of four 16-bit blocks. So fingerprints are dealt to shards by
 (block, value), and each task builds its shards' BK-trees, a node's children keyed by their Hamming distance to it, and searches
 them with the shard's fingerprints along the edges within the radius. A tree goes only to the task whose fingerprints can have
-links in it, as a broadcast of all trees would grow with the corpus. A shard of more than TREE fingerprints becomes several trees of about
-that size, and its fingerprints search each. Copies share a fingerprint and are collapsed before; a shard gives the links of a
-spanning forest, not all pairs, and the components of all shards' links are the groups."""
+links in it, as a broadcast of all trees would grow with the corpus. A shard of more than TREE fingerprints is dealt once more, by the
+blocks of the other 48 bits, of which one must agree too, so each of its fingerprints goes to four smaller shards. Should one of these be
+over TREE, it becomes several trees of about that size, and its fingerprints stream past each. Copies share a fingerprint and are collapsed
+before; a shard gives the links of a spanning forest, not all pairs, and the components of all shards' links are the groups."""
 
 from __future__ import annotations
 
@@ -81,71 +82,67 @@ class BKTree:
         return found
 
 
-def _forest(own: np.ndarray, others: np.ndarray, radius: int):
-    """Links (value, root) of a spanning forest over the values within radius of a value of own."""
-    tree, up = BKTree(), {}
+class _Forest:
+    """A tree that grows, and links (value, value) of a spanning forest over what was found within the radius."""
 
-    def root(v):
-        while up.setdefault(v, v) != v:
-            up[v] = v = up[up[v]]
+    def __init__(self, radius: int):
+        self.tree, self.radius, self.up = BKTree(), radius, {}
+
+    def _root(self, v):
+        up = self.up
+        while (h := up.get(v, v)) != v:
+            up[v] = v = up.get(h, h)
         return v
 
-    for values, grow in ((own, True), (others, False)):
-        for v in values.tolist():
-            for k in tree.within(v, radius):
-                a, b = root(v), root(tree.values[k])
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-            if grow:
-                tree.add(v)
-    return [(v, r) for v in up if (r := root(v)) != v]
+    def meet(self, v: int, grow: bool):
+        for k in self.tree.within(v, self.radius):
+            a, b = self._root(v), self._root(self.tree.values[k])
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                yield v, self.tree.values[k]
+        if grow:
+            self.tree.add(v)
+
+
+def _cut_bits(fp, width: int, blocks: int):
+    """(block, value) of `blocks` cuts of the low `width` bits."""
+    edges = [width * k // blocks for k in range(blocks + 1)]
+    return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1)).alias("value")) for k in range(blocks)))
 
 
 def link(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(a, b): links that connect all fp of prints (distinct longs) within radius bits of each other, for radius 0 to 15.
 
-    The 64 bits are cut in 4 blocks for a radius up to 3, else radius + 1."""
+    The 64 bits, and in shards over `tree` what is left of them, are cut in 4 blocks for a radius up to 3, else radius + 1."""
     blocks = max(4, radius + 1)
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1)).alias("value")) for k in range(blocks)))
-    dealt = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value")
-    sizes = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = dealt.join(sizes, ["block", "value"]).withColumn("parts", F.ceil(F.col("n") / tree).cast("int"))
+    dealt = prints.select("fp", F.explode(_cut_bits(F.col("fp"), 64, blocks)).alias("k")).select("fp", "k.block", "k.value")
+    sizes = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    dealt = dealt.join(sizes(dealt, "block", "value"), ["block", "value"])
+    none = F.struct(F.lit(-1).alias("block"), F.lit(-1).cast("long").alias("value"))
+    whole = dealt.filter(F.col("n") <= tree).select("fp", "block", "value", none.alias("sub"), "n")
+    large = dealt.filter(F.col("n") > tree)
+    others = F.coalesce(*(F.when(F.col("block") == k, F.shiftleft(F.shiftrightunsigned("fp", edges[k + 1]) if k + 1 < blocks else F.lit(0).cast("long"), edges[k]).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << edges[k]) - 1)))) for k in range(blocks)))
+    most = max(64 - (edges[k + 1] - edges[k]) for k in range(blocks))
+    again = large.withColumn("rest", others).withColumn("sub", F.explode(_cut_bits(F.col("rest"), most, blocks))).select("fp", "block", "value", "sub")
+    again = again.join(sizes(again, "block", "value", "sub"), ["block", "value", "sub"]).select("fp", "block", "value", "sub", "n")
+    dealt = whole.unionByName(again).withColumn("parts", F.ceil(F.col("n") / tree).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.xxhash64("block", "value", "part").alias("shard"), "block", "value", "part", "fp", (F.col("own") == F.col("part")).alias("own"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("block", "value", "part").select("block", "value", "part", "fp", "own")
+    group = ["block", "value", "sub_block", "sub_value", "part"]
+    dealt = dealt.select("block", "value", F.col("sub.block").alias("sub_block"), F.col("sub.value").alias("sub_value"), "part", "fp", (F.col("own") == F.col("part")).alias("own"))
+    dealt = dealt.repartition(F.xxhash64(*group)).sortWithinPartitions(*group, F.desc("own"))
 
     def search(batches):
-        rest = None
-        out_a, out_b = [], []
-
-        def flush(fp, own):
-            for a, b in _forest(fp[own].view(np.uint64), fp[~own].view(np.uint64), radius):
-                out_a.append(a)
-                out_b.append(b)
-
-        def made():
-            r = pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out_a, out_b)], names=["a", "b"])
-            out_a.clear()
-            out_b.clear()
-            return r
-
+        at, forest = None, None
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            bounds = [0, *new.tolist()]
-            for s, e in zip(bounds, bounds[1:]):
-                flush(cols[3][s:e], cols[4][s:e].astype(bool))
-            rest = [x[bounds[-1] :] for x in cols]
-            if out_a:
-                yield made()
-        if rest is not None and len(rest[0]):
-            flush(rest[3], rest[4].astype(bool))
-        yield made()
+            found: list[tuple[int, int]] = []
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(5))))
+            for key, v, grow in zip(keys, b.column(5).to_numpy(zero_copy_only=False).view(np.uint64).tolist(), b.column(6).to_pylist()):
+                if key != at:
+                    at, forest = key, _Forest(radius)
+                found += forest.meet(v, grow)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*found)], names=["a", "b"])
 
     return dealt.mapInArrow(search, "a long, b long")
 

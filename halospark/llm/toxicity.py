@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, least_hashed, table
 
 #: Labelled rows of each label that are learnt from (those with the smallest hashes of their ids), features used, threshold.
 SAMPLE, FEATURES, THRESHOLD = 8000, 4000, 0.7
@@ -119,15 +119,17 @@ def fit(rows: list[tuple[list[int], list[int] | None, int, float]], names: list[
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
     """Learns from the rows of docs that labels name and that aren't held out, SAMPLE of each label at most.
 
-    Null labels and ids are left out; an id labelled twice is toxic if either label says so. Without rows of both labels every
-    text scores about the share of toxic rows."""
+    Null labels and ids are left out; an id labelled twice is toxic if either label says so, and of the rows that repeat an id one
+    text is learnt from, the least. Without rows of both labels every text scores about the share of toxic rows. FEATURES features are used
+    at most, those with the strongest likelihood ratio."""
     kind = docs.schema[id_col].dataType.simpleString()
     use = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     use = cut(use.groupBy(F.col(id_col).cast(kind).alias("id")).agg(F.max(label_col).cast("int").alias("y")))
     n = dict(use.groupBy("y").count().collect())
-    picked = [use.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
+    picked = [least_hashed(use.filter(F.col("y") == y), F.xxhash64("id"), SAMPLE, n.get(y, 0), "id") for y in (0, 1)]
     ids = F.broadcast(cut(picked[0].unionByName(picked[1])))  # 2 * SAMPLE rows at most
-    sample = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").select("text", "y"))
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
+    sample = cut(labelled.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y"))
 
     def count(batches):
         counts = (Counter(), Counter())
@@ -158,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             other = [swapped(w) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array([code(w) for w in words], pa.list_(pa.int32())), pa.array([None if o is None else code(o) for o in other], pa.list_(pa.int32())), b.column(1)], names=["x", "swapped", "y"])
 
-    rows = sample.mapInArrow(encode, "x array<int>, swapped array<int>, y int").collect()  # 2 * SAMPLE rows of at most FEATURES numbers
-    rows = [(list(r["x"]), None if r["swapped"] is None else list(r["swapped"]), r["y"], n[r["y"]] / found[r["y"]]) for r in rows]
+    coded = sample.mapInArrow(encode, "x array<int>, swapped array<int>, y int").toArrow()  # 2 * SAMPLE rows of at most FEATURES numbers
+    rows = [(x, s, y, n[y] / found[y]) for b in coded.to_batches(1000) for x, s, y in zip(*(c.to_pylist() for c in b.columns))]
     return fit(rows, names)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -117,6 +118,28 @@ def test_links_against_brute_force(spark, tree):
     assert same(root) == same(low)
 
 
+def test_links_of_a_common_block_value(spark):
+    """Fingerprints that share 16 bits, many more than a tree holds: planted pairs are linked, and only what is near."""
+    rng = np.random.default_rng(5)
+    low = np.unique(rng.integers(0, 2**48, 40_000, np.uint64))
+    planted = [(int(v), int(v) ^ sum(1 << int(b) for b in rng.choice(48, k, False))) for k, v in zip([1, 2, 3] * 100, low[::130])]
+    values = sorted({*low.tolist(), *(b for _, b in planted)})
+    values = [v | 0x1234 << 48 for v in values]
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    links = [(r["a"], r["b"]) for r in simhash.link(prints, 3, 1500).collect()]
+    assert all((a ^ b).bit_count() <= 3 and a != b for a, b in links)
+    up = {v: v for v in values}
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in links:
+        up[root(a)] = root(b)
+    assert all(root(a | 0x1234 << 48) == root(b | 0x1234 << 48) for a, b in planted)
+
+
 def test_bk_tree_finds_all_within():
     rng = random.Random(1)
     tree, values = simhash.BKTree(), list({rng.getrandbits(64) & 0xFFFF for _ in range(500)})
