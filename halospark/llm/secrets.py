@@ -1,9 +1,11 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are long runs of key-like characters that hold a digit. Their features are length, the transitions of their
-characters under the corpus's letter pairs and between character classes, how much of them dictionary words cover, the path
-around them, and the neighbouring words. The dictionary and the letter pairs are counted over all documents. The forest
-learns from labelled findings."""
+Candidates are values assigned to names with a secret word, of any length and characters, the password of a URL's user, and runs of
+twelve or more key-like characters with a digit. Their features are length, the transitions of their characters under the corpus's
+letter pairs and between character classes, how much of them dictionary words cover, the path around them, and the neighbouring
+words. The dictionary and the letter pairs are counted over all documents. The forest learns from labelled findings; where none are
+given, from planted ones: keys, tokens and passwords, and hashes, numbers, placeholders and words that look like them, put into
+sentences of the corpus's words. Their truth is known from how they were made, not from the features."""
 
 from __future__ import annotations
 
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, least_hashed, table
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_-])")
+_KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}(?:\.[A-Za-z0-9+/_-]{12,}){0,2}={0,2}(?![A-Za-z0-9+/_-])")
+_NAME = re.compile(r"(?i)(?<![a-z])(?:[a-z0-9]{1,24}[_.-]){0,4}(?:password|passwd|pwd|pw|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)(?:[_.-][a-z0-9]{1,24}){0,4}[\"']?\s?$")
+_ASSIGN, _VALUE = re.compile(r"[=:]"), re.compile(r">?\s?[\"']?([^\s\"',;]{4,})")
+_USER = re.compile(r"(?<=://)[^\s/:@]{1,64}:([^\s/@]{4,})@")
+_BEARER = re.compile(r"(?:[Bb]earer|BEARER)\s([A-Za-z0-9._~+/-]{8,}=*)")
 WORD = re.compile(r"[^\W\d_]{3,30}")
-#: Dictionary words broadcast, labelled findings that the forest learns from, trees, depth, and the score that counts as a secret.
-DICTIONARY, SAMPLE, TREES, DEPTH, THRESHOLD = 20_000, 20_000, 20, 6, 0.5
+#: Dictionary words broadcast, labelled findings that the forest learns from, planted ones, trees, depth, and the score that counts as a secret.
+DICTIONARY, SAMPLE, PLANTED, TREES, DEPTH, THRESHOLD = 20_000, 20_000, 8000, 20, 9, 0.5
 #: Words near a finding, by what they suggest (fixed values).
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "access", "auth", "bearer", "credential", "private")
 OTHER_WORDS = ("commit", "sha", "md5", "hash", "uuid", "id", "order", "card", "phone", "tel", "iban", "isbn", "version", "example", "test", "placeholder", "checksum", "page", "line")
@@ -30,6 +36,19 @@ FEATURES = ("length", "digits", "upper", "lower", "other", "entropy", "switches"
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{20,}")
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates, in order and without overlaps; of those that overlap the first, and of these the longest."""
+    spans = [m.span() for m in _KEYLIKE.finditer(text)] + [m.span(1) for p in (_USER, _BEARER) for m in p.finditer(text)]
+    for m in _ASSIGN.finditer(text):
+        if _NAME.search(text[max(0, m.start() - 64) : m.start()]) and (v := _VALUE.match(text, m.end())):
+            spans.append(v.span(1))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
+
+
 def features(text: str, start: int, end: int, path: str | None, words: set[str], pairs: np.ndarray) -> list[float]:
     """FEATURES of text[start:end]; words: the dictionary, pairs: log2 probabilities of letter pairs by code below 128."""
     c = text[start:end]
@@ -56,18 +75,84 @@ def features(text: str, start: int, end: int, path: str | None, words: set[str],
     ]
 
 
-def rule_label(text: str, start: int, end: int, f: list[float]) -> int | None:
-    """1 or 0 where a finding's form says what it is, else None: the labelled findings of the query."""
-    v = dict(zip(FEATURES, f))
-    if v["known_prefix"]:
-        return 1
-    if v["digits_only"] or v["coverage"] > 0.6 or v["repeats"] > 0.5 or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", text[start:end]):
-        return 0
-    if v["assigned"] and v["secret_words"] and v["entropy"] > 2.5 and v["digits"] > 0.1:
-        return 1
-    if v["other_words"] and not v["secret_words"]:
-        return 0
-    return None
+#: Where planted secrets, and what isn't one, stand (fixed values).
+_SECRET_PLACES = ("password = {}", "password={}", "{w}_password: \"{}\"", "pwd: {}", "api_key = '{}'", "API_KEY={}", "secret: {}", "client_secret={}", "token: {}", "access_token=\"{}\"", "Authorization: Bearer {}", "postgres://{w}:{}@{w}.example.org/{w}", "{w} {} {w}", "key {}", "private_key={}")
+_OTHER_PLACES = ("commit {}", "in commit {} of {w}", "sha {}", "md5 {}", "checksum: {}", "id {}", "uuid {}", "order {}", "card {} {w}", "page id={}", "phone {}", "version {}", "/usr/lib/{w}/{}", "{w}/{}", "iban {}", "isbn {}", "{w} {} {w}", "hash={}", "line {}")
+_PLACEHOLDERS = ("changeme", "example", "<password>", "your_password_here", "xxxxxxxxxxxx", "${{PASSWORD}}", "placeholder", "none", "null", "********", "required", "optional", "12345678")
+
+
+def planted(words: list[str], n: int, seed: int = 0) -> list[tuple[str, str, int]]:
+    """n (text, finding, label): half of them secrets, half not, in sentences of the words."""
+    rng = np.random.default_rng(seed)
+    words = words or ["word"]
+    word = lambda: words[int(rng.integers(len(words)))]
+    letters = lambda chars, k: "".join(chars[int(i)] for i in rng.integers(len(chars), size=k))
+    alnum, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+
+    def secret() -> tuple[str, bool]:
+        """A secret, and whether it shows itself without a name."""
+        kind = int(rng.integers(9))
+        if kind == 0:
+            return "AKIA" + letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), True
+        if kind == 1:
+            return "ghp_" + letters(alnum, 36), True
+        if kind == 2:
+            return "sk_live_" + letters(alnum, 24), True
+        if kind == 3:
+            return ".".join(letters(alnum + "_-", int(k)) for k in rng.integers(16, 48, size=3)), False
+        if kind == 4:
+            return letters(hexes, int(rng.choice([32, 40, 64]))), False
+        if kind == 5:
+            return letters(alnum + "+/", int(rng.integers(20, 64))) + "=" * int(rng.integers(3)), False
+        if kind == 6:
+            return letters(alnum + "!#$%&*?", int(rng.integers(8, 20))), False
+        if kind == 7:
+            return word().capitalize() + letters("!#$_-", 1) + word() + letters("0123456789", int(rng.integers(1, 5))), False
+        return "-".join(word() + letters("0123456789", int(rng.integers(0, 3))) for _ in range(3)), False
+
+    def other() -> tuple[str, bool]:
+        """What is no secret, and whether that holds behind a secret's name."""
+        kind = int(rng.integers(9))
+        if kind == 0:
+            return letters(hexes, int(rng.choice([32, 40, 64]))), False
+        if kind == 1:
+            return "-".join(letters(hexes, k) for k in (8, 4, 4, 4, 12)), False
+        if kind == 2:
+            return letters("0123456789", int(rng.integers(12, 20))), False
+        if kind == 3:
+            return "-".join(letters("0123456789", 4) for _ in range(4)), False
+        if kind == 4:
+            return f"{word()}_{word()}-{letters('0123456789', 3)}.so", False
+        if kind == 5:
+            return _PLACEHOLDERS[int(rng.integers(len(_PLACEHOLDERS)))], True
+        if kind == 6:
+            return word() + "_" + word(), True
+        if kind == 7:
+            return letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2) + letters("0123456789", 18), False
+        return f"{word()}{letters('0123456789', 1)}_{word()}_{word()}", False
+
+    out = []
+    for k in range(n):
+        label = k % 2
+        found, known = secret() if label else other()
+        named = _SECRET_PLACES[:12] + _SECRET_PLACES[14:]
+        places = (_SECRET_PLACES if known else named) if label else named if known else _OTHER_PLACES
+        place = places[int(rng.integers(len(places)))]
+        while "{w}" in place:
+            place = place.replace("{w}", word(), 1)
+        sentence = [word() for _ in range(int(rng.integers(3, 12)))]
+        at = int(rng.integers(len(sentence)))
+        out.append((" ".join([*sentence[:at], place.replace("{}", found, 1), *sentence[at:]]), found, label))
+    return out
+
+
+def planted_findings(spark, model, n: int = PLANTED) -> DataFrame:
+    """(digest, start, features, label) of planted findings, in sentences of the dictionary's words; model: what findings() looks up."""
+    texts = planted(sorted(model[0]), n)
+    labels = {hashlib.sha256(f.encode()).hexdigest(): y for _, f, y in texts}
+    docs = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(texts)], "doc_id long, text string").repartition(8)
+    known = spark.createDataFrame(list(labels.items()), "digest string, label int")
+    return findings(docs, model).join(F.broadcast(known), "digest").select("digest", "start", "features", "label")  # PLANTED rows
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -120,10 +205,15 @@ def letter_pairs(words: DataFrame) -> np.ndarray:
     return np.log2(out / out.sum(axis=1, keepdims=True))
 
 
-def findings(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """A row for each candidate of each text: id, start, length, digest (SHA-256 of the candidate), label (rule_label), features."""
+def lookups(words: DataFrame) -> tuple[set, np.ndarray]:
+    """The dictionary and the letter pairs."""
+    return set(dictionary(words)), letter_pairs(words)
+
+
+def findings(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """A row for each candidate of each text: id, start, length, digest (SHA-256 of the candidate), features; model: lookups()."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast((set(dictionary(words)), letter_pairs(words)))
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         known, pairs = shared.value
@@ -131,15 +221,14 @@ def findings(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col
             rows = []
             for k in range(b.num_rows):
                 text = b.column(1)[k].as_py() or ""
-                for m in CANDIDATE.finditer(text):
-                    f = features(text, m.start(), m.end(), b.column(2)[k].as_py(), known, pairs)
-                    rows.append((k, m.start(), m.end() - m.start(), hashlib.sha256(m[0].encode()).hexdigest(), rule_label(text, m.start(), m.end(), f), f))
+                for s, e in candidates(text):
+                    rows.append((k, s, e - s, hashlib.sha256(text[s:e].encode("utf-8", "surrogatepass")).hexdigest(), features(text, s, e, b.column(2)[k].as_py(), known, pairs)))
             if rows:
-                cols = [pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()), (4, pa.int32()), (5, pa.list_(pa.float64())))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows])), *cols], names=["id", "start", "length", "digest", "label", "features"])
+                cols = [pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()), (4, pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows])), *cols], names=["id", "start", "length", "digest", "features"])
 
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).mapInArrow(run, f"id {kind}, start long, length long, digest string, label int, features array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).mapInArrow(run, f"id {kind}, start long, length long, digest string, features array<double>")
 
 
 def forest(labelled: DataFrame, sample: int = SAMPLE):
@@ -164,17 +253,20 @@ def forest(labelled: DataFrame, sample: int = SAMPLE):
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """A row for each candidate: id, start and length in characters, digest, score (0 to 1), is_secret (score >= THRESHOLD).
 
-    labelled: (digest, start, features, label) findings, else those that rule_label() labels. If these lack a label, findings
-    score 1, 0 or, where no rule holds, 0.5. Null and empty texts have no candidates; rows that repeat an id each have theirs; an
-    empty table gives an empty result."""
+    labelled: (digest, start, features, label) findings of both labels, else planted_findings(); with one label only, all findings have its
+    score. Null and empty texts have no candidates; rows that repeat an id each have theirs; an empty table gives an empty result."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    found = cut(findings(docs, cut(corpus_words(docs, text_col)), id_col, text_col, path_col))
-    model = forest(found if labelled is None else labelled)
-    if model is None:
-        scored = found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5)))
+    model = lookups(cut(corpus_words(docs, text_col)))
+    found = findings(docs, model, id_col, text_col, path_col)
+    if labelled is None:
+        labelled = planted_findings(docs.sparkSession, model)
+    trained = forest(labelled)
+    if trained is None:
+        only = labelled.filter("label in (0, 1)").agg(F.max("label")).first()[0]
+        scored = found.withColumn("score", F.lit(0.5 if only is None else float(only)))
     else:
-        scored = model.transform(found.withColumn("x", array_to_vector("features"))).withColumn("score", vector_to_array("_prob")[1])
+        scored = trained.transform(found.withColumn("x", array_to_vector("features"))).withColumn("score", vector_to_array("_prob")[1])
     return scored.select(F.col("id").alias(id_col), "start", "length", "digest", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
 
 

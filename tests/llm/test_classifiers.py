@@ -86,6 +86,54 @@ def test_secret_scan(spark):
     assert secrets.scan(frame(spark, [(1, "no candidates")])).count() == 0
 
 
+def test_candidates_by_name_and_form():
+    texts = {
+        "password=hunterhunterhunter": "hunterhunterhunter", "token: abcDEFghiJKLmnoPQRstu": "abcDEFghiJKLmnoPQRstu", "pw=Xy9!kQ2#": "Xy9!kQ2#", "password = S3cr3tPw1": "S3cr3tPw1", 'my_password: "hunter2"': "hunter2",
+        "PASSWORD=S3cr3t!Pass#2024": "S3cr3t!Pass#2024", "secret: correct-horse-battery-staple": "correct-horse-battery-staple", "api_key=ABCDEFGHIJKLMNOPQRSTUVWX": "ABCDEFGHIJKLMNOPQRSTUVWX", "postgres://u:p4ssw0rd@db/x": "p4ssw0rd",
+        "see eyJhbGciOiJIUzI1NiJ9ab1.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abc123def456ghi": "eyJhbGciOiJIUzI1NiJ9ab1.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abc123def456ghi", "Authorization: Bearer abcdef123456": "abcdef123456",
+    }
+    assert {t: [t[s:e] for s, e in secrets.candidates(t)] for t in texts} == {t: [v] for t, v in texts.items()}
+    assert not secrets.candidates("plain words: nothing, key = here") and not secrets.candidates("")
+
+
+def test_secret_scan_on_planted_findings_it_has_not_seen(spark):
+    """Precision and recall, and candidates, features and scores one by one in plain Python."""
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("etaoinshrdlu"), int(k))) for k in rng.integers(4, 9, size=300)]
+    made = secrets.planted(vocab, 1500, seed=99)
+    docs = frame(spark, [(k, t) for k, (t, *_) in enumerate(made)] + [(5000 + k, " ".join(rng.choice(vocab, 60))) for k in range(300)])
+    got = secrets.scan(docs, path_col="source").collect()
+    import hashlib
+
+    spans = {(r["doc_id"], r["digest"]): r for r in got}
+    assert {(r["doc_id"], r["start"], r["length"]) for r in got} == {(k, s, e - s) for k, (t, *_) in enumerate(made) for s, e in secrets.candidates(t)}
+    hit = lambda k, f: (r := spans.get((k, hashlib.sha256(f.encode()).hexdigest()))) is not None and r["is_secret"]
+    yes, no = [hit(k, f) for k, (_, f, y) in enumerate(made) if y], [hit(k, f) for k, (_, f, y) in enumerate(made) if not y]
+    assert sum(yes) / len(yes) >= 0.9 and sum(yes) / (sum(yes) + sum(no)) >= 0.9
+
+
+def test_licenses_unlike_the_families_and_like_them():
+    rng = np.random.default_rng(2)
+    m = licenses.train([[licenses._name(rng) for _ in range(30)] for _ in range(600)])
+    of = licenses._Hashes()
+
+    def told(text):
+        words = licenses.words_of(text)
+        p = m.probabilities([licenses.slots(words, of)])[0]
+        c = int(p.argmax())
+        sure = c and m.worth([licenses.slots(words, of)])[0] and p[c] >= licenses.PROBABILITY
+        return m.classes[c] if sure and m.similarity(c, words)[1] >= licenses.SIMILARITY else "unknown"
+
+    texts = {
+        "Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0", "GNU Affero General Public License version 3": "AGPL-3.0", "CC BY-ND 4.0": "CC-BY-ND", "ISC License": "ISC", "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under the Zorble Public License, Version 2.0.": "unknown", "Licensed under the Frob License": "unknown", "All rights reserved.": "unknown",
+    }
+    assert {t: told(t) for t in texts} == texts
+    other = licenses._others(np.random.default_rng(77), 400)  # not those that it was trained on
+    p = m.probabilities([licenses.slots(w, of) for w in other])
+    assert np.mean(p.argmax(axis=1) == 0) > 0.9 and abs(p[:, 0].mean() - np.mean(p.argmax(axis=1) == 0)) < 0.1  # calibrated
+
+
 def test_license_scan(spark):
     filler = "the quick brown fox jumps over the lazy dog near the public river bank in spring"
     rows = [(k, f"{filler} {k}\nLicensed under the Apache License, Version 2.0.\n{filler}") for k in range(20)]
