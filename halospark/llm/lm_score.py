@@ -171,7 +171,7 @@ def _inputs(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             yield made()
 
     blocks = -(-size // BLOCK)
-    summed = counts.repartition(max(12, blocks // 64), "block").sortWithinPartitions("block").mapInArrow(run, "block int, all_rows binary, others binary")
+    summed = counts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, all_rows binary, others binary")
     out = np.zeros((2, blocks * BLOCK), np.int8)
     for b in summed.toArrow().to_batches():  # 2 bytes for each slot, whose number is bounded
         for k, *both in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):

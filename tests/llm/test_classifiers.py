@@ -6,7 +6,11 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from halospark.llm import licenses, registry, secrets, toxicity
+from halospark.llm import decontaminate as D
+from halospark.llm import licenses, mixing, registry, secrets, toxicity
+
+from test_dedup import jaccard_groups
+from test_texts import mixed
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, label int, y int"
@@ -150,8 +154,6 @@ def test_pipeline_is_its_stages(spark):
     """Each stage by itself, on what its predecessor kept, against plain Python where that is short."""
     import hashlib
 
-    from halospark.llm import simhash
-
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact_dedup", "simhash_dedup", "decontaminate", "mix_sources"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -166,27 +168,18 @@ def test_pipeline_is_its_stages(spark):
         h = hashlib.sha256(low(r["text"]).encode()).hexdigest()
         first[h] = min(first.get(h, r["doc_id"]), r["doc_id"])
     single = [r for r in kept if r["doc_id"] in set(first.values())]
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in single}
-    up = {i: i for i in prints}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    ids = sorted(prints)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
-    want = {root(i) for i in ids}
+    single.sort(key=lambda r: r["doc_id"])
+    roots, _ = jaccard_groups([r["text"] for r in single])
+    apart = [single[k] for k in sorted(set(roots))]
     after = steps["simhash_dedup"](spark, steps["exact_dedup"](spark, clean, SF), SF)
-    assert {r["doc_id"] for r in after.collect()} == want
-    dirty = {r["doc_id"] for r in registry.QUERIES["op1_decontaminate"](spark, SF).collect()}
+    assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in apart}
+    items = [set(D._shingles(D.words_of(r["text"]), 5)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    sets = [set(D._shingles(D.words_of(r["text"]), 5)) for r in apart]
+    sound = [r for r, own in zip(apart, sets) if not any(q and len(q & own) >= 0.8 * len(q) for q in items)]
+    assert {r["doc_id"] for r in steps["decontaminate"](spark, after, SF).collect()} == {r["doc_id"] for r in sound}
     last = corpus_pipeline.run(spark, SF)
-    got = {r["doc_id"] for r in last.collect()}
-    assert got <= want - dirty and len(got) > 0.8 * len(want - dirty) and set(docs.columns) < set(last.columns)
+    want = mixed([(r["doc_id"], r["text"], r["source"]) for r in sound], mixing.ENTROPY, mixing.REPEATS, mixing.BUDGET)
+    assert Counter((r["doc_id"], r["source"], r["mix_epoch"]) for r in last.collect()) == want and set(docs.columns) < set(last.columns)
 
 
 def test_forest_sees_both_labels_under_many_copies(spark):
