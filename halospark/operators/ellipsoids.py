@@ -22,10 +22,15 @@ def sphere_points(n: int = SAMPLES) -> np.ndarray:
 def overlap_pairs(subhalos: DataFrame, box: float, edge: int) -> DataFrame:
     """(i, j) of subhalos (id, host, x, y, z, r, q, s; axes along x, y, z with lengths r, q r, s r) of one host that overlap:
     a sampled surface point of one is inside the other, or a centre is. Candidates are nearer than the sum of their radii, found by
-    host and cells of the given edge, at least twice the largest radius."""
+    host and cells of the given edge, or of the next that divides the box and is twice the largest radius."""
     from itertools import product
 
-    n = int(box // edge)
+    widest = subhalos.agg(F.max("r")).first()[0] or 0
+    fits = [m for m in range(3, max(4, int(box // max(edge, 2 * widest)) + 1)) if box / m >= 2 * widest]
+    if not fits:
+        raise ValueError("a subhalo is over a sixth of the box")
+    n = max(fits)
+    edge = box / n
     cols = ["id", "host", "x", "y", "z", "r", "q", "s"]
     a = subhalos.select(*cols)
     offsets = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abc", o))) for o in product((-1, 0, 1), repeat=3)))

@@ -158,8 +158,8 @@ def radius_of(members: DataFrame, part: float = 0.98, group: str = "hid") -> Dat
 
 
 def ellipsoidal_radius(members: DataFrame, part: float = 0.98, group: str = "hid") -> DataFrame:
-    """The same with the distance sqrt(x^2 + (y/q)^2 + (z/s)^2) along the group's axes; groups with s = 0 are left out."""
-    axes = shape(members, group).filter("q > 0 and s > 0").select(group, "q", "s", "axes")
+    """The same with the distance sqrt(x^2 + (y/q)^2 + (z/s)^2) along the group's axes; flat groups (s under 1e-5) are left out."""
+    axes = shape(members, group).filter("s >= 1e-5").select(group, "q", "s", "axes")
     rows = about_centre(members, group).join(axes, group)
     along = [sum(F.col("axes")[k][j] * F.col(f"d{c}") for j, c in enumerate("xyz")) for k in range(3)]
     r = rows.withColumn("r", F.sqrt(along[0] * along[0] + (along[1] / F.col("q")) * (along[1] / F.col("q")) + (along[2] / F.col("s")) * (along[2] / F.col("s"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import fof, halo, subhalo
@@ -137,9 +139,17 @@ def a5_shape_eigenvalues(spark, sf):
     return halo.shape(clumps(spark, sf)).select("hid", F.round((F.col("d1") + F.col("d2") + F.col("d3")) * F.col("np")).cast("long").alias("trace"))
 
 
-@query()
+#: Eigenvalues of the moments in closed form: e(hid, np, d1, d2, d3), and i(hid, ...), the inverse times the determinant.
+EIGEN = f"""{CENTRED}, m AS MATERIALIZED (SELECT hid, any_value(np) AS np, sum(dx*dx) AS xx, sum(dy*dy) AS yy, sum(dz*dz) AS zz, sum(dx*dy) AS xy, sum(dy*dz) AS yz, sum(dx*dz) AS xz FROM d GROUP BY 1),
+t AS (SELECT *, (xx+yy+zz)/3e0 AS t, sqrt((pow(xx-(xx+yy+zz)/3e0, 2) + pow(yy-(xx+yy+zz)/3e0, 2) + pow(zz-(xx+yy+zz)/3e0, 2) + 2*(xy*xy+yz*yz+xz*xz))/6e0) AS p FROM m),
+a AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1e0, least(1e0, ((xx-t)*((yy-t)*(zz-t)-yz*yz) - xy*(xy*(zz-t)-yz*xz) + xz*(xy*yz-(yy-t)*xz))/(2*p*p*p))))/3e0 ELSE 0e0 END AS phi FROM t),
+e AS MATERIALIZED (SELECT *, t+2*p*cos(phi) AS d1, greatest(0e0, t+2*p*cos(phi+{2 * math.pi / 3!r}e0)) AS d3, greatest(0e0, t-2*p*cos(phi)-2*p*cos(phi+{2 * math.pi / 3!r}e0)) AS d2 FROM a)"""
+
+
+@query(f"WITH {EIGEN} SELECT hid, np, CASE WHEN np > 1 THEN round(sqrt(d2/d1), 3) END AS q, CASE WHEN np > 1 THEN round(sqrt(d3/d1), 3) END AS s, CASE WHEN np > 1 THEN round(d1, 1) ELSE 0e0 END AS d1 FROM e")
 def a5_shape(spark, sf):
-    return halo.shape(clumps(spark, sf))
+    """The axes are compared with numpy's, as their signs are free."""
+    return halo.shape(clumps(spark, sf)).select("hid", "np", F.round("q", 3).alias("q"), F.round("s", 3).alias("s"), F.when(F.col("np") > 1, F.round("d1", 1)).otherwise(0.0).alias("d1"))
 
 
 @query(f"WITH {CENTRED}, {_PE} SELECT hid, indx, round(pe, 6) AS pe FROM pe UNION ALL SELECT hid, indx, 0e0 FROM d WHERE np = 1")
@@ -162,9 +172,14 @@ def a9_halo_radius(spark, sf):
     return halo.radius_of(clumps(spark, sf)).select("hid", F.round("radius", 6).alias("radius"))
 
 
-@query()
+#: The squared ellipsoidal distance is the largest eigenvalue times the distance in the inverse of the moments.
+RADII = f"""{EIGEN}, f AS (SELECT *, xx*(yy*zz-yz*yz) - xy*(xy*zz-yz*xz) + xz*(xy*yz-yy*xz) AS det FROM e WHERE np > 1 AND d3/d1 >= 1e-10),
+r AS (SELECT hid, indx, f.np, sqrt(greatest(0e0, d1*(dx*dx*(yy*zz-yz*yz) + dy*dy*(xx*zz-xz*xz) + dz*dz*(xx*yy-xy*xy) + 2*dx*dy*(xz*yz-xy*zz) + 2*dx*dz*(xy*yz-xz*yy) + 2*dy*dz*(xy*xz-xx*yz))/det)) AS r FROM d JOIN f USING (hid))"""
+
+
+@query(f"WITH {RADII} SELECT hid, round(r, 2) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY hid ORDER BY r, indx) AS rn FROM r) WHERE rn = ceil(0.98*np)")
 def a9_ellipsoidal_radius(spark, sf):
-    return halo.ellipsoidal_radius(clumps(spark, sf))
+    return halo.ellipsoidal_radius(clumps(spark, sf)).select("hid", F.round("radius", 2).alias("radius"))
 
 
 @query()
@@ -232,26 +247,49 @@ def h3_separate_contours(spark, sf):
     return subhalo.separate_contours(subhalo.halo_density(clumps(spark, sf), 64)[0])
 
 
+#: Members with cores by the side of their halo's middle, a third of them outside of any.
+CORES = f"c AS MATERIALIZED (SELECT k.*, CASE WHEN indx % 3 > 0 THEN hid*2 + CASE WHEN x > mx THEN 1 ELSE 0 END END AS core FROM ({CLUMPS}) k JOIN (SELECT hid, avg(x) AS mx FROM ({CLUMPS}) GROUP BY 1) USING (hid))"
+
+
 def _cores(spark, sf):
-    """Members in cells of a peak's slope: (hid, indx, x, ..., core), core null outside."""
     c = clumps(spark, sf)
-    contours = subhalo.separate_contours(subhalo.halo_density(c, 64)[0]).select("hid", "ix", "iy", "iz", "peak")
-    cells = c.withColumns({f"i{v}": F.expr(f"{v} div 64") for v in "xyz"})
-    joined = cells.join(contours, ["hid", "ix", "iy", "iz"], "left")
-    return cut(joined.select(*c.columns, F.when(F.col("peak").isNotNull(), F.xxhash64("hid", "peak")).alias("core")))
+    both = c.join(c.groupBy("hid").agg(F.avg("x").alias("mx")), "hid")
+    return cut(both.withColumn("core", F.when(F.col("indx") % 3 > 0, F.col("hid") * 2 + (F.col("x") > F.col("mx")).cast("long"))).drop("mx"))
 
 
-@query()
+_STRENGTH = 1e6
+
+
+def _unbind_sql(rounds: int = 4) -> str:
+    out, d = [f"{CORES}, u0 AS MATERIALIZED (SELECT * FROM c WHERE core IS NOT NULL)"], ", ".join(f"avg({v}) AS m{v}" for v in _COLS)
+    for k in range(rounds):
+        ke = " + ".join(f"pow(u.v{v}-g.mv{v} + 0.7e0*(u.{v}-g.m{v}), 2)" for v in "xyz")
+        r2 = "+".join(f"pow(a.{v}-b.{v}, 2)" for v in "xyz")
+        out.append(f"""g{k} AS (SELECT core, {d} FROM u{k} GROUP BY 1), k{k} AS (SELECT u.core, u.indx, 0.5e0*({ke}) AS ke FROM u{k} u JOIN g{k} g USING (core)),
+p{k} AS (SELECT a.core, a.indx, -sum(1/sqrt({r2}+0.01e0)) AS pe FROM u{k} a JOIN u{k} b ON a.core = b.core AND a.indx <> b.indx GROUP BY 1, 2),
+u{k + 1} AS MATERIALIZED (SELECT u.* FROM u{k} u JOIN k{k} USING (core, indx) LEFT JOIN p{k} USING (core, indx) WHERE ke + {_STRENGTH!r}*coalesce(pe, 0) <= 0)""")
+    return ", ".join(out) + f" SELECT core, indx FROM u{rounds}"
+
+
+@query(f"WITH {_unbind_sql()}")
 def h4_unbind(spark, sf):
-    return subhalo.unbind(_cores(spark, sf).filter("core is not null"), 0.0, 1e7).select("core", "indx")
+    return subhalo.unbind(_cores(spark, sf).filter("core is not null"), 0.7, _STRENGTH).select("core", "indx")
 
 
-@query()
+_H5_NEAR = "pow(a.x-b.x, 2)+pow(a.y-b.y, 2)+pow(a.z-b.z, 2) <= 40000"
+
+
+@query(f"""WITH RECURSIVE {CORES}, o AS (SELECT * FROM c WHERE core IS NULL), pr AS MATERIALIZED (SELECT a.indx AS i, b.indx AS j FROM o a JOIN o b ON a.hid = b.hid AND a.indx <> b.indx AND {_H5_NEAR}),
+r(i, l) AS (SELECT indx, indx FROM o UNION SELECT pr.j, r.l FROM r JOIN pr ON pr.i = r.i), lab AS (SELECT i AS indx, min(l) AS root FROM r GROUP BY 1),
+t AS (SELECT root, min(b.core) AS core FROM lab JOIN o a USING (indx) JOIN c b ON a.hid = b.hid AND b.core IS NOT NULL AND {_H5_NEAR} GROUP BY 1) SELECT indx, core FROM lab JOIN t USING (root)""")
 def h5_assign_shell(spark, sf):
     rows = _cores(spark, sf)
-    return subhalo.assign_shell(rows.filter("core is null"), rows.filter("core is not null"), LINK)
+    return subhalo.assign_shell(rows.filter("core is null"), rows.filter("core is not null"), 200)
 
 
-@query()
+@query(f"WITH {CORES} SELECT hid, core, CAST(count(*) AS BIGINT) AS np, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(z) AS BIGINT) AS sz FROM c GROUP BY 1, 2")
 def h6_subhalo_catalog(spark, sf):
-    return subhalo.subhalo_catalog(_cores(spark, sf))[0]
+    """The catalogue, and a row for each halo's background, without a core."""
+    found, background = subhalo.subhalo_catalog(_cores(spark, sf))
+    rest = background.groupBy("hid", "core").agg(F.count("*").alias("np"), *(F.sum(c).alias(f"s{c}") for c in "xyz"))
+    return found.select("hid", "core", "np", "sx", "sy", "sz").unionByName(rest.withColumn("core", F.col("core").cast("long")))

@@ -13,11 +13,13 @@ _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """A new path in the shared folder: spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get()

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from halospark.operators import ellipsoids, grid, halo, spectrum
+from halospark.operators import ellipsoids, grid, halo, spectrum, subhalo
 from halospark.operators.massfunc import mass_function
 
 
@@ -100,3 +100,33 @@ def test_deposits_keep_mass_and_spectrum_keeps_power(spark):
     total = spectrum.power_spectrum(spectrum.fourier_modes(g, 8), 8, window=0, hermitian=True).agg(F.sum(F.col("pk") * F.col("weight"))).first()[0]
     below = (np.abs(f) ** 2).sum() / 8**6 - np.abs(f[0, 0, 0]) ** 2 / 8**6
     assert total <= below * 1.0000001 and total > 0.9 * below
+
+
+def test_contours_agree_with_floods(spark):
+    """A cell is of the peak that its denser neighbours lead to; a peak's saddle is the highest level at which it is connected with a higher peak."""
+    rng = np.random.default_rng(6)
+    cells = {(x, y, z): float(d) for (x, y, z), d in zip({tuple(map(int, p)) for p in rng.integers(0, 6, (120, 3))}, rng.permutation(200) + 1.0)}
+    df = spark.createDataFrame([(7, *c, d) for c, d in cells.items()], "hid long, ix long, iy long, iz long, density double")
+    got = {(r["ix"], r["iy"], r["iz"]): r for r in subhalo.separate_contours(df).collect()}
+    dense = {c: d for c, d in cells.items() if d > 1.5}
+    around = lambda c, level: [n for a in (-1, 0, 1) for b in (-1, 0, 1) for e in (-1, 0, 1) if (n := (c[0] + a, c[1] + b, c[2] + e)) != c and dense.get(n, -1) >= level]
+    peaks = {c for c, d in dense.items() if all(dense[n] < d for n in around(c, 0))}
+    assert set(got) == set(dense) and len({r["peak"] for r in got.values()}) == len(peaks)
+    for c in dense:
+        up = c
+        while up not in peaks:
+            up = max(around(up, 0), key=dense.get)
+        assert got[c]["peak"] == got[up]["peak"]
+    for p in peaks:
+        want = None
+        for level in sorted({d for d in dense.values() if d < dense[p]}, reverse=True):
+            seen, todo = {p}, [p]
+            while todo:
+                for n in around(todo.pop(), level):
+                    if n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+            if any(dense[q] > dense[p] for q in seen & peaks):
+                want = level
+                break
+        assert got[p]["saddle"] == want
