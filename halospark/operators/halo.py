@@ -168,7 +168,8 @@ def ellipsoidal_radius(members: DataFrame, part: float = 0.98, group: str = "hid
 
 
 def halo_properties(members: DataFrame, hubble: float, eps: float = 0.1, g: float = 1.0, mass: float = 1.0, group: str = "hid") -> DataFrame:
-    """A10: one row of all properties for each group."""
+    """A10: one row of all properties for each group. Members are written once and read by each part."""
+    members = cut(members)
     bound = kinetic(members, hubble, group).select(group, "indx", "ke").join(pair_potential(members, eps, group).select(F.col(group), "indx", (F.col("pe") * g * mass).alias("pe")), [group, "indx"])
     energies = virial_ratio(bound, group)
     mbp = most_bound(bound, F.col("ke") + F.col("pe"), group).select(group, "mbp")

@@ -182,9 +182,21 @@ def a9_ellipsoidal_radius(spark, sf):
     return halo.ellipsoidal_radius(clumps(spark, sf)).select("hid", F.round("radius", 2).alias("radius"))
 
 
-@query()
+_TOTALS = {"x": 3, "y": 3, "z": 3, "vx": 3, "vy": 3, "vz": 3, "sigv": 4, "rotation": 1, "ux": 4, "uy": 4, "uz": 4, "kw": 1, "total_energy": 1, "spin": 4, "q": 3, "s": 3, "radius": 3}
+
+
+@query(f"""WITH {EIGEN}, {_PE}, b AS MATERIALIZED (SELECT d.hid, d.indx, {_KE} AS ke, coalesce(pe, 0) AS pe FROM d LEFT JOIN pe USING (hid, indx)),
+en AS (SELECT hid, 2*avg(ke) AS s2, CASE WHEN sum(pe) <> 0 THEN 2*sum(ke)/(sum(pe)/2) + 1 END AS kw, sum(ke) + sum(pe)/2 AS total_energy FROM b GROUP BY 1),
+l AS (SELECT *, sqrt(lx*lx+ly*ly+lz*lz) AS rotation FROM (SELECT hid, sum(dy*dvz-dz*dvy) AS lx, sum(dz*dvx-dx*dvz) AS ly, sum(dx*dvy-dy*dvx) AS lz FROM d GROUP BY 1)),
+ra AS (SELECT hid, r FROM (SELECT hid, np, sqrt(dx*dx+dy*dy+dz*dz) AS r, row_number() OVER (PARTITION BY hid ORDER BY sqrt(dx*dx+dy*dy+dz*dz), indx) AS rn FROM d) WHERE rn = ceil(0.98*np)),
+h AS (SELECT hid, mean.np, CAST(mean.np AS DOUBLE) AS mass, mx AS x, my AS y, mz AS z, mvx AS vx, mvy AS vy, mvz AS vz, sqrt(s2) AS sigv, rotation, CASE WHEN rotation > 0 THEN lx/rotation END AS ux, CASE WHEN rotation > 0 THEN ly/rotation END AS uy,
+  CASE WHEN rotation > 0 THEN lz/rotation END AS uz, kw, total_energy, CASE WHEN total_energy <= 0 THEN rotation*sqrt(-total_energy)/pow(mean.np, 2.5) END AS spin, CASE WHEN mean.np > 1 THEN sqrt(d2/d1) END AS q, CASE WHEN mean.np > 1 THEN sqrt(d3/d1) END AS s, r AS radius
+  FROM mean JOIN en USING (hid) JOIN l USING (hid) JOIN e USING (hid) JOIN ra USING (hid))
+SELECT hid, np, mass, {', '.join(f'round({c}, {k}) + 0 AS {c}' for c, k in _TOTALS.items())} FROM h""")
 def a10_halo_properties(spark, sf):
-    return halo.halo_properties(clumps(spark, sf), 0.7)
+    """All but the most bound member, which has a query of its own."""
+    out = halo.halo_properties(clumps(spark, sf), 0.7)
+    return out.select("hid", "np", "mass", *((F.round(c, k) + 0.0).alias(c) for c, k in _TOTALS.items()))
 
 
 _W4 = "CASE WHEN {q} < 1 THEN 1 - 1.5e0*{q}*{q} + 0.75e0*{q}*{q}*{q} WHEN {q} < 2 THEN 0.25e0*(2-{q})*(2-{q})*(2-{q}) ELSE 0 END / (pi()*h*h*h)"
