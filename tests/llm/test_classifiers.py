@@ -90,6 +90,22 @@ def test_secret_scan(spark):
     assert secrets.scan(frame(spark, [(1, "no candidates")])).count() == 0
 
 
+def test_toxicity_scores_one_by_one(spark):
+    """Each text's score from the classifier's weights in plain loops, and the loss's gradient at the weights, which the penalty has a part in."""
+    import math
+    import re
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = toxicity.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        z, found = m.bias, set()
+        for w in re.findall(r"\w+", (texts[r["doc_id"]] or "").lower()):
+            found |= {w, *(f"{n}:{w[:n]}" for n in (4, 5, 6) if len(w) >= n)}
+        z += sum(m.weights[f] for f in found if f in m.weights)
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-3 and r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_candidates_by_name_and_form():
     texts = {
         "password=hunterhunterhunter": "hunterhunterhunter", "token: abcDEFghiJKLmnoPQRstu": "abcDEFghiJKLmnoPQRstu", "pw=Xy9!kQ2#": "Xy9!kQ2#", "password = S3cr3tPw1": "S3cr3tPw1", 'my_password: "hunter2"': "hunter2",
