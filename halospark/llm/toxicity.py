@@ -90,11 +90,11 @@ def fit(rows: list[tuple[list[int], list[int] | None, int, float]], names: list[
     weight = weight / weight.sum()
 
     def flat(lists):
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([k for x in lists for k in x], np.int64)
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
 
     at, ids = flat([r[0] for r in rows])
     pairs = [(a, b, w) for (a, b, _, _), w in zip(rows, weight) if b is not None]
-    diff_at, diff_ids = flat([a + b for a, b, _ in pairs])
+    diff_at, diff_ids = flat([np.concatenate([a, b]) for a, b, _ in pairs])
     sign = np.concatenate([[1.0] * len(a) + [-1.0] * len(b) for a, b, _ in pairs]) if pairs else np.zeros(0)
     pair_weight = np.array([w for *_, w in pairs])
     share = float(weight @ y)
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([code(w) for w in words], pa.list_(pa.int32())), pa.array([None if o is None else code(o) for o in other], pa.list_(pa.int32())), b.column(1)], names=["x", "swapped", "y"])
 
     coded = sample.mapInArrow(encode, "x array<int>, swapped array<int>, y int").toArrow()  # 2 * SAMPLE rows of at most FEATURES numbers
-    rows = [(x, s, y, n[y] / found[y]) for b in coded.to_batches(1000) for x, s, y in zip(*(c.to_pylist() for c in b.columns))]
+    rows = [(x.values.to_numpy(), None if s.values is None else s.values.to_numpy(), y, n[y] / found[y]) for b in coded.to_batches() for x, s, y in zip(b.column(0), b.column(1), b.column(2).to_pylist())]
     return fit(rows, names)
 
 
