@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from itertools import product
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .fof import dense_numbers
 from .graph import components
+from .grouped import runs_of
 from .halo import kinetic, pair_potential
 
 AROUND = [o for o in product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
@@ -41,37 +44,131 @@ def density_peaks(cells: DataFrame, least: float = 1.5, group: str = "hid") -> D
     return dense.join(highest, [group, "ix", "iy", "iz"], "left").filter(F.col("_d").isNull() | (F.col("density") > F.col("_d"))).drop("_d")
 
 
-def separate_contours(cells: DataFrame, least: float = 1.5, group: str = "hid") -> DataFrame:
-    """H3: (hid, ix, iy, iz, density, peak, saddle) of cells over `least`: the number of the peak whose slope a cell is on, and the
-    density of the highest saddle at which that peak meets a higher one (null for the highest).
-
-    Cells of a halo are taken in descending density and joined to their denser neighbours, which finds the exact saddles in one pass."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["density", "ix", "iy", "iz"], ascending=[False, True, True, True], ignore_index=True)
-        place = {t: k for k, t in enumerate(zip(pdf["ix"], pdf["iy"], pdf["iz"]))}
-        peak, up, saddle = [0] * len(pdf), {}, {}
-
-        def root(p):
-            while up[p] != p:
-                p = up[p]
-            return p
-
-        for (x, y, z), k in place.items():
-            near = [j for a, b, c in AROUND if (j := place.get((x + a, y + b, z + c))) is not None and j < k]
-            if not near:
-                peak[k] = k
-                up[k] = k
-                continue
-            peak[k] = peak[min(near)]
-            roots = sorted({root(peak[j]) for j in near})
-            for r in roots[1:]:  # lower peaks end here
-                up[r] = roots[0]
-                saddle[r] = float(pdf["density"].iloc[k])
-        number = {p: n for n, p in enumerate(sorted(up))}
-        return pdf.assign(peak=[number[p] for p in peak], saddle=[saddle.get(p) for p in peak])[[group, "ix", "iy", "iz", "density", "peak", "saddle"]]
-
-    return cells.filter(F.col("density") > least).select(group, "ix", "iy", "iz", "density").groupBy(group).applyInPandas(run, f"{group} long, ix long, iy long, iz long, density double, peak long, saddle double")
+#: Cells of a halo, and edges between its peaks, that one task handles at most; cells of several halos that it has on average.
+WHOLE, TOGETHER, SHARE = 100_000, 1_000_000, 5000
+_CONTOURS = "ix long, iy long, iz long, density double, peak long, saddle double"
+
+
+def separate_contours(cells: DataFrame, least: float = 1.5, group: str = "hid", whole: int = WHOLE, together: int = TOGETHER) -> DataFrame:
+    """H3: (hid, ix, iy, iz, density, peak, saddle) of cells over `least`: the number of the peak whose slope a cell is on, by descending
+    density, and the density of the highest saddle at which that peak meets a higher one (null for the highest).
+
+    Cells are in one order, of descending density and then of place. Halos of up to `whole` cells are handled one after the other by
+    the tasks that have them. The cells of larger ones stay in many tasks: each points to its densest neighbour, what
+    is connected by pointers is a peak's slope, and only the highest cell between two slopes goes on, to a graph of peaks (_saddles)."""
+    dense = cut(cells.filter(F.col("density") > least).select(group, "ix", "iy", "iz", "density"))
+    sizes = dense.groupBy(group).agg(F.count("*").alias("_n"))
+    most, total = (n or 0 for n in sizes.agg(F.max("_n"), F.sum("_n")).first())
+    small = dense if most <= whole else dense.join(sizes.filter(F.col("_n") <= whole), group, "left_semi")
+
+    def run(batches):
+        for rows, ends in runs_of(batches, group):
+            parts = [_contours(*(rows[c].to_numpy()[s:e] for c in ("ix", "iy", "iz", "density"))) for s, e in zip([0, *ends[:-1]], ends)]
+            peak, saddle = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            out = rows.append_column("peak", pa.array(peak)).append_column("saddle", pa.array(saddle, from_pandas=True))
+            yield from out.to_batches()
+
+    # a number of tasks by the cells, which adaptive execution doesn't put together as it does small shuffles
+    out = small.repartition(max(1, -(-total // SHARE)), group).sortWithinPartitions(group).mapInArrow(run, f"{group} long, {_CONTOURS}")
+    if most <= whole:
+        return out
+    return out.unionByName(_split_contours(dense.join(sizes.filter(F.col("_n") > whole), group, "left_semi"), group, together))
+
+
+def _contours(ix, iy, iz, density) -> tuple[np.ndarray, np.ndarray]:
+    """(peak, saddle) of a halo's cells: taken in order and joined to their denser neighbours, which finds the exact saddles in one pass."""
+    order = np.lexsort((iz, iy, ix, -density))
+    place = {c: k for k, c in enumerate(zip(ix[order].tolist(), iy[order].tolist(), iz[order].tolist()))}
+    at, up, saddle, peak = density[order].tolist(), {}, {}, [0] * len(order)
+
+    def root(p):
+        while up[p] != p:
+            up[p] = up[up[p]]
+            p = up[p]
+        return p
+
+    for (x, y, z), k in place.items():
+        near = [j for a, b, c in AROUND if (j := place.get((x + a, y + b, z + c))) is not None and j < k]
+        if not near:
+            peak[k] = up[k] = k
+            continue
+        peak[k] = peak[min(near)]
+        first, *others = sorted({root(peak[j]) for j in near})
+        for r in others:  # lower peaks end here
+            up[r], saddle[r] = first, at[k]
+    number = {p: n for n, p in enumerate(sorted(up))}
+    back = np.argsort(order, kind="stable")
+    return np.array([number[p] for p in peak], np.int64)[back], np.array([saddle.get(p, np.nan) for p in peak], float)[back]
+
+
+def _split_contours(dense: DataFrame, group: str, together: int) -> DataFrame:
+    """separate_contours() of halos whose cells are in many tasks."""
+    spot = F.struct((-F.col("density")).alias("d"), "ix", "iy", "iz")
+    rows = cut(dense.withColumn("cell", F.monotonically_increasing_id()).withColumn("o", spot))
+    moved = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abc", o))) for o in AROUND if o > (0, 0, 0)))
+    left = rows.withColumn("_m", F.explode(moved)).select(group, *((F.col(c) + F.col(f"_m.{k}")).alias(c) for c, k in zip(("ix", "iy", "iz"), "abc")), F.struct("o", "cell").alias("p"))
+    pairs = left.join(rows.select(group, "ix", "iy", "iz", F.struct("o", "cell").alias("q")), [group, "ix", "iy", "iz"])
+    pairs = cut(pairs.select(group, F.least("p", "q").alias("hi"), F.greatest("p", "q").alias("lo")))
+    steps = cut(pairs.groupBy(F.col("lo.cell").alias("cell")).agg(F.min("hi").alias("hi")).select("cell", F.col("hi.cell").alias("to")))
+    slopes = components(steps.select(F.col("cell").alias("a"), F.col("to").alias("b")))
+    slope = cut(rows.join(slopes, F.col("cell") == F.col("node"), "left").select(group, "cell", "o", F.coalesce("root", "cell").alias("slope")))
+    peaks = dense_numbers(slope.join(steps, "cell", "left_anti").select(group, "o", "slope"), [F.col(group), F.col("o")], "node")
+    first = peaks.groupBy(group).agg(F.min("node").alias("_first"))
+    peaks = cut(peaks.select("slope", "node", group).join(first, group).select("slope", "node", (F.col("node") - F.col("_first")).alias("peak")))
+    on = slope.join(peaks.select("slope", "node"), "slope").select("cell", "node")
+    apart = pairs.join(on.select(F.col("cell").alias("_a"), F.col("node").alias("a")), F.col("hi.cell") == F.col("_a")).join(on.select(F.col("cell").alias("_b"), F.col("node").alias("b")), F.col("lo.cell") == F.col("_b"))
+    edges = apart.filter("a <> b").groupBy(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("lo.o").alias("o"))
+    saddles = _saddles(cut(edges), group, together)
+    found = peaks.join(saddles, "node", "left").select("slope", "peak", "saddle")
+    return rows.drop("o").join(slope.select("cell", "slope"), "cell").join(found, "slope").select(group, "ix", "iy", "iz", "density", "peak", "saddle")
+
+
+def _saddles(edges: DataFrame, group: str, together: int) -> DataFrame:
+    """(node, saddle) of edges (hid, a, b, o) between peaks a < b, numbered from the highest of a halo on, that meet at a cell o: for each but
+    the highest the density at which it meets a higher one.
+
+    A peak whose first edge leads to a higher one ends there. Its other edges come later, so they stay as they are when they become
+    the higher one's, and all such peaks can end at once. That is done in rounds for halos with over `together` edges; those of the others,
+    at the end of all, are taken in order by the tasks that have them."""
+    done, kept = None, None
+    while True:
+        many = edges.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > together).select(group)
+        if many.isEmpty():
+            kept = edges if kept is None else kept.unionByName(edges)
+            break
+        rest = edges.join(many, group, "left_anti")
+        kept = cut(rest if kept is None else kept.unionByName(rest))
+        edges = edges.join(many, group, "left_semi")
+        both = edges.select(F.col("a").alias("v"), F.struct("o", F.col("b").alias("w")).alias("e")).unionByName(edges.select(F.col("b").alias("v"), F.struct("o", F.col("a").alias("w")).alias("e")))
+        ends = cut(both.groupBy("v").agg(F.min("e").alias("e")).filter("e.w < v"))
+        ended = ends.select(F.col("v").alias("node"), (-F.col("e.o.d")).alias("saddle"))
+        done = ended if done is None else done.unionByName(ended)
+        roots = cut(components(ends.select(F.col("v").alias("a"), F.col("e.w").alias("b"))))
+        for c in "ab":
+            edges = edges.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        edges = cut(edges.filter("a <> b").groupBy(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("o").alias("o")))
+
+    def run(batches):
+        for rows, _ in runs_of(batches, group):
+            up, nodes, saddle = {}, [], []
+
+            def root(p):
+                while up.setdefault(p, p) != p:
+                    up[p] = up[up[p]]
+                    p = up[p]
+                return p
+
+            for a, b, d in zip(*(rows[c].to_pylist() for c in ("a", "b", "d"))):
+                hi, lo = sorted((root(a), root(b)))
+                if hi != lo:
+                    up[lo] = hi
+                    nodes.append(lo)
+                    saddle.append(-d)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(saddle, pa.float64())], names=["node", "saddle"])
+
+    ordered = kept.repartition(group).sortWithinPartitions(group, "o").select(group, "a", "b", F.col("o.d").alias("d"))
+    last = ordered.mapInArrow(run, "node long, saddle double")
+    return last if done is None else last.unionByName(done)
 
 
 def unbind(members: DataFrame, hubble: float, strength: float, rounds: int = 4, group: str = "core") -> DataFrame:

@@ -254,7 +254,14 @@ def h2_density_peaks(spark, sf):
     return subhalo.density_peaks(subhalo.halo_density(clumps(spark, sf), 64)[0])
 
 
-@query()
+#: Cells numbered in a halo from the densest on; a cell points to its densest neighbour; floods from each peak over the cells up to each number.
+@query(f"""WITH RECURSIVE c AS ({CLUMPS}), cl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY hid ORDER BY density DESC, ix, iy, iz) AS k FROM (SELECT hid, ix, iy, iz, sum(w) AS density FROM (SELECT hid, x//64 + a.o AS ix, y//64 + b.o AS iy, z//64 + e.o AS iz, abs(1-a.o-(x%64)/64e0)*abs(1-b.o-(y%64)/64e0)*abs(1-e.o-(z%64)/64e0) AS w FROM c, (VALUES (0), (1)) a(o), (VALUES (0), (1)) b(o), (VALUES (0), (1)) e(o)) GROUP BY 1, 2, 3, 4 HAVING sum(w) > 1.5)),
+nb AS MATERIALIZED (SELECT a.hid, a.k, b.k AS j FROM cl a JOIN cl b ON a.hid = b.hid AND a.k <> b.k AND abs(a.ix-b.ix) <= 1 AND abs(a.iy-b.iy) <= 1 AND abs(a.iz-b.iz) <= 1),
+up AS MATERIALIZED (SELECT hid, k, min(j) AS j FROM nb WHERE j < k GROUP BY 1, 2), pk AS MATERIALIZED (SELECT hid, k, row_number() OVER (PARTITION BY hid ORDER BY k) - 1 AS peak FROM cl ANTI JOIN up USING (hid, k)),
+sl(hid, k, p) AS (SELECT hid, k, k FROM pk UNION ALL SELECT up.hid, up.k, sl.p FROM sl JOIN up ON up.hid = sl.hid AND up.j = sl.k),
+fl(hid, p, t, k) AS (SELECT pk.hid, pk.k, cl.k, pk.k FROM pk JOIN cl ON cl.hid = pk.hid AND cl.k > pk.k WHERE peak > 0 UNION SELECT fl.hid, fl.p, fl.t, nb.j FROM fl JOIN nb ON nb.hid = fl.hid AND nb.k = fl.k AND nb.j <= fl.t),
+sd AS (SELECT hid, p, min(t) AS t FROM fl JOIN pk USING (hid, k) WHERE k < p GROUP BY 1, 2)
+SELECT cl.hid, cl.ix, cl.iy, cl.iz, cl.density, CAST(pk.peak AS BIGINT) AS peak, s.density AS saddle FROM cl JOIN sl USING (hid, k) JOIN pk ON pk.hid = sl.hid AND pk.k = sl.p LEFT JOIN sd ON sd.hid = sl.hid AND sd.p = sl.p LEFT JOIN cl s ON s.hid = sd.hid AND s.k = sd.t""")
 def h3_separate_contours(spark, sf):
     return subhalo.separate_contours(subhalo.halo_density(clumps(spark, sf), 64)[0])
 

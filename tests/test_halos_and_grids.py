@@ -106,8 +106,10 @@ def test_contours_agree_with_floods(spark):
     """A cell is of the peak that its denser neighbours lead to; a peak's saddle is the highest level at which it is connected with a higher peak."""
     rng = np.random.default_rng(6)
     cells = {(x, y, z): float(d) for (x, y, z), d in zip({tuple(map(int, p)) for p in rng.integers(0, 6, (120, 3))}, rng.permutation(200) + 1.0)}
-    df = spark.createDataFrame([(7, *c, d) for c, d in cells.items()], "hid long, ix long, iy long, iz long, density double")
-    got = {(r["ix"], r["iy"], r["iz"]): r for r in subhalo.separate_contours(df).collect()}
+    df = spark.createDataFrame([(7, *c, d) for c, d in cells.items()] + [(8, *c, d) for c, d in cells.items()], "hid long, ix long, iy long, iz long, density double").repartition(5)
+    runs = [sorted(map(tuple, subhalo.separate_contours(df, whole=w, together=t).collect())) for w, t in ((1000, 1000), (10, 3))]  # whole, split over tasks with rounds for the graph of peaks
+    assert runs[0] == runs[1]
+    got = {(r["ix"], r["iy"], r["iz"]): r for r in subhalo.separate_contours(df, whole=1000).filter("hid = 7").collect()}
     dense = {c: d for c, d in cells.items() if d > 1.5}
     around = lambda c, level: [n for a in (-1, 0, 1) for b in (-1, 0, 1) for e in (-1, 0, 1) if (n := (c[0] + a, c[1] + b, c[2] + e)) != c and dense.get(n, -1) >= level]
     peaks = {c for c, d in dense.items() if all(dense[n] < d for n in around(c, 0))}
@@ -130,3 +132,14 @@ def test_contours_agree_with_floods(spark):
                 want = level
                 break
         assert got[p]["saddle"] == want
+
+
+def test_contours_of_one_large_halo_over_many_tasks(spark):
+    """Ties, plateaus and one halo of many cells: split over tasks it is as it is in one."""
+    rng = np.random.default_rng(7)
+    places = {tuple(map(int, p)) for p in rng.integers(0, 24, (9000, 3))}
+    df = spark.createDataFrame([(1, *c, float(rng.integers(1, 40))) for c in places] + [(2, 0, 0, 0, 5.0)], "hid long, ix long, iy long, iz long, density double").repartition(6)
+    one = sorted(map(tuple, subhalo.separate_contours(df).collect()), key=str)
+    assert sorted(map(tuple, subhalo.separate_contours(df, whole=100, together=20_000).collect()), key=str) == one
+    assert len({r[5] for r in one}) > 50 and (2, 0, 0, 0, 5.0, 0, None) in one
+    assert subhalo.separate_contours(df.limit(0)).count() == 0
