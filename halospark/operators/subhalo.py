@@ -6,7 +6,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
@@ -181,6 +181,110 @@ def unbind(members: DataFrame, hubble: float, strength: float, rounds: int = 4,
     return rows
 
 
+#: Shells of radius by an eighth of a doubling; members of a core that one task unbinds by itself.
+_TINY, WHOLE_CORE = 1e-12, 3000
+_AT = ("x", "y", "z", "vx", "vy", "vz")
+
+
+def _shell(r2: F.Column) -> F.Column:
+    return F.floor(4 * F.log2(F.greatest(r2, F.lit(_TINY)))).cast("int")
+
+
+def _volume(shell: F.Column) -> F.Column:
+    """The cubed radius of a shell's outer edge."""
+    return F.pow(F.lit(2.0), 3 * (shell + 1) / 8)
+
+
+def background_density(members: DataFrame, tree: DataFrame) -> DataFrame:
+    """(core, background) of the cores of tree (core, parent) with a parent: the members of the parent within the distance of the two centres,
+    by shells about the parent's centre, over that distance cubed. Null where there are none."""
+    centre = members.groupBy("core").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    inner = tree.filter("parent is not null").join(centre, "core")
+    outer = centre.select(F.col("core").alias("parent"), *(F.col(f"m{c}").alias(f"p{c}") for c in "xyz"))
+    apart = inner.join(outer, "parent").select("core", "parent", _shell(sum((F.col(f"m{c}") - F.col(f"p{c}")) * (F.col(f"m{c}") - F.col(f"p{c}")) for c in "xyz")).alias("to"))
+    around = members.join(inner.select("parent").distinct(), members["core"] == F.col("parent"), "left_semi").join(centre, "core")
+    shells = around.groupBy(F.col("core").alias("parent"), _shell(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz")).alias("shell")).agg(F.count("*").alias("n"))
+    inside = apart.join(shells, "parent").filter(F.col("shell") <= F.col("to"))  # some hundred shells a parent
+    return inside.groupBy("core", "to").agg(F.sum("n").alias("n")).select("core", (F.col("n") / _volume(F.col("to"))).alias("background"))
+
+
+def _bound_round(rows: DataFrame, hubble: float, strength: float, contrast: float, eps: float) -> DataFrame:
+    """The rows (core, background, indx, positions, velocities) that a round of unbinding leaves."""
+    mean = rows.groupBy("core").agg(*(F.avg(c).alias(f"m{c}") for c in _AT))
+    about = rows.join(mean, "core").withColumns({f"d{c}": F.col(c) - F.col(f"m{c}") for c in _AT}).drop(*(f"m{c}" for c in _AT))
+    about = about.withColumn("shell", _shell(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
+    shells = about.filter("background is not null").groupBy("core", "background", "shell").agg(F.count("*").alias("n"))
+    within = shells.withColumn("n", F.sum("n").over(Window.partitionBy("core").orderBy("shell"))).filter(F.col("n") / _volume(F.col("shell")) >= contrast * F.col("background"))
+    limits = within.groupBy("core").agg(F.max("shell").alias("limit"))
+    near = cut(about.join(limits, "core", "left").filter("background is null or shell <= limit"))
+    ke = 0.5 * sum((F.col(f"dv{c}") + hubble * F.col(f"d{c}")) * (F.col(f"dv{c}") + hubble * F.col(f"d{c}")) for c in "xyz")
+    energy = near.select("core", "indx", ke.alias("ke")).join(pair_potential(near.select("core", "indx", "x", "y", "z"), eps, "core").select("core", "indx", "pe"), ["core", "indx"])
+    return near.select("core", "background", "indx", *_AT).join(energy.filter(F.col("ke") + strength * F.col("pe") <= 0).select("core", "indx"), ["core", "indx"], "left_semi")
+
+
+def _bound_whole(background, at, hubble: float, strength: float, contrast: float, eps: float, rounds: int) -> np.ndarray:
+    """Which members of one core the rounds leave; at: their positions and velocities."""
+    keep = np.arange(len(at))
+    for _ in range(rounds):
+        here = at[keep]
+        d = here - here.mean(axis=0) if len(keep) else here
+        r2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        if background is not None and len(keep):
+            shell = np.floor(4 * np.log2(np.maximum(r2, _TINY))).astype(int)
+            kinds, n = np.unique(shell, return_counts=True)
+            good = np.cumsum(n) / 2.0 ** (3 * (kinds + 1) / 8) >= contrast * background
+            near = shell <= (kinds[good].max() if good.any() else kinds[0] - 1)
+            keep, here, d = keep[near], here[near], d[near]
+        gap = here[:, None, :3] - here[None, :, :3]
+        pull = 1 / np.sqrt(np.einsum("ijk,ijk->ij", gap, gap) + eps * eps)
+        np.fill_diagonal(pull, 0)
+        speed = d[:, 3:] + hubble * d[:, :3]
+        keep = keep[0.5 * (speed * speed).sum(axis=1) - strength * pull.sum(axis=1) <= 0]
+    return keep
+
+
+def unbind_cores(members: DataFrame, tree: DataFrame, hubble: float, strength: float, rounds: int = 4, contrast: float = 3.0, eps: float = 0.1, whole: int = WHOLE_CORE) -> DataFrame:
+    """H4: (indx, core) of members (core, indx, x, y, z, vx, vy, vz) after unbinding the cores of tree (core, parent), the inner ones first.
+
+    A core's turn comes when all cores that it encloses had theirs; what these lost has become its own by then, and what the
+    outermost lose has no core. In each of the rounds, the tidal radius is the largest shell's edge within which the core is `contrast` times
+    as dense as its surroundings (background_density), and members outside of it, or with a positive energy about the centre of mass, are dropped.
+    Cores of one turn are independent: those of up to `whole` members are unbound one after the other by the tasks that
+    have them, larger ones by aggregations and pair_potential(). Cores that tree doesn't name stay as they are."""
+    rows = cut(members.select("core", "indx", *(F.col(c).cast("double").alias(c) for c in _AT)))
+    left, done = cut(tree.select(F.col("core").cast("long").alias("core"), F.col("parent").cast("long").alias("parent"))), []
+    while not left.isEmpty():
+        ready = cut(left.join(left.select(F.col("parent").alias("core")).distinct(), "core", "left_anti"))
+        if ready.isEmpty():
+            raise ValueError("cores enclose each other")
+        here = cut(rows.join(ready, "core").join(background_density(rows, ready), "core", "left"))
+        sizes = here.groupBy("core").agg(F.count("*").alias("_n"))
+        most, total = (n or 0 for n in sizes.agg(F.max("_n"), F.sum("_n")).first())
+
+        def run(batches):
+            for part, ends in runs_of(batches, "core"):
+                at = np.stack([part[c].to_numpy() for c in _AT], axis=1)
+                kept = [s + _bound_whole(part["background"][int(s)].as_py(), at[s:e], hubble, strength, contrast, eps, rounds) for s, e in zip([0, *ends[:-1]], ends)]
+                yield from part.select(["core", "indx"]).take(pa.array(np.concatenate(kept))).to_batches()
+
+        small = here if most <= whole else here.join(sizes.filter(F.col("_n") <= whole), "core", "left_semi")
+        bound = small.drop("parent").repartition(max(1, -(-total // SHARE)), "core").sortWithinPartitions("core", "indx").mapInArrow(run, "core long, indx long")
+        if most > whole:
+            large = here.join(sizes.filter(F.col("_n") > whole), "core", "left_semi").drop("parent")
+            for _ in range(rounds):
+                large = cut(_bound_round(large, hubble, strength, contrast, eps))
+            bound = bound.unionByName(large.select("core", "indx"))
+        bound = cut(bound)
+        done.append(bound)
+        lost = here.join(bound, ["core", "indx"], "left_anti").select(F.col("parent").alias("core"), "indx", *_AT)
+        rows = cut(rows.join(ready, "core", "left_anti").unionByName(lost))
+        left = cut(left.join(ready.select("core"), "core", "left_anti"))
+    out = rows.select("core", "indx")
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
 def assign_shell(shell: DataFrame, cores: DataFrame, b: int, group: str = "hid") -> DataFrame:
     """H5: (indx, core) of shell members linked, over shell members at most b apart, to a member of a core of their halo; the smallest core wins.
 

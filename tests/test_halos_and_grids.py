@@ -143,3 +143,47 @@ def test_contours_of_one_large_halo_over_many_tasks(spark):
     assert sorted(map(tuple, subhalo.separate_contours(df, whole=100, together=20_000).collect()), key=str) == one
     assert len({r[5] for r in one}) > 50 and (2, 0, 0, 0, 5.0, 0, None) in one
     assert subhalo.separate_contours(df.limit(0)).count() == 0
+
+
+def test_unbinding_goes_from_the_inside_out(spark):
+    """Whole cores in tasks or by aggregations; the inner core's loss is the outer's gain, so the order shows."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for core, centre, spread, n in ((10, 0.0, 30.0, 120), (11, 60.0, 4.0, 60), (12, 66.0, 1.5, 25)):
+        at = rng.normal(0, spread, (n, 3)) + [centre, 0, 0]
+        rows += [(core, core * 1000 + k, *map(float, at[k]), *map(float, rng.normal(0, 2 + 30 * (k % 9 == 0), 3))) for k in range(n)]
+    rows += [(13, 13_000 + k, float(k % 3), 0.0, 0.0, 0.0, 0.0, 0.0) for k in range(3)] + [(None, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "core long, indx long, x double, y double, z double, vx double, vy double, vz double")
+    tree = spark.createDataFrame([(10, None), (11, 10), (12, 11)], "core long, parent long")
+
+    def loops(order):
+        """The same, core after core in the given order."""
+        core = {r[1]: r[0] for r in rows}
+        at = {r[1]: np.array(r[2:]) for r in rows}
+        shell = lambda r2: int(np.floor(4 * np.log2(max(r2, 1e-12))))
+        mine = lambda c: sorted(i for i, k in core.items() if k == c)
+        mean = lambda ids: np.mean([at[i] for i in ids], axis=0)
+        for c, parent in order:
+            now, bg = mine(c), None
+            if parent and mine(parent):
+                centre = mean(mine(parent))
+                to = shell(((mean(now) - centre)[:3] ** 2).sum())
+                n = sum(shell(((at[i] - centre)[:3] ** 2).sum()) <= to for i in mine(parent))
+                bg = n / 2 ** (3 * (to + 1) / 8) if n else None
+            ids = now
+            for _ in range(4):
+                m = mean(ids)
+                s = {i: shell(((at[i] - m)[:3] ** 2).sum()) for i in ids}
+                if bg is not None:
+                    lim = max((j for j in s.values() if sum(k <= j for k in s.values()) / 2 ** (3 * (j + 1) / 8) >= 3 * bg), default=-999)
+                    ids = [i for i in ids if s[i] <= lim]
+                e = {i: 0.5 * (((at[i] - m)[3:] + 0.05 * (at[i] - m)[:3]) ** 2).sum() - 6.0 * sum(1 / np.sqrt(((at[i] - at[j])[:3] ** 2).sum() + 0.01) for j in ids if j != i) for i in ids}
+                ids = [i for i in ids if e[i] <= 0]
+            for i in set(now) - set(ids):
+                core[i] = parent
+        return core
+
+    want = loops([(12, 11), (11, 10), (10, None)])
+    got = [{r["indx"]: r["core"] for r in subhalo.unbind_cores(df, tree, 0.05, 6.0, whole=w).collect()} for w in (3000, 30)]
+    assert got[0] == got[1] == want and len(got[0]) == len(rows)
+    assert {want[r[1]] for r in rows if r[0] == 12} >= {12, 11} and want != loops([(10, None), (11, 10), (12, 11)])
