@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import w4_kernel
 from ..scratch import cut
+from .octree import tree_potential
 from .pairs import knn_in_group
 
 
@@ -84,11 +85,18 @@ def shape(members: DataFrame, group: str = "hid") -> DataFrame:
     return moments.withColumn("e", solve("mxx", "myy", "mzz", "mxy", "myz", "mxz")).select(group, "np", *(F.when(F.col("e.d1") > 0, F.col(f"e.{c}")).alias(c) for c in ("q", "s")), "e.d1", "e.d2", "e.d3", "e.axes")
 
 
-def pair_potential(members: DataFrame, eps: float = 0.1, group: str = "hid", tile: int = 2000) -> DataFrame:
-    """Members with pe, the sum over the group's other members of -1/sqrt(r^2 + eps^2), exact.
+def pair_potential(members: DataFrame, eps: float = 0.1, group: str = "hid", tile: int = 2000, exact: int | None = None, theta: float = 0.5) -> DataFrame:
+    """Members with pe, the sum over the group's other members of -1/sqrt(r^2 + eps^2), exact but for groups of over `exact` members, if
+    that is given: for these by octree.tree_potential(), with its error bound of theta^2 / (1 - theta).
 
     Groups of up to `tile` members are summed one after the other by the task that has them. Larger ones are cut in tiles of
     about that size, and each pair of tiles is a matrix of its own: a large halo becomes many tasks, none over tile^2 pairs."""
+    if exact is not None:
+        over = cut(members.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > exact).select(group))
+        large = members.join(over, group, "left_semi")
+        far = tree_potential(large, eps, theta, group=group)
+        both = large.join(far, (large[group] == far["g"]) & (large["indx"] == far["id"])).drop("g", "id")
+        return pair_potential(members.join(over, group, "left_anti"), eps, group, tile).unionByName(both)
     sizes = members.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
     rows = cut(members.join(sizes, group).select(F.col(group).alias("g"), F.col("indx").alias("id"), *(F.col(c).cast("double") for c in "xyz"), "_tiles"))
     alone = rows.filter("_tiles = 1").drop("_tiles").repartition("g").sortWithinPartitions("g")
@@ -179,11 +187,11 @@ def halo_properties(members: DataFrame, hubble: float, eps: float = 0.1, g: floa
     return out
 
 
-def sph_density(members: DataFrame, k: int, box: int, edge: int, group: str = "hid") -> DataFrame:
+def sph_density(members: DataFrame, k: int, box: int, group: str = "hid") -> DataFrame:
     """(group, indx, density): the kernel summed over the k nearest others and the row itself, of radius the distance of the k-th.
 
     Where the k-th is at the same place the density has no bound and is null, and so it is for the only member of a group."""
-    near = knn_in_group(members, k, box, edge, group)
+    near = cut(knn_in_group(members, k, box, group))
     far = near.groupBy(group, "id").agg(F.nullif(F.sqrt(F.max("r2").cast("double")) / 2, F.lit(0.0)).alias("h"))
     both = near.join(far, [group, "id"])
     others = both.groupBy(group, "id").agg(F.sum(w4_kernel(F.sqrt(F.col("r2").cast("double")), F.col("h"))).alias("d"), F.first("h").alias("h"))

@@ -190,14 +190,9 @@ def _shell(r2: F.Column) -> F.Column:
     return F.floor(4 * F.log2(F.greatest(r2, F.lit(_TINY)))).cast("int")
 
 
-def _volume(shell: F.Column) -> F.Column:
-    """The cubed radius of a shell's outer edge."""
-    return F.pow(F.lit(2.0), 3 * (shell + 1) / 8)
-
-
 def background_density(members: DataFrame, tree: DataFrame) -> DataFrame:
-    """(core, background) of the cores of tree (core, parent) with a parent: the members of the parent within the distance of the two centres,
-    by shells about the parent's centre, over that distance cubed. Null where there are none."""
+    """(core, around, to) of the cores of tree (core, parent) with a parent: how many members of the parent are as near to its centre as the core's
+    centre, by shells, and that shell. No row where there are none. Its edge cubed makes a density of it."""
     centre = members.groupBy("core").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     inner = tree.filter("parent is not null").join(centre, "core")
     outer = centre.select(F.col("core").alias("parent"), *(F.col(f"m{c}").alias(f"p{c}") for c in "xyz"))
@@ -205,34 +200,34 @@ def background_density(members: DataFrame, tree: DataFrame) -> DataFrame:
     around = members.join(inner.select("parent").distinct(), members["core"] == F.col("parent"), "left_semi").join(centre, "core")
     shells = around.groupBy(F.col("core").alias("parent"), _shell(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz")).alias("shell")).agg(F.count("*").alias("n"))
     inside = apart.join(shells, "parent").filter(F.col("shell") <= F.col("to"))  # some hundred shells a parent
-    return inside.groupBy("core", "to").agg(F.sum("n").alias("n")).select("core", (F.col("n") / _volume(F.col("to"))).alias("background"))
+    return inside.groupBy("core", "to").agg(F.sum("n").alias("around")).select("core", "around", "to")
 
 
 def _bound_round(rows: DataFrame, hubble: float, strength: float, contrast: float, eps: float) -> DataFrame:
-    """The rows (core, background, indx, positions, velocities) that a round of unbinding leaves."""
+    """The rows (core, around, to, indx, positions, velocities) that a round of unbinding leaves."""
     mean = rows.groupBy("core").agg(*(F.avg(c).alias(f"m{c}") for c in _AT))
     about = rows.join(mean, "core").withColumns({f"d{c}": F.col(c) - F.col(f"m{c}") for c in _AT}).drop(*(f"m{c}" for c in _AT))
     about = about.withColumn("shell", _shell(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
-    shells = about.filter("background is not null").groupBy("core", "background", "shell").agg(F.count("*").alias("n"))
-    within = shells.withColumn("n", F.sum("n").over(Window.partitionBy("core").orderBy("shell"))).filter(F.col("n") / _volume(F.col("shell")) >= contrast * F.col("background"))
+    shells = about.filter("around is not null").groupBy("core", "around", "to", "shell").agg(F.count("*").alias("n"))
+    within = shells.withColumn("n", F.sum("n").over(Window.partitionBy("core").orderBy("shell"))).filter(F.col("n") >= contrast * F.col("around") * F.pow(F.lit(2.0), 3 * (F.col("shell") - F.col("to")) / 8))
     limits = within.groupBy("core").agg(F.max("shell").alias("limit"))
-    near = cut(about.join(limits, "core", "left").filter("background is null or shell <= limit"))
+    near = cut(about.join(limits, "core", "left").filter("around is null or shell <= limit"))
     ke = 0.5 * sum((F.col(f"dv{c}") + hubble * F.col(f"d{c}")) * (F.col(f"dv{c}") + hubble * F.col(f"d{c}")) for c in "xyz")
     energy = near.select("core", "indx", ke.alias("ke")).join(pair_potential(near.select("core", "indx", "x", "y", "z"), eps, "core").select("core", "indx", "pe"), ["core", "indx"])
-    return near.select("core", "background", "indx", *_AT).join(energy.filter(F.col("ke") + strength * F.col("pe") <= 0).select("core", "indx"), ["core", "indx"], "left_semi")
+    return near.select("core", "around", "to", "indx", *_AT).join(energy.filter(F.col("ke") + strength * F.col("pe") <= 0).select("core", "indx"), ["core", "indx"], "left_semi")
 
 
-def _bound_whole(background, at, hubble: float, strength: float, contrast: float, eps: float, rounds: int) -> np.ndarray:
+def _bound_whole(around, to, at, hubble: float, strength: float, contrast: float, eps: float, rounds: int) -> np.ndarray:
     """Which members of one core the rounds leave; at: their positions and velocities."""
     keep = np.arange(len(at))
     for _ in range(rounds):
         here = at[keep]
         d = here - here.mean(axis=0) if len(keep) else here
         r2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-        if background is not None and len(keep):
+        if around is not None and len(keep):
             shell = np.floor(4 * np.log2(np.maximum(r2, _TINY))).astype(int)
             kinds, n = np.unique(shell, return_counts=True)
-            good = np.cumsum(n) / 2.0 ** (3 * (kinds + 1) / 8) >= contrast * background
+            good = np.cumsum(n) >= contrast * around * 2.0 ** (3 * (kinds - to) / 8)
             near = shell <= (kinds[good].max() if good.any() else kinds[0] - 1)
             keep, here, d = keep[near], here[near], d[near]
         gap = here[:, None, :3] - here[None, :, :3]
@@ -264,7 +259,7 @@ def unbind_cores(members: DataFrame, tree: DataFrame, hubble: float, strength: f
         def run(batches):
             for part, ends in runs_of(batches, "core"):
                 at = np.stack([part[c].to_numpy() for c in _AT], axis=1)
-                kept = [s + _bound_whole(part["background"][int(s)].as_py(), at[s:e], hubble, strength, contrast, eps, rounds) for s, e in zip([0, *ends[:-1]], ends)]
+                kept = [s + _bound_whole(part["around"][int(s)].as_py(), part["to"][int(s)].as_py(), at[s:e], hubble, strength, contrast, eps, rounds) for s, e in zip([0, *ends[:-1]], ends)]
                 yield from part.select(["core", "indx"]).take(pa.array(np.concatenate(kept))).to_batches()
 
         small = here if most <= whole else here.join(sizes.filter(F.col("_n") <= whole), "core", "left_semi")

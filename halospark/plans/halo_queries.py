@@ -25,7 +25,7 @@ KNN = f"c AS MATERIALIZED ({CLUMPS}), kn AS MATERIALIZED (SELECT hid, id, other,
 
 @query(f"WITH {KNN} SELECT hid, id, other, r2, CAST(rank AS INTEGER) AS rank FROM kn")
 def j2_knn(spark, sf):
-    return knn_in_group(clumps(spark, sf), 5, BOX, 64)
+    return knn_in_group(clumps(spark, sf), 5, BOX)
 
 
 @query(f"WITH RECURSIVE {LABELS} SELECT indx, label FROM lab")
@@ -204,7 +204,7 @@ DENSITY = f"{KNN}, hh AS (SELECT hid, id, sqrt(max(r2))/2 AS h FROM kn GROUP BY
 
 
 def _density(spark, sf):
-    return halo.sph_density(clumps(spark, sf), 5, BOX, 64).withColumn("density", F.round(F.col("density") * 1000000, 3))
+    return halo.sph_density(clumps(spark, sf), 5, BOX).withColumn("density", F.round(F.col("density") * 1000000, 3))
 
 
 @query(f"WITH {DENSITY} SELECT hid, indx, density FROM dn")
@@ -306,20 +306,20 @@ def _bottom_up_sql(rounds: int = 4) -> str:
         f"{CORES}, ce AS MATERIALIZED (SELECT core, {mean} FROM c WHERE core IS NOT NULL GROUP BY 1)",
         f"pc AS MATERIALIZED (SELECT core, {_SHELL.format(square('p.', 'e.m'))} AS j, count(*) AS n FROM c p JOIN ce e USING (core) WHERE core % 2 = 0 GROUP BY 1, 2)",
         f"dd AS (SELECT a.core, {_SHELL.format(square('a.m', 'b.m'))} AS j FROM ce a JOIN ce b ON b.core = a.core - 1 WHERE a.core % 2 = 1)",
-        "bg AS MATERIALIZED (SELECT dd.core, sum(n)/pow(2e0, 3*(dd.j+1)/8e0) AS bg FROM dd JOIN pc ON pc.core = dd.core - 1 AND pc.j <= dd.j GROUP BY dd.core, dd.j)",
-        f"o0 AS MATERIALIZED (SELECT c.core, bg, indx, {', '.join(_COLS)} FROM c LEFT JOIN bg USING (core) WHERE c.core % 2 = 1)",
+        "bg AS MATERIALIZED (SELECT dd.core, sum(n) AS bg, dd.j AS bj FROM dd JOIN pc ON pc.core = dd.core - 1 AND pc.j <= dd.j GROUP BY dd.core, dd.j)",
+        f"o0 AS MATERIALIZED (SELECT c.core, bg, bj, indx, {', '.join(_COLS)} FROM c LEFT JOIN bg USING (core) WHERE c.core % 2 = 1)",
     ]
     for part in "oe":
         if part == "e":
-            out.append(f"e0 AS MATERIALIZED (SELECT core, CAST(NULL AS DOUBLE) AS bg, indx, {', '.join(_COLS)} FROM c WHERE core % 2 = 0 UNION ALL SELECT core - 1, NULL, indx, {', '.join(_COLS)} FROM o0 ANTI JOIN o{rounds} USING (core, indx))")
+            out.append(f"e0 AS MATERIALIZED (SELECT core, CAST(NULL AS BIGINT) AS bg, CAST(NULL AS INTEGER) AS bj, indx, {', '.join(_COLS)} FROM c WHERE core % 2 = 0 UNION ALL SELECT core - 1, NULL, NULL, indx, {', '.join(_COLS)} FROM o0 ANTI JOIN o{rounds} USING (core, indx))")
         for k in range(rounds):
             u, n = f"{part}{k}", f"{part}{k}"
             ke = "+".join(f"(u.v{v}-g.mv{v} + 0.7e0*(u.{v}-g.m{v}))*(u.v{v}-g.mv{v} + 0.7e0*(u.{v}-g.m{v}))" for v in "xyz")
             out.append(f"""g{n} AS (SELECT core, {mean} FROM {u} GROUP BY 1), s{n} AS MATERIALIZED (SELECT u.*, {_SHELL.format(square('u.', 'g.m'))} AS j, 0.5e0*({ke}) AS ke FROM {u} u JOIN g{n} g USING (core)),
-l{n} AS (SELECT core, max(j) AS lim FROM (SELECT core, j, bg, sum(count(*)) OVER (PARTITION BY core ORDER BY j) AS n FROM s{n} WHERE bg IS NOT NULL GROUP BY core, j, bg) WHERE n/pow(2e0, 3*(j+1)/8e0) >= 3*bg GROUP BY 1),
+l{n} AS (SELECT core, max(j) AS lim FROM (SELECT core, j, bg, bj, sum(count(*)) OVER (PARTITION BY core ORDER BY j) AS n FROM s{n} WHERE bg IS NOT NULL GROUP BY core, j, bg, bj) WHERE n >= 3*bg*pow(2e0, 3*(j-bj)/8e0) GROUP BY 1),
 w{n} AS MATERIALIZED (SELECT s.* FROM s{n} s LEFT JOIN l{n} l USING (core) WHERE bg IS NULL OR j <= lim),
 p{n} AS (SELECT a.core, a.indx, -sum(1/sqrt({square('a.', 'b.')}+0.01e0)) AS pe FROM w{n} a JOIN w{n} b ON a.core = b.core AND a.indx <> b.indx GROUP BY 1, 2),
-{part}{k + 1} AS MATERIALIZED (SELECT w.core, bg, indx, {', '.join(_COLS)} FROM w{n} w LEFT JOIN p{n} USING (core, indx) WHERE ke + {_STRENGTH!r}*coalesce(pe, 0) <= 0)""")
+{part}{k + 1} AS MATERIALIZED (SELECT w.core, bg, bj, indx, {', '.join(_COLS)} FROM w{n} w LEFT JOIN p{n} USING (core, indx) WHERE ke + {_STRENGTH!r}*coalesce(pe, 0) <= 0)""")
     return ", ".join(out) + f" SELECT c.indx, coalesce(o.core, e.core) AS core FROM c LEFT JOIN o{rounds} o USING (indx) LEFT JOIN e{rounds} e USING (indx)"
 
 

@@ -86,16 +86,30 @@ def test_dense_numbers_and_knn(spark):
         assert got == list(range(1000))
     rows = points(4, 60)
     members = frame(spark, rows).withColumn("hid", F.col("indx") % 3)
-    near = knn_in_group(members, 4, BOX, 32)
-    got = {(r["id"], r["rank"]): r["other"] for r in near.collect()}
-    for i, *p in rows:
-        dist = []
-        for j, *q in rows:
-            if j != i and j % 3 == i % 3:
-                d = np.abs(np.subtract(p, q))
-                d = np.minimum(d, BOX - d)
-                dist.append((int((d * d).sum()), j))
-        assert [got[i, k + 1] for k in range(4)] == [j for _, j in sorted(dist)[:4]]
+    for leaf in (256, 3):
+        got = {(r["id"], r["rank"]): r["other"] for r in knn_in_group(members, 4, BOX, leaf=leaf).collect()}
+        assert len(got) == 240
+        for i, *p in rows:
+            assert [got[i, k + 1] for k in range(4)] == [j for _, j in nearest_of(i, p, rows[i % 3 :: 3])[:4]]
+
+
+def nearest_of(i, p, rows):
+    d = np.abs(np.array([r[1:] for r in rows]) - p)
+    d = np.minimum(d, BOX - d)
+    return sorted((int(r2), r[0]) for r, r2 in zip(rows, (d * d).sum(axis=1)) if r[0] != i)
+
+
+def test_neighbours_in_a_large_group_with_a_far_point(spark):
+    """Dense clumps, points at one place, a lone point far off and a group of two: each leaf meets a bounded number of others."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), *map(int, p)) for i, p in enumerate(np.concatenate([rng.normal(200, 12, (3000, 3)), rng.normal(240, 3, (2000, 3)), [[30, 30, 30]] * 150, [[700, 900, 650]]]).round().astype(int) % BOX)]
+    df = spark.createDataFrame([(1, *r) for r in rows] + [(2, 9001, 5, 5, 5), (2, 9002, 5, 5, 9)], "hid long, indx long, x long, y long, z long").repartition(4)
+    got = {}
+    for r in knn_in_group(df, 5, BOX, leaf=40).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["r2"], r["other"])
+    assert len(got) == len(rows) + 2 and got[9001] == {1: (16, 9002)}
+    for i in [*range(0, 5000, 97), *range(5000, 5151, 30), 5150]:
+        assert [got[i][k + 1] for k in range(5)] == nearest_of(i, rows[i][1:], rows)[:5]
 
 
 def test_labels_of_a_dense_cell_are_found_in_bounded_parts(monkeypatch):

@@ -24,6 +24,21 @@ def test_potential_tiles_agree_with_numpy(spark):
             assert abs(got[i] - want) < 1e-9
 
 
+def test_far_cells_keep_the_potential_within_its_bound(spark):
+    rng = np.random.default_rng(12)
+    pos = np.concatenate([rng.normal(0, 10, (1500, 3)), rng.normal(40, 1, (700, 3)), np.full((60, 3), -25.0), [[300.0, 0, 0]]])
+    df = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(pos)] + [(2, 9000 + i, float(i), 0.0, 0.0) for i in range(5)], "hid long, indx long, x double, y double, z double")
+    d = pos[:, None] - pos[None]
+    want = 1 / np.sqrt((d * d).sum(axis=2) + 0.01)
+    np.fill_diagonal(want, 0)
+    want = -want.sum(axis=1)
+    for theta in (0.5, 0.2):
+        got = {r["indx"]: r["pe"] for r in halo.pair_potential(df, 0.1, exact=100, theta=theta).collect()}
+        off = np.abs(np.array([got[i] for i in range(len(pos))]) - want) / -want
+        assert len(got) == len(pos) + 5 and off.max() <= theta**2 / (1 - theta) and off.mean() < 0.004 and off.max() > 0
+    assert abs(got[9000] + sum(1 / np.sqrt(k * k + 0.01) for k in range(1, 5))) < 1e-9
+
+
 def test_mass_function_of_one_mass(spark):
     for masses in ([7.0], [100.0] * 5):
         rows = mass_function(spark.createDataFrame([(m,) for m in masses], "mass double"), "mass", 4).collect()
@@ -54,7 +69,7 @@ def test_deposits_agree_with_loops(spark):
 
 def test_lone_and_coincident_members_have_no_density(spark):
     rows = [(1, 1, 5, 5, 5), (2, 2, 7, 7, 7), (2, 3, 7, 7, 7), (2, 4, 9, 7, 7)]
-    got = {r["indx"]: r["density"] for r in halo.sph_density(spark.createDataFrame(rows, "hid long, indx long, x long, y long, z long"), 1, 4096, 64).collect()}
+    got = {r["indx"]: r["density"] for r in halo.sph_density(spark.createDataFrame(rows, "hid long, indx long, x long, y long, z long"), 1, 4096).collect()}
     assert got[1] is None and got[2] is None and got[3] is None and got[4] > 0
 
 
@@ -169,13 +184,13 @@ def test_unbinding_goes_from_the_inside_out(spark):
                 centre = mean(mine(parent))
                 to = shell(((mean(now) - centre)[:3] ** 2).sum())
                 n = sum(shell(((at[i] - centre)[:3] ** 2).sum()) <= to for i in mine(parent))
-                bg = n / 2 ** (3 * (to + 1) / 8) if n else None
+                bg = n or None
             ids = now
             for _ in range(4):
                 m = mean(ids)
                 s = {i: shell(((at[i] - m)[:3] ** 2).sum()) for i in ids}
                 if bg is not None:
-                    lim = max((j for j in s.values() if sum(k <= j for k in s.values()) / 2 ** (3 * (j + 1) / 8) >= 3 * bg), default=-999)
+                    lim = max((j for j in s.values() if sum(k <= j for k in s.values()) >= 3 * bg * 2 ** (3 * (j - to) / 8)), default=-999)
                     ids = [i for i in ids if s[i] <= lim]
                 e = {i: 0.5 * (((at[i] - m)[3:] + 0.05 * (at[i] - m)[:3]) ** 2).sum() - 6.0 * sum(1 / np.sqrt(((at[i] - at[j])[:3] ** 2).sum() + 0.01) for j in ids if j != i) for i in ids}
                 ids = [i for i in ids if e[i] <= 0]
