@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from .graph import components
 
 SAMPLES = 800
+#: Halvings of the box for the smallest radii.
+_LEVELS = 20
 
 
 def sphere_points(n: int = SAMPLES) -> np.ndarray:
@@ -19,44 +23,55 @@ def sphere_points(n: int = SAMPLES) -> np.ndarray:
     return np.stack([sin * np.cos(turn), sin * np.sin(turn), cos], axis=1)
 
 
-def overlap_pairs(subhalos: DataFrame, box: float, edge: int) -> DataFrame:
-    """(i, j) of subhalos (id, host, x, y, z, r, q, s; axes along x, y, z with lengths r, q r, s r) of one host that overlap:
-    a sampled surface point of one is inside the other, or a centre is. Candidates are nearer than the sum of their radii, found by
-    host and cells of the given edge, or of the next that divides the box and is twice the largest radius."""
-    from itertools import product
-
-    widest = subhalos.agg(F.max("r")).first()[0] or 0
-    fits = [m for m in range(3, max(4, int(box // max(edge, 2 * widest)) + 1)) if box / m >= 2 * widest]
-    if not fits:
-        raise ValueError("a subhalo is over a sixth of the box")
-    n = max(fits)
-    edge = box / n
-    cols = ["id", "host", "x", "y", "z", "r", "q", "s"]
-    a = subhalos.select(*cols)
-    offsets = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abc", o))) for o in product((-1, 0, 1), repeat=3)))
-    key = lambda o: (F.pmod(F.floor(F.col("x") / edge) + (o["a"] if o is not None else 0), F.lit(n)) * n + F.pmod(F.floor(F.col("y") / edge) + (o["b"] if o is not None else 0), F.lit(n))) * n + F.pmod(F.floor(F.col("z") / edge) + (o["c"] if o is not None else 0), F.lit(n))
-    left = a.withColumn("_o", F.explode(offsets)).withColumn("_k", key(F.col("_o"))).drop("_o").alias("a")
-    right = a.withColumn("_k", key(None)).alias("b")
-    signed = lambda c: (F.col(f"b.{c}") - F.col(f"a.{c}")) - box * F.round((F.col(f"b.{c}") - F.col(f"a.{c}")) / box)
-    pairs = left.join(right, (F.col("a.host") == F.col("b.host")) & (F.col("a._k") == F.col("b._k")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), *(signed(c).cast("double").alias(f"d{c}") for c in "xyz"), *(F.col(f"{t}.{c}").cast("double").alias(f"{t}{c}") for t in "ab" for c in "rqs"))
-    near = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz") <= (F.col("ar") + F.col("br")) * (F.col("ar") + F.col("br"))
+def _level(r: F.Column, box: float) -> F.Column:
+    """How often the box is halved for cells at least twice a radius wide."""
+    return F.greatest(F.lit(0), F.least(F.lit(_LEVELS), F.floor(F.log2(box / (2 * F.greatest(r, F.lit(box * 1e-9))))))).cast("int")
+
+
+def overlap_pairs(subhalos: DataFrame, box: float) -> DataFrame:
+    """(i, j), i < j, of subhalos (id, host, x, y, z, r, q, s) of one host in the periodic box whose ellipsoids overlap.
+
+    An ellipsoid has semi-axes r, q r and s r along the unit vectors a, b and c (arrays; along x, y and z where there are no such
+    columns). Two overlap when a sampled surface point of one is inside of the other, or the centre of j inside of i. Candidates have centres nearer than
+    the sum of their radii. Each subhalo is in a cell of the level of its own radius, and those of its radius and smaller ones look
+    there, so a large subhalo makes no cells of small ones larger."""
+    rows = subhalos.select("id", "host", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "r", "q", "s")), *(
+        F.col(v) if v in subhalos.columns else F.array(*(F.lit(float(k == n)) for k in range(3))).alias(v) for n, v in enumerate("abc")
+    )).withColumn("level", _level(F.col("r").cast("double"), box))
+    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # at most _LEVELS + 1
+    # a cell's number along an axis, at a level of 2^level cells
+    cell = lambda c, level, off: F.pmod(F.least(F.floor(F.col(c) * F.pow(F.lit(2.0), level) / box), F.pow(F.lit(2.0), level) - 1).cast("long") + off, F.pow(F.lit(2.0), level).cast("long"))
+    key = lambda level, o: (cell("x", level, o[0]) * (1 << _LEVELS) + cell("y", level, o[1])) * (1 << _LEVELS) + cell("z", level, o[2])
+    looks = rows.withColumn("_at", F.explode(F.array(*(F.lit(n) for n in levels)) if levels else F.array().cast("array<int>"))).filter(F.col("_at") <= F.col("level"))
+    looks = looks.withColumn("_k", F.explode(F.array_distinct(F.array(*(key(F.col("_at"), o) for o in product((-1, 0, 1), repeat=3))))))
+    stand = rows.withColumn("_at", F.col("level")).withColumn("_k", key(F.col("level"), (0, 0, 0)))
+    once = (F.col("a.level") > F.col("b.level")) | (F.col("a.id") < F.col("b.id"))  # of one level each pair meets twice
+    met = looks.alias("a").join(stand.alias("b"), (F.col("a.host") == F.col("b.host")) & (F.col("a._at") == F.col("b._at")) & (F.col("a._k") == F.col("b._k")) & (F.col("a.id") != F.col("b.id")) & once)
+    side = lambda t: F.struct(*(F.col(f"{t}.{c}").alias(c) for c in ("id", "x", "y", "z", "r", "q", "s", "a", "b", "c")))
+    ordered = met.select(F.when(F.col("a.id") < F.col("b.id"), side("a")).otherwise(side("b")).alias("i"), F.when(F.col("a.id") < F.col("b.id"), side("b")).otherwise(side("a")).alias("j"))
+    signed = {c: F.col(f"j.{c}") - F.col(f"i.{c}") - box * F.round((F.col(f"j.{c}") - F.col(f"i.{c}")) / box) for c in "xyz"}
+    near = sum(d * d for d in signed.values()) <= (F.col("i.r") + F.col("j.r")) * (F.col("i.r") + F.col("j.r"))
+    columns = [F.col(f"{t}.r") * (F.col(f"{t}.{c}") if c != "r" else 1.0) for t in "ij" for c in "rqs"] + [F.col(f"{t}.{v}")[k] for t in "ij" for v in "abc" for k in range(3)]
+    pairs = ordered.filter(near).select(F.col("i.id").alias("i"), F.col("j.id").alias("j"), *(d.alias(f"d{c}") for c, d in signed.items()), *(c.alias(f"v{k}") for k, c in enumerate(columns)))
 
     def test(batches):
         unit = sphere_points()
         for pdf in batches:
-            d = pdf[["dx", "dy", "dz"]].to_numpy()
-            axes = {t: pdf[[f"{t}r"]].to_numpy() * np.stack([np.ones(len(pdf)), pdf[f"{t}q"], pdf[f"{t}s"]], axis=1) for t in "ab"}
+            v = pdf[[f"v{k}" for k in range(24)]].to_numpy()
+            d, (size_i, size_j) = pdf[["dx", "dy", "dz"]].to_numpy(), (v[:, :3], v[:, 3:6])
+            axes_i, axes_j = v[:, 6:15].reshape(-1, 3, 3), v[:, 15:24].reshape(-1, 3, 3)  # rows: a, b, c
+            into_i, into_j = axes_i / size_i[:, :, None], axes_j / size_j[:, :, None]  # to the frame where the ellipsoid is a unit sphere
+            from_i, from_j = (axes_i * size_i[:, :, None]).transpose(0, 2, 1), (axes_j * size_j[:, :, None]).transpose(0, 2, 1)
             hit = np.zeros(len(pdf), bool)
             for k in range(0, len(pdf), 512):
                 s = slice(k, k + 512)
-                b_in_a = (((d[s, None] + unit[None] * axes["b"][s, None]) / axes["a"][s, None]) ** 2).sum(axis=2).min(axis=1) <= 1
-                a_in_b = (((unit[None] * axes["a"][s, None] - d[s, None]) / axes["b"][s, None]) ** 2).sum(axis=2).min(axis=1) <= 1
-                centre = ((d[s] / axes["a"][s]) ** 2).sum(axis=1) <= 1
-                hit[s] = b_in_a | a_in_b | centre
+                to_i, to_j = np.einsum("nij,nj->ni", into_i[s], d[s]), np.einsum("nij,nj->ni", into_j[s], d[s])
+                j_in_i = ((to_i[:, None] + unit @ (into_i[s] @ from_j[s]).transpose(0, 2, 1)) ** 2).sum(axis=2).min(axis=1)
+                i_in_j = ((unit @ (into_j[s] @ from_i[s]).transpose(0, 2, 1) - to_j[:, None]) ** 2).sum(axis=2).min(axis=1)
+                hit[s] = (j_in_i <= 1) | (i_in_j <= 1) | ((to_i * to_i).sum(axis=1) <= 1)
             yield pdf.loc[hit, ["i", "j"]]
 
-    return pairs.filter(near).mapInPandas(test, "i long, j long")
+    return pairs.mapInPandas(test, "i long, j long")
 
 
 def merge_ellipsoids(subhalos: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -135,37 +135,51 @@ def a26_satellite_mass_function(spark, sf):
 
 
 def _subhalos(spark, sf):
-    """Ellipsoids around the members of clumps of which each is a host: small boxes, so that many overlap."""
-    rows = clumps(spark, sf)
-    return rows.select(F.col("indx").alias("id"), F.col("hid").alias("host"), "x", "y", "z", (8 + F.col("indx") % 24).alias("r"), ((40 + F.col("indx") % 57) / 97).alias("q"), ((30 + F.col("indx") % 31) / 97).alias("s"), (1 + F.col("indx") % 50).alias("mass"))
+    """Ellipsoids turned in all directions around the members of clumps, of which each is a host: small boxes, so that many overlap."""
+    rows = clumps(spark, sf).withColumns({"u": (F.col("indx") % 63) / 10, "w": (F.col("indx") % 31) / 10})
+    su, cu, sw, cw = F.sin("u"), F.cos("u"), F.sin("w"), F.cos("w")
+    axes = {"a": (cu, su, F.lit(0.0)), "b": (-su * cw, cu * cw, sw), "c": (su * sw, -cu * sw, cw)}
+    return rows.select(
+        F.col("indx").alias("id"), F.col("hid").alias("host"), "x", "y", "z", (8 + F.col("indx") % 24 + 60 * (F.col("indx") % 97 == 0).cast("int")).alias("r"), ((40 + F.col("indx") % 57) / 97).alias("q"), ((30 + F.col("indx") % 31) / 97).alias("s"),
+        (1 + F.col("indx") % 50).alias("mass"), *(F.array(*v).alias(k) for k, v in axes.items()),
+    )
+
+
+_SUB = f"""SELECT *, cos(u) AS a1, sin(u) AS a2, 0e0 AS a3, -sin(u)*cos(w) AS b1, cos(u)*cos(w) AS b2, sin(w) AS b3, sin(u)*sin(w) AS c1, -cos(u)*sin(w) AS c2, cos(w) AS c3 FROM
+(SELECT indx AS id, hid AS host, x, y, z, 8e0 + indx % 24 + CASE WHEN indx % 97 = 0 THEN 60 ELSE 0 END AS r, (40 + indx % 57)/97e0 AS q, (30 + indx % 31)/97e0 AS s, 1 + indx % 50 AS mass, (indx % 63)/10e0 AS u, (indx % 31)/10e0 AS w FROM ({CLUMPS}))"""
+_D = ", ".join(f"(b.{c}-a.{c}) - {BOX}e0*round((b.{c}-a.{c})/{BOX}e0) AS d{c}" for c in "xyz")
+_AXES = ", ".join(f"{t}.{v}{k} AS {t}{v}{k}" for t in "ab" for v in "abc" for k in "123")
 
 
-_SUB = f"SELECT indx AS id, hid AS host, x, y, z, 8e0 + indx % 24 AS r, (40 + indx % 57)/97e0 AS q, (30 + indx % 31)/97e0 AS s, 1 + indx % 50 AS mass FROM ({CLUMPS})"
-_D = ", ".join(f"(b.{c}-a.{c}) - {BOX}e0*round((b.{c}-a.{c})/{BOX}e0) AS d{c}" for c in "xyz")
-_B_IN_A = " + ".join(f"pow((d{c} + u{c}*b{n})/a{n}, 2)" for c, n in zip("xyz", "123"))
-_A_IN_B = " + ".join(f"pow((u{c}*a{n} - d{c})/b{n}, 2)" for c, n in zip("xyz", "123"))
+def _inside(t: str, o: str, sign: str) -> str:
+    """SQL: the squared length, in the frame where t is a unit sphere, of the sample u of o's surface, which is at `sign` d from t."""
+    point = {k: f"({sign}d{c} + " + " + ".join(f"{o}{v}{k}*{o}r{n}*u{e}" for v, n, e in zip("abc", "123", "xyz")) + ")" for k, c in zip("123", "xyz")}
+    return " + ".join(f"pow(({' + '.join(f'{t}{v}{k}*{point[k]}' for k in '123')})/{t}r{n}, 2)" for v, n in zip("abc", "123"))
+
+
+_CENTRE = " + ".join(f"pow((a{v}1*dx + a{v}2*dy + a{v}3*dz)/ar{n}, 2)" for v, n in zip("abc", "123"))
 OVERLAPS = f"""sub AS MATERIALIZED ({_SUB}), sp AS (SELECT sqrt(1-c*c)*cos(w) AS ux, sqrt(1-c*c)*sin(w) AS uy, c AS uz FROM (SELECT 1-2*(k+0.5e0)/{ellipsoids.SAMPLES}e0 AS c, {math.pi * (1 + 5**0.5)!r}e0*(k+0.5e0) AS w FROM (SELECT unnest(range({ellipsoids.SAMPLES})) AS k))),
-nr AS MATERIALIZED (SELECT * FROM (SELECT a.id AS i, b.id AS j, {_D}, a.r AS a1, a.r*a.q AS a2, a.r*a.s AS a3, b.r AS b1, b.r*b.q AS b2, b.r*b.s AS b3 FROM sub a JOIN sub b ON a.host = b.host AND a.id < b.id) WHERE dx*dx+dy*dy+dz*dz <= (a1+b1)*(a1+b1)),
-ov AS MATERIALIZED (SELECT i, j FROM nr WHERE pow(dx/a1, 2)+pow(dy/a2, 2)+pow(dz/a3, 2) <= 1 UNION SELECT i, j FROM nr, sp WHERE {_B_IN_A} <= 1 OR {_A_IN_B} <= 1)"""
+nr AS MATERIALIZED (SELECT * FROM (SELECT a.id AS i, b.id AS j, {_D}, {_AXES}, a.r AS ar1, a.r*a.q AS ar2, a.r*a.s AS ar3, b.r AS br1, b.r*b.q AS br2, b.r*b.s AS br3 FROM sub a JOIN sub b ON a.host = b.host AND a.id < b.id) WHERE dx*dx+dy*dy+dz*dz <= (ar1+br1)*(ar1+br1)),
+ov AS MATERIALIZED (SELECT i, j FROM nr WHERE {_CENTRE} <= 1 UNION SELECT i, j FROM nr, sp WHERE {_inside('a', 'b', '')} <= 1 OR {_inside('b', 'a', '-')} <= 1)"""
 _MERGED = f"""{OVERLAPS}, bw AS (SELECT i, j FROM ov UNION ALL SELECT j, i FROM ov), r(i, l) AS (SELECT id, id FROM sub UNION SELECT bw.j, r.l FROM r JOIN bw ON bw.i = r.i),
 mg AS MATERIALIZED (SELECT host, label, CAST(sum(mass) AS BIGINT) AS mass, CAST(count(*) AS BIGINT) AS n FROM (SELECT i AS id, min(l) AS label FROM r GROUP BY 1) JOIN sub USING (id) GROUP BY 1, 2)"""
 
 
 @query(f"WITH {OVERLAPS} SELECT i, j FROM ov")
 def j19_ellipsoid_overlap_pairs(spark, sf):
-    return ellipsoids.overlap_pairs(_subhalos(spark, sf), BOX, 64)
+    return ellipsoids.overlap_pairs(_subhalos(spark, sf), BOX)
 
 
 @query(f"WITH RECURSIVE {_MERGED} SELECT host, label, mass, n FROM mg")
 def g5_merge_ellipsoids(spark, sf):
     sub = _subhalos(spark, sf)
-    return ellipsoids.merge_ellipsoids(sub, ellipsoids.overlap_pairs(sub, BOX, 64))
+    return ellipsoids.merge_ellipsoids(sub, ellipsoids.overlap_pairs(sub, BOX))
 
 
 @query(f"WITH RECURSIVE {_MERGED}, hl AS (SELECT log10(CAST(mass AS DOUBLE)) AS lm FROM mg), {MF.format(nbin=16)}")
 def a27_merged_mass_function(spark, sf):
     sub = _subhalos(spark, sf)
-    return _rounded(mass_function(ellipsoids.merge_ellipsoids(sub, ellipsoids.overlap_pairs(sub, BOX, 64)), "mass", 16))
+    return _rounded(mass_function(ellipsoids.merge_ellipsoids(sub, ellipsoids.overlap_pairs(sub, BOX)), "mass", 16))
 
 
 @query(f"SELECT ix, iy, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(floor(log10(mass)/{4 / 128!r}e0) AS BIGINT) AS ix, CAST(floor(sqrt(q*s)/{1 / 128!r}e0) AS BIGINT) AS iy FROM ({HALO_PROPS}) WHERE mass > 0) WHERE ix BETWEEN 0 AND 127 AND iy BETWEEN 0 AND 127 GROUP BY 1, 2")

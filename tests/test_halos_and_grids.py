@@ -93,12 +93,33 @@ def test_halo_properties_has_one_row_a_halo(spark):
 def test_overlap_of_ellipsoids(spark):
     rows = [(1, 1, 0.0, 0.0, 0.0, 4.0, 1.0, 1.0, 5), (2, 1, 7.0, 0.0, 0.0, 4.0, 1.0, 1.0, 6), (3, 1, 0.0, 6.0, 0.0, 4.0, 0.3, 1.0, 7), (4, 2, 1.0, 0.0, 0.0, 4.0, 1.0, 1.0, 8), (5, 1, 98.0, 0.0, 0.0, 4.0, 1.0, 1.0, 9)]
     sub = spark.createDataFrame(rows, "id long, host long, x double, y double, z double, r double, q double, s double, mass long")
-    pairs = ellipsoids.overlap_pairs(sub, 100.0, 10)
+    pairs = ellipsoids.overlap_pairs(sub, 100.0)
     assert {tuple(r) for r in pairs.collect()} == {(1, 2), (1, 5)}  # 3 is flat towards 1, 4 has another host, 5 is across the face
     got = {(r["host"], r["label"]): (r["mass"], r["n"]) for r in ellipsoids.merge_ellipsoids(sub, pairs).collect()}
     assert got == {(1, 1): (20, 3), (1, 3): (7, 1), (2, 4): (8, 1)}
 
 
+def test_overlap_of_turned_ellipsoids_of_all_sizes(spark):
+    """Random axes and radii from a hundredth to a third of the box, against loops over the samples with rotation matrices."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(90):
+        axes = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        rows.append((k, k % 2, *map(float, rng.random(3) * 100), float(10 ** rng.uniform(0, 1.5)), float(rng.uniform(0.1, 1)), float(rng.uniform(0.1, 1)), 1, *(axes[:, n].tolist() for n in range(3))))
+    sub = spark.createDataFrame(rows, "id long, host long, x double, y double, z double, r double, q double, s double, mass long, a array<double>, b array<double>, c array<double>")
+    got, want, unit = {tuple(r) for r in ellipsoids.overlap_pairs(sub, 100.0).collect()}, set(), ellipsoids.sphere_points()
+    for i, *_ in rows:
+        for j in range(i + 2, len(rows), 2):
+            one, two = rows[i], rows[j]
+            d = np.subtract(two[2:5], one[2:5])
+            d -= 100 * np.round(d / 100)
+            (ri, si), (rj, sj) = ((np.array(o[9:12]).T, o[5] * np.array([1, o[6], o[7]])) for o in (one, two))
+            inside = lambda p, r, s: (((p @ r) / s) ** 2).sum(axis=-1) <= 1
+            if (d @ d) ** 0.5 <= one[5] + two[5] and (inside(d + (unit * sj) @ rj.T, ri, si).any() or inside((unit * si) @ ri.T - d, rj, sj).any() or inside(d, ri, si)):
+                want.add((i, j))
+    assert got == want and len(want) > 15 and ellipsoids.overlap_pairs(sub.limit(0), 100.0).count() == 0
+
+
 def test_deposits_keep_mass_and_spectrum_keeps_power(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in rng.integers(0, 8 * 16, (200, 3)) / 16], "x double, y double, z double")
