@@ -77,3 +77,18 @@ def halo_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBSERVERS = f"SELECT (i*4+j)*4+k AS iobs, i*{BOX // 4}+{BOX // 8} AS ox, j*{BOX // 4}+{BOX // 8} AS oy, k*{BOX // 4}+{BOX // 8} AS oz FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j), (SELECT unnest(range(4)) AS k)"
 SHELL = (1000, 1800, 40)
+
+
+#: A run of five snapshots, in which particles move by a fiftieth of their velocity a step, and its steps.
+RUN_FIRST, RUN_LENGTH = 44, 5
+DRIFT = f"SELECT CAST(s AS BIGINT) AS step, indx, {', '.join(f'((({c} + s*CAST(trunc(v{c}/50e0) AS BIGINT)) % {BOX}) + {BOX}) % {BOX} AS {c}' for c in 'xyz')}, vx, vy, vz FROM ({PARTICLES}) p, (SELECT unnest(range({RUN_LENGTH})) AS s) t"
+DRIFT_STEPS = f"SELECT CAST(s AS BIGINT) AS step, {RUN_FIRST}e0 + s AS a FROM (SELECT unnest(range({RUN_LENGTH})) AS s) t"
+
+
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = particles(spark, sf_dir).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RUN_LENGTH - 1).cast("long"))))
+    return rows.select("step", "indx", *(F.expr(f"pmod({c} + step * (v{c} div 50), {BOX})").alias(c) for c in "xyz"), "vx", "vy", "vz")
+
+
+def drift_steps(spark: SparkSession) -> DataFrame:
+    return spark.range(RUN_LENGTH).select(F.col("id").alias("step"), (F.lit(float(RUN_FIRST)) + F.col("id")).alias("a"))

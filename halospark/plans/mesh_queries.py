@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cone, ellipsoids, grid, halo, lookups, spectrum
+from ..operators import cone, cone_runs, ellipsoids, grid, halo, lookups, spectrum
 from ..operators.fof import numbered
 from ..operators.massfunc import drop_group_head, hist2d, mass_function, reverse_cumulative
+from ..scratch import shared_dir
+from ..sources.tables import write_snapshot
 from .base import SEEN, query, tsc_sql
 from .halo_queries import MF
-from .fixtures import AMAX, BOX, CLUMPS, HALO_PROPS, MESH, OBSERVERS, PARTICLES, RUN_STEPS, clumps, halo_props, particles, run_steps
+from .fixtures import AMAX, BOX, CLUMPS, DRIFT, DRIFT_STEPS, HALO_PROPS, MESH, OBSERVERS, PARTICLES, RUN_STEPS, clumps, drift, drift_steps, halo_props, particles, run_steps
 from .scalar_queries import IMAGES, IMAGES_SQL, ROTATED, ZONE
 
 _P = f"p AS MATERIALIZED ({PARTICLES})"
@@ -325,6 +327,72 @@ def c3_grid_lightcone(spark, sf):
     return cone.grid_cone(tsc(spark, sf), cone.observer_lattice(spark, 64), 64, 6, 9, 1)
 
 
+#: Cosmology, box units to a Mpc/h and the redshift cut of the run's cones; the cut leaves four of five steps.
+_OM, _OL, _SCALE, _MOST_Z = 0.26, 0.74, 8.0, 0.08
+
+
+def _shells_sql(scale: float) -> str:
+    """sh(step, r1, r2, rmin, rmax): distances half and one and a half steps of the scale factor later and earlier, by 64 trapezoids."""
+    r = lambda d: f"CAST(floor(greatest(0e0, (SELECT sum(CASE WHEN k IN (0, 64) THEN 0.5e0 ELSE 1e0 END*z/64e0/sqrt({_OM}e0*pow(1+z*k/64e0, 3) + {_OL}e0)) FROM (SELECT unnest(range(65)) AS k), (SELECT {AMAX}e0/least({AMAX}e0, st.a + {d}e0) - 1 AS z))*2997.92458e0)*{scale}e0) AS BIGINT)"
+    return f"st AS (SELECT * FROM ({DRIFT_STEPS}) WHERE {AMAX}e0/a - 1 <= {_MOST_Z}e0), sh AS MATERIALIZED (SELECT step, {r(0.5)} AS r1, {r(-0.5)} AS r2, {r(1.5)} AS rmin, {r(-1.5)} AS rmax FROM st)"
+
+
+def _run_shells(spark, scale: float = _SCALE):
+    return cone_runs.cone_shells(drift_steps(spark), _OM, _OL, float(AMAX), 1.0, scale, _MOST_Z)
+
+
+def run_snapshots(spark, sf):
+    """The run, written in folders by step and ranges of z, and read again."""
+    path = shared_dir(spark)
+    write_snapshot(drift(spark, sf), path)
+    return spark.read.parquet(path).withColumn("step", F.col("step").cast("long"))
+
+
+def _cone_sql(maxd: int | None) -> str:
+    low, high = (f"greatest(sh.r1-{maxd}, 0)", f"(sh.r2+{maxd})") if maxd is not None else ("least(sh.rmin, sh.r1)", "greatest(sh.rmax, sh.r2)")
+    d = ", ".join(f"CASE WHEN (p.{c}-o.o{c})*2 > {BOX} THEN p.{c}-o.o{c}-{BOX} WHEN (p.{c}-o.o{c})*2 < -{BOX} THEN p.{c}-o.o{c}+{BOX} ELSE p.{c}-o.o{c} END AS d{c}" for c in "xyz")
+    return f"""WITH {_shells_sql(_SCALE)}, p AS MATERIALIZED ({DRIFT}), o AS ({OBSERVERS}), s AS (SELECT *, dx*dx+dy*dy+dz*dz AS d2 FROM (SELECT p.step, p.indx, o.iobs, sh.r1, sh.r2, {low} AS low, {high} AS high, {d} FROM p JOIN sh USING (step) CROSS JOIN o)),
+f AS (SELECT *, row_number() OVER (PARTITION BY step, indx ORDER BY iobs) AS rn FROM s WHERE d2 >= low*low AND d2 < high*high)
+SELECT step, indx, CAST(iobs AS BIGINT) AS iobs, CASE WHEN d2 >= r1*r1 AND d2 < r2*r2 THEN 'main' WHEN d2 >= r2*r2 THEN 'outer' ELSE 'inner' END AS type, dx, dy, dz FROM f WHERE rn = 1"""
+
+
+@query(_cone_sql(40))
+def c1_cone_run(spark, sf):
+    """Five steps in one plan, of which the redshift cut reads four."""
+    p = run_snapshots(spark, sf)
+    slabs = p.groupBy("step", F.expr("z div 2048").alias("slab")).agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"))
+    out = cone_runs.cone_run(p.select("step", "indx", "x", "y", "z"), _run_shells(spark), cone.observer_lattice(spark, BOX), BOX, 40, slabs=slabs)
+    return out.select("step", "indx", "iobs", "type", "dx", "dy", "dz")
+
+
+@query(_cone_sql(None))
+def c1_cone_run_between_steps(spark, sf):
+    """With buffers up to the shells of the steps before and after."""
+    out = cone_runs.cone_run(run_snapshots(spark, sf).select("step", "indx", "x", "y", "z"), _run_shells(spark), cone.observer_lattice(spark, BOX), BOX)
+    return out.select("step", "indx", "iobs", "type", "dx", "dy", "dz")
+
+
+@query(f"""WITH {_shells_sql(_SCALE)}, im AS (SELECT step, indx, image, x+sx AS x, y+sy AS y, z+sz AS z FROM ({DRIFT}), {IMAGES_SQL}), r AS (SELECT *, {ROTATED} FROM im JOIN sh USING (step) WHERE x*x+y*y+z*z >= r1*r1 AND x*x+y*y+z*z < r2*r2)
+SELECT step, indx, image, round(rx, 3) AS rx, round(ry, 3) AS ry, round(rz, 3) AS rz FROM r WHERE rz >= -500.5 AND rz < 500.5""")
+def c2_disk_run(spark, sf):
+    out = cone_runs.disk_cone_run(run_snapshots(spark, sf).select("step", "indx", "x", "y", "z"), _run_shells(spark), BOX, IMAGES, 500.5)
+    return out.select("step", "indx", "image", *(F.round(c, 3).alias(c) for c in ("rx", "ry", "rz")))
+
+
+_SIGNED64 = ", ".join(f"CASE WHEN (i{c}-o{c})*2 > 64 THEN i{c}-o{c}-64 WHEN (i{c}-o{c})*2 < -64 THEN i{c}-o{c}+64 ELSE i{c}-o{c} END AS d{c}" for c in "xyz")
+
+
+@query(f"""WITH {_shells_sql(0.04)}, g AS MATERIALIZED (SELECT step, x//256 AS ix, y//256 AS iy, z//256 AS iz, CAST(count(*) AS DOUBLE) AS value FROM ({DRIFT}) GROUP BY 1, 2, 3, 4),
+o AS (SELECT (i*4+j)*4+k AS iobs, i*16+8 AS ox, j*16+8 AS oy, k*16+8 AS oz FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j), (SELECT unnest(range(4)) AS k)),
+s AS (SELECT *, dx*dx+dy*dy+dz*dz AS d2 FROM (SELECT step, (iz*64+iy)*64+ix AS index, iobs, value, r1, r2, least(rmin, r1) AS low, greatest(rmax, r2) AS high, {_SIGNED64} FROM g JOIN sh USING (step), o)),
+f AS (SELECT *, row_number() OVER (PARTITION BY step, index ORDER BY iobs) AS rn FROM s WHERE d2 >= low*low AND d2 < high*high)
+SELECT step, index, CAST(iobs AS BIGINT) AS iobs, CASE WHEN d2 >= r1*r1 AND d2 < r2*r2 THEN 'main' WHEN d2 >= r2*r2 THEN 'outer' ELSE 'inner' END AS type, value FROM f WHERE rn = 1""")
+def c3_grid_run(spark, sf):
+    p = run_snapshots(spark, sf)
+    grids = p.groupBy("step", *(F.expr(f"{c} div 256").alias(f"i{c}") for c in "xyz")).agg(F.count("*").cast("double").alias("value"))
+    return cone_runs.grid_cone_run(grids, _run_shells(spark, 0.04), cone.observer_lattice(spark, 64), 64)
+
+
 WANTED = [0.0, 0.5, 1.0, 2.0, 4.0]
 
 
