@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -53,7 +53,12 @@ def birth_not_major(tree: DataFrame) -> DataFrame:
     return first.select("gid", F.col("f.step").alias("step"), F.col("f.majorgid").alias("majorgid")).filter("gid <> majorgid")
 
 
-def row_conservation(df: DataFrame, key: str, partitions: int = 8) -> DataFrame:
-    """V8: counts and sums of a key before and after rows are exchanged by it."""
-    part = lambda d, name: d.agg(F.count("*").alias("n"), F.sum(key).alias("total")).withColumn("side", F.lit(name))
-    return part(df, "before").unionByName(part(df.repartition(partitions, key), "after"))
+def row_conservation(df: DataFrame, key: str, path: str, partitions: int | None = None) -> DataFrame:
+    """V8: counts and sums of a key before and after rows are exchanged by it, observed on the way while they are written to path: df is read once."""
+    before, after = Observation(), Observation()
+    metrics = lambda: (F.count(F.lit(1)).alias("n"), F.sum(key).alias("total"))
+    rows = df.observe(before, *metrics())
+    rows = rows.repartition(key) if partitions is None else rows.repartition(partitions, key)
+    rows.observe(after, *metrics()).write.parquet(path)
+    seen = [(side, o.get["n"], o.get["total"]) for side, o in (("before", before), ("after", after))]
+    return df.sparkSession.createDataFrame(seen, "side string, n long, total long")

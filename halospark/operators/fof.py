@@ -126,17 +126,16 @@ def boundary_class(particles: DataFrame, labels: DataFrame, b: int, slab: int, k
 def unwrap(members: DataFrame, b: int, box: int, group: str = "hid") -> DataFrame:
     """Members with x, y, z moved so that no group is cut by the box's faces.
 
-    Where a group touches both faces of an axis, it is sorted along it, cut at the first gap over 1.5 b, and the part above is moved
-    down by the box. Groups that don't touch both faces are not sorted."""
+    Where a group touches both faces of an axis, it is cut at the first gap over 1.5 b along it, and the part above is moved down by the
+    box. Gaps are looked for between bins no wider than that, from their least and greatest places, so no group is sorted."""
+    wide = max(1, int(1.5 * b))
     for c in "xyz":
         touch = members.groupBy(group).agg(((F.min(c) <= b) & (F.max(c) >= box - b)).alias("_cut")).filter("_cut").select(group)
         flagged = members.join(touch, group, "left_semi")
-        w = Window.partitionBy(group).orderBy(c, "indx")
-        gap = (F.col(c) - F.lag(c).over(w) > 1.5 * b).cast("int")
-        gaps = flagged.withColumn("_gap", F.coalesce(gap, F.lit(0)))
-        gaps = gaps.withColumn("_above", F.max("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        moved = gaps.withColumn(c, F.when(F.col("_above") == 1, F.col(c) - box).otherwise(F.col(c))).drop("_gap", "_above")
-        members = cut(members.join(touch, group, "left_anti").unionByName(moved))
+        bins = flagged.groupBy(group, F.floor(F.col(c) / wide).alias("_bin")).agg(F.min(c).alias("_low"), F.max(c).alias("_high"))
+        before = F.lag("_high").over(Window.partitionBy(group).orderBy("_bin"))  # box / wide bins at most
+        gaps = bins.withColumn("_before", before).filter(F.col("_low") - F.col("_before") > 1.5 * b).groupBy(group).agg(F.min("_low").alias("_from"))
+        members = cut(members.join(gaps, group, "left").withColumn(c, F.when(F.col(c) >= F.col("_from"), F.col(c) - box).otherwise(F.col(c))).drop("_from"))
     return members
 
 

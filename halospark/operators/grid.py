@@ -75,6 +75,32 @@ def deposit_w4(points: DataFrame, n: int, reach: int, q: dict[str, Column], h: C
     return rows.withColumn("w", w4_kernel(r, F.col("h"))).filter("w > 0").groupBy("ix", "iy", "iz").agg(F.sum("w").alias("value"))
 
 
+def deposit_adaptive(points: DataFrame, q: dict[str, Column], h: Column, weight: Column | None = None, n: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, ix, iy, iz, value): each point's spline of its own radius 2h given to the cell centres within it.
+
+    A point reaches exactly as many cells as its h asks for. n: cells along a periodic mesh, else the mesh has no end. q and h are in
+    cells; a null h, or one under half a cell, which might reach no centre, counts as half a cell."""
+    wide = F.greatest(F.coalesce(h, F.lit(0.5)), F.lit(0.5))
+    rows = points.select(*keys, *(q[c].cast("double").alias(f"q{c}") for c in "xyz"), wide.alias("h"), (F.lit(1.0) if weight is None else weight).alias("m"), F.lit(0.0).alias("r2"))
+    for c in "xyz":  # axis after axis, so that only cells in the sphere go on
+        rows = rows.withColumn(f"i{c}", F.explode(F.sequence(F.ceil(F.col(f"q{c}") - 2 * F.col("h")), F.floor(F.col(f"q{c}") + 2 * F.col("h")))))
+        d = F.col(f"i{c}") - F.col(f"q{c}")
+        rows = rows.withColumn("r2", F.col("r2") + d * d).filter(F.col("r2") < 4 * F.col("h") * F.col("h"))
+    at = [(F.pmod(f"i{c}", F.lit(n)) if n else F.col(f"i{c}")).cast("long").alias(f"i{c}") for c in "xyz"]
+    return rows.select(*keys, *at, (F.col("m") * w4_kernel(F.sqrt("r2"), F.col("h"))).alias("w")).groupBy(*keys, "ix", "iy", "iz").agg(F.sum("w").alias("value"))
+
+
+def gather(points: DataFrame, cells: DataFrame, q: dict[str, Column], value: str, keys: tuple[str, ...], key: str = "indx") -> DataFrame:
+    """H1: (*keys, key, value): the cells' values at the points' places, linear between the eight centres around; missing cells are 0."""
+    rows = points.select(*keys, key, *(q[c].cast("double").alias(f"q{c}") for c in "xyz"), F.lit(1.0).alias("w"))
+    for c in "xyz":
+        f = F.col(f"q{c}") - F.floor(f"q{c}")
+        rows = rows.withColumn("_s", F.explode(F.array(F.struct(F.lit(0).alias("o"), (1 - f).alias("w")), F.struct(F.lit(1).alias("o"), f.alias("w")))))
+        rows = rows.withColumn(f"i{c}", (F.floor(f"q{c}") + F.col("_s.o")).cast("long")).withColumn("w", F.col("w") * F.col("_s.w")).drop("_s")
+    met = rows.join(cells, [*keys, "ix", "iy", "iz"], "left")
+    return met.groupBy(*keys, key).agg(F.sum(F.col("w") * F.coalesce(value, F.lit(0.0))).alias(value))
+
+
 def column_contour(cells: DataFrame, column: str, place: str, value: str, levels: int = 8) -> DataFrame:
     """(column, level, outside): for thresholds k/levels of each column's maximum, the mass outside the connected run above the threshold around the peak."""
     from pyspark.sql import Window

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import w4_kernel
 from ..scratch import cut
+from .lookups import value_at_rank
 from .octree import tree_potential
 from .pairs import knn_in_group
 
@@ -162,7 +163,7 @@ def virial_ratio(energies: DataFrame, group: str = "hid") -> DataFrame:
 def radius_of(members: DataFrame, part: float = 0.98, group: str = "hid") -> DataFrame:
     """The distance from the centre that holds the given part of the members: that of rank ceil(part * np)."""
     r = about_centre(members, group).withColumn("r", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
-    return r.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("r", "indx"))).withColumn("_np", F.count("*").over(Window.partitionBy(group))).filter(F.col("_rank") == F.ceil(part * F.col("_np"))).select(group, F.col("r").alias("radius"))
+    return value_at_rank(r, group, "r", part).withColumnRenamed("r", "radius")
 
 
 def ellipsoidal_radius(members: DataFrame, part: float = 0.98, group: str = "hid") -> DataFrame:
@@ -171,8 +172,7 @@ def ellipsoidal_radius(members: DataFrame, part: float = 0.98, group: str = "hid
     rows = about_centre(members, group).join(axes, group)
     along = [sum(F.col("axes")[k][j] * F.col(f"d{c}") for j, c in enumerate("xyz")) for k in range(3)]
     r = rows.withColumn("r", F.sqrt(along[0] * along[0] + (along[1] / F.col("q")) * (along[1] / F.col("q")) + (along[2] / F.col("s")) * (along[2] / F.col("s"))))
-    w = Window.partitionBy(group)
-    return r.withColumn("_rank", F.row_number().over(w.orderBy("r", "indx"))).withColumn("_np", F.count("*").over(w)).filter(F.col("_rank") == F.ceil(part * F.col("_np"))).select(group, F.col("r").alias("radius"))
+    return value_at_rank(r, group, "r", part).withColumnRenamed("r", "radius")
 
 
 def halo_properties(members: DataFrame, hubble: float, eps: float = 0.1, g: float = 1.0, mass: float = 1.0, group: str = "hid") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .fof import RANGE_ROWS
 
 
 def snapshot_schedule(steps: DataFrame, wanted: list[float], amax: float, astep: float) -> DataFrame:
@@ -48,11 +49,48 @@ def repartition_slabs(df: DataFrame, parts: int, col: str = "z") -> tuple[DataFr
     return ranged, ranged.groupBy("slab").agg(F.min(col).alias("low"), F.max(col).alias("high"), F.count("*").alias("n"))
 
 
-def sort_by_key(df: DataFrame, *order, parts: int = 8) -> DataFrame:
-    """O1: df in `parts` ranges of the order, each sorted: partition after partition, rows are in order."""
+def ranges_of(df: DataFrame, rows: int = RANGE_ROWS) -> int:
+    """The number of ranges of about `rows` rows that df needs."""
+    return max(1, -(-df.count() // rows))
+
+
+def sort_by_key(df: DataFrame, *order, parts: int | None = None) -> DataFrame:
+    """O1: df in `parts` ranges of the order, as many as its rows need by default, each sorted: partition after partition, rows are in order."""
+    if parts is None:
+        df = cut(df)
+        parts = ranges_of(df)
     return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
 def top_n(df: DataFrame, n: int, *order) -> DataFrame:
     """O4, A34."""
     return df.orderBy(*order).limit(n)
+
+
+#: Distinct values of a group that are put in order in one task at most, and the parts in which a histogram cuts a range.
+FEW, PARTS = 100_000, 1024
+
+
+def value_at_rank(rows: DataFrame, group: str, value: str, part: float, few: int = FEW) -> DataFrame:
+    """(group, value): of each group the value of rank ceil(part * rows), from the least on; null values don't count.
+
+    Equal values are counted first. A group with over `few` different ones is narrowed down: a histogram of PARTS parts of its range tells in
+    which part the rank is, and only that part's values go on. So no task has a group's rows."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    goals = counts.groupBy("g").agg(F.ceil(part * F.sum("n")).alias("rank"))
+    now, out = counts.join(goals, "g"), None
+    while True:
+        ranges = cut(now.groupBy("g").agg(F.count("*").alias("many"), F.min("v").alias("low"), F.max("v").alias("high")))
+        over = ranges.filter((F.col("many") > few) & (F.col("low") < F.col("high")))
+        done = now if over.isEmpty() else now.join(over, "g", "left_anti")
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("v"))  # `few` values at most
+        found = done.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select("g", "v")
+        out = found if out is None else out.unionByName(found)
+        if over.isEmpty():
+            return out.select(F.col("g").alias(group), F.col("v").alias(value))
+        place = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * PARTS), F.lit(PARTS - 1)).cast("int")
+        placed = cut(now.join(over, "g").withColumn("p", place))
+        bins = placed.groupBy("g", "p", "rank").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("p")))
+        hit = bins.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select("g", "p", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rest"))
+        now = cut(placed.join(hit, ["g", "p"]).select("g", "v", "n", F.col("rest").alias("rank")))

@@ -49,8 +49,10 @@ def mass_function(halos: DataFrame, mass: str, nbin: int, volume: float = 1.0, l
 
 
 def drop_group_head(subhalos: DataFrame, group: str, order: list) -> DataFrame:
-    """all subhalos but the first of each group."""
-    return subhalos.withColumn("_first", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter("_first > 1").drop("_first")
+    """all subhalos but the first of each group. order: columns, ascending, that tell the rows of a group apart."""
+    key = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))
+    heads = subhalos.groupBy(F.col(group).alias("_group")).agg(F.min(key).alias("_head"))
+    return subhalos.withColumn("_key", key).join(heads, (F.col(group) == F.col("_group")) & (F.col("_key") == F.col("_head")), "left_anti").drop("_key")
 
 
 def h_rescale(table: DataFrame, h: float) -> DataFrame:

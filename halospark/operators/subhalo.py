@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from .fof import dense_numbers
 from .graph import components
+from .grid import deposit_adaptive, gather
 from .grouped import runs_of
 from .halo import kinetic, pair_potential
+from .pairs import knn_in_group
 
 AROUND = [o for o in product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 
@@ -35,6 +37,28 @@ def halo_density(members: DataFrame, cell: int, group: str = "hid") -> tuple[Dat
     return cells, members.join(back, [group, "indx"])
 
 
+def spline_density(members: DataFrame, cell: int, k: int, box: int, group: str = "hid") -> tuple[DataFrame, DataFrame]:
+    """H1: (cells (hid, ix, iy, iz, density), members' (hid, indx, density)) by the spline kernel.
+
+    A member's smoothing length is half the distance of its k-th neighbour in the halo, or of its farthest; it is given to the cells
+    within twice that, in its halo by itself, and densities are read back at the members' places. Densities are members a cell."""
+    near = cut(knn_in_group(members, k, box, group))
+    h = near.groupBy(group, "id").agg((F.sqrt(F.max("r2").cast("double")) / 2 / cell).alias("_h"))
+    q = {c: F.col(c) / cell for c in "xyz"}
+    rows = members.join(h.withColumnRenamed("id", "indx"), [group, "indx"], "left")
+    cells = cut(deposit_adaptive(rows, q, F.col("_h"), keys=(group,)).withColumnRenamed("value", "density"))
+    return cells, gather(members, cells, q, "density", (group,))
+
+
+def seeded_peaks(peaks: DataFrame, members: DataFrame, cell: int, seed: int = 10, group: str = "hid") -> DataFrame:
+    """H2: the peaks with at least `seed` members in their cell and the 26 around it."""
+    moved = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abc", o))) for o in product((-1, 0, 1), repeat=3)))
+    counts = members.groupBy(group, *(F.floor(F.col(c) / cell).cast("long").alias(f"i{c}") for c in "xyz")).agg(F.count("*").alias("_n"))
+    around = counts.withColumn("_o", F.explode(moved)).select(group, *((F.col(f"i{c}") + F.col(f"_o.{k}")).alias(f"i{c}") for c, k in zip("xyz", "abc")), "_n")
+    enough = around.groupBy(group, "ix", "iy", "iz").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= seed).drop("_n")
+    return peaks.join(enough, [group, "ix", "iy", "iz"], "left_semi")
+
+
 def density_peaks(cells: DataFrame, least: float = 1.5, group: str = "hid") -> DataFrame:
     """H2: cells over `least` and strictly above all of their 26 neighbours in the halo; missing neighbours are empty."""
     dense = cells.filter(F.col("density") > least)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fof import dense_numbers
+from ..scratch import cut
+from .fof import RANGE_ROWS, dense_numbers
 from .massfunc import histogram_quantiles, mass_function
 
 
@@ -45,10 +45,14 @@ def sort_by_major(tree: DataFrame, step: int, partitions: int | None = None) ->
 
 
 def finalize(tree: DataFrame, partitions: int | None = None) -> DataFrame:
-    """T4: non-empty histories, sorted by gid and step in ranges."""
+    """T4: non-empty histories, sorted by gid and step in ranges, as many as the rows need by default."""
     from .filters import drop_empty_histories
 
-    return drop_empty_histories(tree).repartitionByRange(partitions or 8, "gid").sortWithinPartitions("gid", "step")
+    kept = drop_empty_histories(tree)
+    if partitions is None:
+        kept = cut(kept)
+        partitions = max(1, -(-kept.count() // RANGE_ROWS))
+    return kept.repartitionByRange(partitions, "gid").sortWithinPartitions("gid", "step")
 
 
 def histories(tree: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import fof, halo, subhalo
-from ..operators.grid import deposit_w4
+from ..operators.grid import deposit_adaptive, deposit_w4
 from ..operators.massfunc import mass_function
 from ..operators.pairs import fixed_radius_pairs, knn_in_group
 from ..scratch import cut
@@ -276,6 +276,58 @@ def _cores(spark, sf):
     return cut(both.withColumn("core", F.when(F.col("indx") % 3 > 0, F.col("hid") * 2 + (F.col("x") > F.col("mx")).cast("long"))).drop("mx"))
 
 
+def _spread_sql(edge: int) -> str:
+    """kn, hh, m with its own h in cells of the edge, and w(hid, indx, ix, iy, iz, w): each member's spline at the centres within 2h."""
+    out = f"{KNN}, hh AS (SELECT hid, id AS indx, sqrt(max(r2))/2/{edge}e0 AS h FROM kn GROUP BY 1, 2), m AS MATERIALIZED (SELECT hid, indx, x/{edge}e0 AS qx, y/{edge}e0 AS qy, z/{edge}e0 AS qz, greatest(coalesce(h, 0.5e0), 0.5e0) AS h FROM c LEFT JOIN hh USING (hid, indx))"
+    src = "m"
+    for c in "xyz":
+        out += f", e{c} AS (SELECT *, unnest(range(CAST(ceil(q{c}-2*h) AS BIGINT), CAST(floor(q{c}+2*h) AS BIGINT)+1)) AS i{c} FROM {src})"
+        src = f"e{c}"
+    return out + f", w AS (SELECT hid, indx, ix, iy, iz, {_W4.format(q='(r/h)')} AS w FROM (SELECT *, sqrt((ix-qx)*(ix-qx)+(iy-qy)*(iy-qy)+(iz-qz)*(iz-qz)) AS r FROM ez WHERE (ix-qx)*(ix-qx)+(iy-qy)*(iy-qy)+(iz-qz)*(iz-qz) < 4*h*h))"
+
+
+#: A tenth of the members are far from the others, so their splines reach a tenth of the box: cells are wide.
+_EDGE = 2048
+_CL = f"{_spread_sql(_EDGE)}, cl AS MATERIALIZED (SELECT hid, ix, iy, iz, sum(w) AS density FROM w GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"WITH {_CL} SELECT hid, ix, iy, iz, round(density, 7) AS density FROM cl")
+def h1_spline_density(spark, sf):
+    return subhalo.spline_density(clumps(spark, sf), _EDGE, 5, BOX)[0].withColumn("density", F.round("density", 7))
+
+
+@query(f"""WITH {_CL}, k AS (SELECT hid, indx, CAST(floor(qx) AS BIGINT) + a.o AS ix, CAST(floor(qy) AS BIGINT) + b.o AS iy, CAST(floor(qz) AS BIGINT) + e.o AS iz, abs(1-a.o-(qx-floor(qx)))*abs(1-b.o-(qy-floor(qy)))*abs(1-e.o-(qz-floor(qz))) AS v FROM m, (VALUES (0), (1)) a(o), (VALUES (0), (1)) b(o), (VALUES (0), (1)) e(o))
+SELECT k.hid, k.indx, round(sum(v*coalesce(density, 0)), 7) AS density FROM k LEFT JOIN cl USING (hid, ix, iy, iz) GROUP BY 1, 2""")
+def h1_spline_members(spark, sf):
+    """The density read back at the members' places."""
+    return subhalo.spline_density(clumps(spark, sf), _EDGE, 5, BOX)[1].withColumn("density", F.round("density", 7))
+
+
+@query(f"WITH {_spread_sql(_EDGE)} SELECT ((ix % 8) + 8) % 8 AS ix, ((iy % 8) + 8) % 8 AS iy, ((iz % 8) + 8) % 8 AS iz, round(sum(w), 7) AS value FROM w GROUP BY 1, 2, 3")
+def a13_deposit_adaptive(spark, sf):
+    """All members on the periodic mesh, each with a smoothing length of its own."""
+    c = clumps(spark, sf)
+    h = knn_in_group(c, 5, BOX).groupBy("hid", F.col("id").alias("indx")).agg((F.sqrt(F.max("r2").cast("double")) / 2 / _EDGE).alias("h"))
+    rows = c.join(cut(h), ["hid", "indx"], "left")
+    return deposit_adaptive(rows, {v: F.col(v) / _EDGE for v in "xyz"}, F.col("h"), n=8).withColumn("value", F.round("value", 7))
+
+
+@query(f"""WITH c AS ({CLUMPS}), cl AS MATERIALIZED (SELECT hid, ix, iy, iz, sum(w) AS density FROM (SELECT hid, x//64 + a.o AS ix, y//64 + b.o AS iy, z//64 + e.o AS iz, abs(1-a.o-(x%64)/64e0)*abs(1-b.o-(y%64)/64e0)*abs(1-e.o-(z%64)/64e0) AS w FROM c, (VALUES (0), (1)) a(o), (VALUES (0), (1)) b(o), (VALUES (0), (1)) e(o)) GROUP BY 1, 2, 3, 4),
+pk AS (SELECT hid, ix, iy, iz, density FROM cl a WHERE density > 1.5 AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.hid = a.hid AND b.ix BETWEEN a.ix-1 AND a.ix+1 AND b.iy BETWEEN a.iy-1 AND a.iy+1 AND b.iz BETWEEN a.iz-1 AND a.iz+1 AND (b.ix, b.iy, b.iz) <> (a.ix, a.iy, a.iz) AND b.density >= a.density))
+SELECT * FROM pk WHERE 10 <= (SELECT count(*) FROM c WHERE c.hid = pk.hid AND abs(c.x//64 - ix) <= 1 AND abs(c.y//64 - iy) <= 1 AND abs(c.z//64 - iz) <= 1)""")
+def h2_seeded_peaks(spark, sf):
+    c = clumps(spark, sf)
+    return subhalo.seeded_peaks(subhalo.density_peaks(subhalo.halo_density(c, 64)[0]), c, 64)
+
+
+@query(f"SELECT hid, indx, true AS within FROM ({CLUMPS})")
+def a6_tree_potential(spark, sf):
+    """Far cells taken at their centres, for all halos of over ten members: whether each potential is within the bound about the exact one."""
+    c = cut(clumps(spark, sf))
+    both = halo.pair_potential(c, exact=10).select("hid", "indx", "pe").join(halo.pair_potential(c).select("hid", "indx", F.col("pe").alias("want")), ["hid", "indx"])
+    return both.select("hid", "indx", (F.abs(F.col("pe") - F.col("want")) <= 0.5 * F.abs("want") + 1e-9).alias("within"))
+
+
 _STRENGTH = 1e6
 
 

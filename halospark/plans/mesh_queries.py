@@ -133,7 +133,7 @@ def a25_subhalo_mass_function(spark, sf):
 
 @query(f"WITH hl AS (SELECT log10(CAST(mass AS DOUBLE)) AS lm FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY mass DESC, hid) AS rn FROM ({HALO_PROPS})) WHERE rn > 1 AND mass > 0), {MF.format(nbin=16)}")
 def a26_satellite_mass_function(spark, sf):
-    return _rounded(mass_function(drop_group_head(halo_props(spark, sf), "host", [F.desc("mass"), F.col("hid")]), "mass", 16))
+    return _rounded(mass_function(drop_group_head(halo_props(spark, sf), "host", [-F.col("mass"), F.col("hid")]), "mass", 16))
 
 
 def _subhalos(spark, sf):

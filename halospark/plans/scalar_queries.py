@@ -195,7 +195,7 @@ def f9_major_only(spark, sf):
 
 @query(f"SELECT host, hid, mass FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY mass DESC, hid) AS rn FROM ({HALO_PROPS})) WHERE rn > 1")
 def f10_drop_group_head(spark, sf):
-    return drop_group_head(halo_props(spark, sf), "host", [F.desc("mass"), F.col("hid")]).select("host", "hid", "mass")
+    return drop_group_head(halo_props(spark, sf), "host", [-F.col("mass"), F.col("hid")]).select("host", "hid", "mass")
 
 
 @query(f"WITH RECURSIVE {LABELS} SELECT label, np FROM big")

@@ -8,7 +8,7 @@ from ..operators import checks
 from ..operators import links as L
 from ..operators import tree as T
 from ..operators.fof import numbered
-from ..scratch import cut
+from ..scratch import cut, shared_dir
 from .base import TREE, TREE_COLUMNS, links_sql, query
 from .fixtures import MIN_MEMBERS, STEPS, members
 from .halo_queries import MF
@@ -264,7 +264,7 @@ def v7_birth_major_is_self(spark, sf):
 
 @query("SELECT side, n, total FROM (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders), (VALUES ('before'), ('after')) t(side)")
 def v8_row_conservation(spark, sf):
-    return checks.row_conservation(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey")
+    return checks.row_conservation(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey", shared_dir(spark))
 
 
 @query(f"WITH {links_sql()} SELECT step, CAST(count(*) AS BIGINT) AS n FROM links GROUP BY 1")

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_snapshot(particles: DataFrame, path: str, slabs: int = 8) -> None:
-    """Particles (with step) in ranges of z, a folder for each step, so that slab filters skip files."""
-    particles.repartitionByRange(slabs, "z").write.mode("append").partitionBy("step").parquet(path)
+#: Rows of a file, about.
+FILE_ROWS = 4_000_000
+
+
+def _slabs(df: DataFrame) -> int:
+    """Ranges of about FILE_ROWS rows a step."""
+    most = df.groupBy("step").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-most // FILE_ROWS))
+
+
+def write_snapshot(particles: DataFrame, path: str, slabs: int | None = None, params: DataFrame | None = None) -> None:
+    """Particles (with step) in ranges of z, a folder for each step, so that slab filters skip files; slabs: how many ranges, by default as many
+    as the largest step's rows need. params: (step, key, value) of the steps, kept beside them for read_step_params()."""
+    particles.repartitionByRange(slabs or _slabs(particles), "z").write.mode("append").partitionBy("step").parquet(path)
+    if params is not None:
+        params.select("step", "key", F.col("value").cast("string").alias("value")).coalesce(1).write.mode("append").parquet(f"{path}/_params")  # some ten rows a step
+
+
+def read_step_params(spark: SparkSession, path: str) -> DataFrame:
+    """(step, params) of the snapshot at path, params a map of strings."""
+    rows = spark.read.parquet(f"{path}/_params")
+    return rows.groupBy("step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("params"))
 
 
 def write_halos(catalog: DataFrame, members: DataFrame, path: str, least: int = 20) -> None:
@@ -18,9 +37,9 @@ def write_halos(catalog: DataFrame, members: DataFrame, path: str, least: int =
     members.join(keep.select("step", "hid"), ["step", "hid"], "left_semi").write.mode("append").partitionBy("step").parquet(f"{path}/members")
 
 
-def write_density(grid: DataFrame, path: str, slabs: int = 8) -> None:
-    """A grid (with step) in slabs of iz."""
-    grid.repartitionByRange(slabs, "iz").write.mode("append").partitionBy("step").parquet(path)
+def write_density(grid: DataFrame, path: str, slabs: int | None = None) -> None:
+    """A grid (with step) in slabs of iz, by default as many as the largest step's cells need."""
+    grid.repartitionByRange(slabs or _slabs(grid), "iz").write.mode("append").partitionBy("step").parquet(path)
 
 
 def write_tree(tree: DataFrame, path: str) -> None:
