@@ -70,3 +70,43 @@ def test_runs_and_params(spark, tmp_path):
     got = {r["key"]: (r["value"], r["known"]) for r in text.read_params(spark, str(tmp_path / "p.dat")).collect()}
     assert got == {"Nx": ("64", True), "Odd": ("3 4", False)}
     assert np.isclose(text.read_table_ascii(spark, str(tmp_path / "k.txt") if (tmp_path / "k.txt").write_text("# k\n 1.0  2e3\n") else "", ["k", "p"]).first()["p"], 2000)
+
+
+def test_ranges_are_skipped_by_bounds_and_filters(spark, tmp_path):
+    """Records in order of z: bounds, and pushed filters, leave out the ranges and files that cannot hold what is asked for."""
+    df = spark.range(3000).select(*(F.col("id").cast("float").alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")), F.col("id").alias("indx"))
+    path = tmp_path.as_uri() + "/snap"
+    B.write_records(df.repartitionByRange(6, "z"), path, B.SNAPSHOT, "ascii", {"Nx": 8})
+    B.write_records(df.filter("z < 10").coalesce(1), path, B.SNAPSHOT, "ascii")
+    assert sorted(p.suffix for p in (tmp_path / "snap").iterdir() if p.is_file() and not p.name.startswith(".")) == [".bin"] * 7 and not list((tmp_path / "snap").glob("_temporary*"))
+    everything = B.read_records(spark, path, B.SNAPSHOT, "ascii")
+    assert everything.count() == 3010
+    part = B.read_records(spark, path, B.SNAPSHOT, "ascii", bounds=[("z", ">=", 1000), ("z", "<", 1100)])
+    seen = {r["indx"] for r in part.select("indx").collect()}
+    assert set(range(1000, 1100)) <= seen and len(seen) < 1100
+    found = everything.filter("z >= 2990 and x < 2995")
+    assert sorted(r["indx"] for r in found.collect()) == list(range(2990, 2995))
+    options = {"path": path, "layout": B.SNAPSHOT, "header": "ascii"}
+    reader = B._Reader(options)
+    whole = sum(p.count for p in reader.partitions())
+    list(reader.pushFilters([B.GreaterThanOrEqual(("z",), 2990.0), B.LessThan(("x",), 2995.0)]))
+    assert whole == 3010 and sum(p.count for p in reader.partitions()) < 700
+    assert sum(p.count for p in B._Reader(options | {"bounds": '[["indx", "=", 99999]]'}).partitions()) == 0
+
+
+def test_a_failed_write_leaves_no_files(spark, tmp_path):
+    rows = spark.range(10).select(*(F.lit(1.0).cast("float").alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")), F.when(F.col("id") < 9, F.col("id")).alias("indx"))
+    with pytest.raises(Exception, match="no nulls"):
+        B.write_records(rows.repartition(2), str(tmp_path / "snap"), B.SNAPSHOT)
+    assert [p for p in (tmp_path / "snap").rglob("*") if p.is_file()] == []
+
+
+def test_parameters_beside_a_snapshot(spark, tmp_path):
+    from halospark.sources import tables
+
+    rows = spark.createDataFrame([(s, i, float(i), 0.0, float(i)) for s in (1, 2) for i in range(20)], "step int, indx long, x double, y double, z double")
+    params = spark.createDataFrame([(1, "Omega", "0.26"), (1, "Nx", "8"), (2, "Omega", "0.26")], "step int, key string, value string")
+    path = str(tmp_path / "snap")
+    tables.write_snapshot(rows, path, params=params)
+    assert spark.read.parquet(path).count() == 40 and set(spark.read.parquet(path).columns) == set(rows.columns)
+    assert {r["step"]: r["params"] for r in tables.read_step_params(spark, path).collect()} == {1: {"Omega": "0.26", "Nx": "8"}, 2: {"Omega": "0.26"}}
