@@ -150,6 +150,12 @@ def fisheye_pixel(dx: Column, dy: Column, dz: Column, size: int) -> tuple[Column
     return angle, F.floor(size / 2 + scale * F.cos(turn)).cast("long"), F.floor(size / 2 + scale * F.sin(turn)).cast("long")
 
 
+def view_pixel(d: list[Column], ahead: list[Column], right: list[Column], up: list[Column], size: int) -> tuple[Column, Column, Column]:
+    """(angle, column, row) of a direction for a camera that looks ahead, with unit vectors to its right and up."""
+    along = lambda v: d[0] * v[0] + d[1] * v[1] + d[2] * v[2]
+    return fisheye_pixel(along(right), along(up), along(ahead), size)
+
+
 def sphericity(q: Column, s: Column) -> Column:
     """P17."""
     return F.sqrt(q * s)

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fisheye_pixel, min_image_signed, rotate_disk
+from ..functions.scalars import fisheye_pixel, min_image_signed, rotate_disk, view_pixel
 from .filters import shell_zone
 
 
@@ -104,6 +104,31 @@ def observer_image(particles: DataFrame, camera: DataFrame, size: int) -> DataFr
     return rows.select("frame", angle.alias("angle"), mx.alias("mx"), my.alias("my"), light.alias("light")).filter(F.col("angle") < math.pi / 2).groupBy("frame", "mx", "my").agg(F.sum("light").alias("light"))
 
 
+def observer_images(particles: DataFrame, camera: DataFrame, size: int, box: int, images: list[tuple[int, int, int]], cells: int = 16) -> DataFrame:
+    """(frame, mx, my, light) of a camera list (frame, cx, cy, cz, tau, ahead, right, up; unit vectors as arrays) that sees the periodic images of
+    the box: the sum of exp(-r/tau)/r^2 of what is in front and nearer than five tau, by pixel.
+
+    Each frame lists the cells of each image that its sphere of five tau touches and that are not all behind it, and particles meet the
+    frames of their cell only."""
+    wide = box / cells
+    seen = camera.withColumn("_i", F.explode(F.array(*(F.struct(*(F.lit(float(v * box)).alias(c) for c, v in zip("xyz", o))) for o in images))))
+    seen = seen.withColumns({f"o{c}": F.col(f"c{c}") + F.col(f"_i.{c}") for c in "xyz"}).drop("_i", "cx", "cy", "cz").withColumns({"_near": F.lit(0.0), "_front": F.lit(0.0)})
+    for k, c in enumerate("xyz"):
+        seen = seen.withColumn(f"_{c}", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        low, high = F.col(f"_{c}") * wide - F.col(f"o{c}"), (F.col(f"_{c}") + 1) * wide - F.col(f"o{c}")
+        gap = F.greatest(low, -high, F.lit(0.0))
+        seen = seen.withColumns({"_near": F.col("_near") + gap * gap, "_front": F.col("_front") + F.greatest(low * F.col("ahead")[k], high * F.col("ahead")[k])}).filter(F.col("_near") <= 25 * F.col("tau") * F.col("tau"))
+    seen = seen.filter(F.col("_front") >= 0).drop("_near", "_front").withColumns({f"_{c}": F.col(f"_{c}").cast("long") for c in "xyz"})
+    cell = lambda c: F.least(F.floor(F.col(c) / wide), F.lit(cells - 1)).cast("long")
+    rows = particles.select(*(F.col(c).cast("double").alias(c) for c in "xyz"), *(cell(c).alias(f"_{c}") for c in "xyz")).join(seen, ["_x", "_y", "_z"])
+    d = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
+    rows = rows.withColumn("r", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).filter((F.col("r") > 0) & (F.col("r") <= 5 * F.col("tau")))
+    angle, mx, my = view_pixel(d, *([F.col(v)[k] for k in range(3)] for v in ("ahead", "right", "up")), size)
+    light = F.exp(-F.col("r") / F.col("tau")) / (F.col("r") * F.col("r"))
+    rows = rows.select("frame", angle.alias("angle"), mx.alias("mx"), my.alias("my"), light.alias("light")).filter((F.col("angle") <= math.pi / 2) & F.col("mx").between(0, size - 1) & F.col("my").between(0, size - 1))
+    return rows.groupBy("frame", "mx", "my").agg(F.sum("light").alias("light"))
+
+
 def write_cone(cone: DataFrame, path: str) -> None:
     """A folder for each observer, zone and step."""
     cone.write.partitionBy("iobs", "type", "step").parquet(path)

@@ -212,6 +212,40 @@ def a33_observer_image(spark, sf):
     return cone.observer_image(particles(spark, sf), cam, 64).select("frame", "mx", "my", F.round(F.col("light") * 1000000, 6).alias("light"))
 
 
+def _view(turn: float, tilt: float) -> tuple[list[float], list[float], list[float]]:
+    """Unit vectors ahead, right and up of a camera that is turned about z and then tilted."""
+    ct, st, cp, sp = math.cos(turn), math.sin(turn), math.cos(tilt), math.sin(tilt)
+    return [ct * cp, st * cp, sp], [st, -ct, 0.0], [-ct * sp, -st * sp, cp]
+
+
+#: Four frames that look in different directions over the faces of the box, and the images of the box that they see.
+VIEWS = [(k, 3000.5 + 3400 * k, 14000.5 - 2900 * k, 900.5 + 4800 * k, 700.0 + 150 * k, *_view(0.7 + 1.9 * k, 0.4 - 0.5 * k)) for k in range(4)]
+VIEW_IMAGES = [(0, 0, 0), (-1, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
+_VIEWS = ", ".join(f"({k}, {x}e0, {y}e0, {z}e0, {t}e0, {', '.join(f'{v!r}::DOUBLE' for u in axes for v in u)})" for k, x, y, z, t, *axes in VIEWS)
+_ALONG = {n: " + ".join(f"d{c}*{n}{c}" for c in "xyz") for n in "ahu"}
+
+
+@query(f"""WITH f(frame, cx, cy, cz, tau, ax, ay, az, hx, hy, hz, ux, uy, uz) AS (VALUES {_VIEWS}), i(sx, sy, sz) AS (VALUES {', '.join(str(tuple(v * BOX for v in o)) for o in VIEW_IMAGES)}),
+d AS (SELECT f.*, x-(cx+sx) AS dx, y-(cy+sy) AS dy, z-(cz+sz) AS dz FROM ({PARTICLES}), f, i), r AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS r, {', '.join(f'{e} AS v{n}' for n, e in _ALONG.items())} FROM d WHERE dx*dx+dy*dy+dz*dz <= 25.1e0*tau*tau),
+p AS (SELECT frame, acos(va/sqrt(vh*vh+vu*vu+va*va)) AS angle, atan2(vu, vh) AS turn, exp(-r/tau)/(r*r) AS light FROM r WHERE r > 0 AND r <= 5*tau),
+q AS (SELECT frame, CAST(floor(32 + angle/{math.pi / 2!r}*32e0*cos(turn)) AS BIGINT) AS mx, CAST(floor(32 + angle/{math.pi / 2!r}*32e0*sin(turn)) AS BIGINT) AS my, light FROM p WHERE angle <= {math.pi / 2!r})
+SELECT CAST(frame AS INTEGER) AS frame, mx, my, round(sum(light)*1000000, 6) AS light FROM q WHERE mx BETWEEN 0 AND 63 AND my BETWEEN 0 AND 63 GROUP BY 1, 2, 3""")
+def a33_observer_images(spark, sf):
+    """Cameras that look along axes of their own, over periodic images."""
+    cam = spark.createDataFrame(VIEWS, "frame int, cx double, cy double, cz double, tau double, ahead array<double>, right array<double>, up array<double>")
+    out = cone.observer_images(particles(spark, sf), cam, 64, BOX, VIEW_IMAGES)
+    return out.select("frame", "mx", "my", F.round(F.col("light") * 1000000, 6).alias("light"))
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS total FROM ({PARTICLES})")
+def a36_load_of_tasks(spark, sf):
+    """The imbalance measured on tasks themselves, which hold all rows together; where ranges end is by sampling."""
+    p = particles(spark, sf).withColumn("slab", F.expr("z div 2048"))
+    ranged = p.repartitionByRange(8, "slab")
+    measured = lookups.load_imbalance(ranged)
+    return measured.filter("below between 0 and 1 and above >= 0").select(F.round(F.col("mean") * F.col("parts")).cast("long").alias("total"))
+
+
 @query(f"SELECT hid, mass FROM ({HALO_PROPS}) ORDER BY mass DESC, hid LIMIT 1")
 def a34_heaviest(spark, sf):
     return lookups.top_n(halo_props(spark, sf).select("hid", "mass"), 1, F.desc("mass"), F.col("hid"))
