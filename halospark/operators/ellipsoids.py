@@ -71,7 +71,9 @@ def overlap_pairs(subhalos: DataFrame, box: float) -> DataFrame:
                 hit[s] = (j_in_i <= 1) | (i_in_j <= 1) | ((to_i * to_i).sum(axis=1) <= 1)
             yield pdf.loc[hit, ["i", "j"]]
 
-    return pairs.mapInPandas(test, "i long, j long")
+    # pairs are few bytes and much work, so they are dealt out and not put together by size
+    tasks = int(subhalos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(tasks, "i", "j").mapInPandas(test, "i long, j long")
 
 
 def merge_ellipsoids(subhalos: DataFrame, pairs: DataFrame) -> DataFrame:

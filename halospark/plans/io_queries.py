@@ -170,6 +170,16 @@ def r1_stream_products(spark, sf):
     return spark.read.parquet(out).select("step", "hid", "np")
 
 
+@query(f"SELECT step, hid, CAST(count(*) AS BIGINT) AS np, CAST(sum(e) AS BIGINT) AS total, CAST(min(e) AS BIGINT) AS least FROM ({MEMBERS}) WHERE step IN (0, 2, 4) GROUP BY 1, 2")
+def r1_stream_totals(spark, sf):
+    """The same steps from state that is kept between batches."""
+    path, out = shared_dir(spark), shared_dir(spark)
+    schema = _arrive(spark, members(spark, sf), path)
+    due = spark.createDataFrame([(0,), (2,), (4,)], "step int")
+    products.stream_totals(products.arriving(spark, path, schema, BATCH), out, shared_dir(spark), due, ["hid"], {"np": F.count("*"), "total": F.sum("e"), "least": F.min("e")})
+    return products.latest(spark, out, ["hid"]).select("step", "hid", "np", "total", "least")
+
+
 @query(f"WITH m AS ({MEMBERS}) SELECT a.indx, a.step, round(0.9e0*a.e + 0.6e0*(b.e - 0.8e0*a.e), 6) AS v FROM m a JOIN m b ON b.indx = a.indx AND b.step = a.step + 1")
 def r2_stream_cone_sync(spark, sf):
     path, out = shared_dir(spark), shared_dir(spark)

@@ -41,6 +41,28 @@ def stream_products(stream: DataFrame, out: str, landed: str, checkpoint: str, d
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_totals(stream: DataFrame, out: str, checkpoint: str, due: DataFrame, keys: list[str], totals: dict[str, F.Column]) -> None:
+    """Totals (name -> aggregate) by step and keys of the steps of `due`, kept in the stream's state: a batch costs its own rows and the
+    groups that they change, however many batches a step comes in.
+
+    Each batch writes the groups it has changed, whole, as a version of its number, which appears at once when it is done, and replaces what an
+    earlier try of it has written. latest() reads the last state of each group. Rows of other steps are not kept."""
+    rows = stream.join(F.broadcast(due.select("step").distinct()), "step", "left_semi")  # a row a step
+    state = rows.groupBy("step", *keys).agg(*(c.alias(n) for n, c in totals.items()))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/version={number}")
+
+    state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last version of each group that stream_totals() has written, by step and keys."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in ("version", "step", *keys)]
+    return rows.groupBy("step", *keys).agg(F.max_by(F.struct(*rest), "version").alias("last")).select("step", *keys, "last.*")
+
+
 def stream_cone_sync(candidates: DataFrame, velocities: DataFrame, gv1: float, gv2: float, vf1: float, delay: str = "1 hour") -> DataFrame:
     """R2: cone candidates (indx, step, ts, v0) matched with their velocities (indx, step, ts, v1) of the next step, as a join of two streams.
 
