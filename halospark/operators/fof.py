@@ -78,6 +78,42 @@ def _blocks(df: DataFrame, b: int, box: int, edge: int) -> DataFrame:
     return df.withColumn("_block", (F.col("_bx") * n + F.col("_by")) * n + F.col("_bz"))
 
 
+def _halvings(rows: DataFrame, b: int, edge: int, most: int) -> DataFrame:
+    """(_bx, _by, _bz, _k): how often blocks of over `most` rows (id, x, y, z) are halved along each axis: until no part has more, or until
+    parts would be under 2 b + 1 wide."""
+    deepest = 0
+    while edge % (2 << deepest) == 0 and edge >> (deepest + 1) > 2 * b:
+        deepest += 1
+    block = [F.expr(f"{c} div {edge}").alias(f"_b{c}") for c in "xyz"]
+    if not deepest:
+        return rows.select(*block, F.lit(0).alias("_k")).limit(0)
+    fine = rows.groupBy(*block, *(F.expr(f"({c} % {edge}) div {edge >> deepest}").alias(f"_s{c}") for c in "xyz")).agg(F.count("*").alias("n"))
+    over = fine.groupBy("_bx", "_by", "_bz").agg(F.sum("n").alias("all")).filter(F.col("all") > most).select("_bx", "_by", "_bz")
+    fine = cut(fine.join(over, ["_bx", "_by", "_bz"], "left_semi"))
+    enough = None
+    for k in range(1, deepest + 1):
+        parts = fine.groupBy("_bx", "_by", "_bz", *(F.shiftright(f"_s{c}", deepest - k).alias(f"_s{c}") for c in "xyz")).agg(F.sum("n").alias("n"))
+        largest = parts.groupBy("_bx", "_by", "_bz").agg(F.max("n").alias("n")).filter((F.col("n") <= most) | F.lit(k == deepest)).select("_bx", "_by", "_bz", F.lit(k).alias("_k"))
+        enough = largest if enough is None else enough.unionByName(largest)
+    return cut(enough.groupBy("_bx", "_by", "_bz").agg(F.min("_k").alias("_k")))
+
+
+def _parts(df: DataFrame, b: int, box: int, edge: int, halvings: DataFrame) -> DataFrame:
+    """As _blocks(), but blocks in halvings are cut in parts. A part is over 2 b wide, so it is at most b away from a row exactly if it
+    holds one of the points that are b below, at or b above the row along each axis."""
+    n = box // edge
+    for c in "xyz":
+        df = df.withColumn(f"_t{c}", F.explode(F.array(*(F.col(c) + d for d in (-b, 0, b)))))
+        df = df.withColumn(f"_p{c}", F.when(F.col(f"_t{c}") < 0, F.col(c) + box).when(F.col(f"_t{c}") >= box, F.col(c) - box).otherwise(F.col(c)))
+        df = df.withColumn(f"_t{c}", F.pmod(f"_t{c}", F.lit(box))).withColumn(f"_b{c}", F.expr(f"_t{c} div {edge}"))
+    df = df.join(halvings, ["_bx", "_by", "_bz"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    part = [F.expr(f"(_t{c} % {edge}) div shiftright({edge}, _k)") for c in "xyz"]
+    block = (F.col("_bx") * n + F.col("_by")) * n + F.col("_bz")
+    for p in part:
+        block = block * edge + p
+    return df.withColumn("_block", block).dropDuplicates(["id", "_block"])
+
+
 def block_edge(b: int, box: int, blocks: int) -> int:
     """The edge of about `blocks` blocks per axis, at least 3, that divide the box and are over 2 b wide."""
     fit = [n for n in range(3, max(4, box // (2 * b + 1) + 1)) if box % n == 0]
@@ -88,18 +124,21 @@ def block_edge(b: int, box: int, blocks: int) -> int:
 BLOCK_ROWS = 200_000
 
 
-def fof_groups(particles: DataFrame, b: int, box: int, blocks: int | None = None, key: str = "indx") -> DataFrame:
+def fof_groups(particles: DataFrame, b: int, box: int, blocks: int | None = None, key: str = "indx", most: int = 2 * BLOCK_ROWS) -> DataFrame:
     """(key, label): the smallest key of each particle's group, linking particles at most b apart (inclusive, periodic).
 
     Blocks with ghosts of width b are grouped by themselves, one task's rows at a time; ghosts that got two labels give edges
     of a graph of labels, which only holds labels at block faces and whose components merge the groups. The number of
-    blocks an axis follows the particles' number by default, 8 at least, and sets how many a task holds at once."""
+    blocks an axis follows the particles' number by default, 8 at least, and sets how many a task holds at once; a block of over `most`
+    particles is halved until its parts hold no more, as far as the linking length lets it."""
     if blocks is None:
         blocks = max(8, math.ceil((particles.count() / BLOCK_ROWS) ** (1 / 3)))
     edge = block_edge(b, box, blocks)
     if box // edge < 3:
         raise ValueError("the box is less than three blocks wide")
-    dealt = _blocks(particles.select(F.col(key).alias("id"), "x", "y", "z"), b, box, edge)
+    rows = particles.select(F.col(key).alias("id"), "x", "y", "z")
+    halvings = _halvings(rows, b, edge, most)
+    dealt = _blocks(rows, b, box, edge) if halvings.isEmpty() else _parts(rows, b, box, edge, halvings)
     dealt = dealt.select("_block", "id", F.col("_px").cast("double").alias("x"), F.col("_py").cast("double").alias("y"), F.col("_pz").cast("double").alias("z"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -130,3 +130,14 @@ def test_labels_of_a_dense_cell_are_found_in_bounded_parts(monkeypatch):
             if ((pos[i] - pos[j]) ** 2).sum() <= 1.5**2:
                 up[max(root(i), root(j), key=lambda k: ids[k])] = min(root(i), root(j), key=lambda k: ids[k])
     assert [ids[root(i)] for i in range(len(pos))] == label.tolist()
+
+
+def test_dense_blocks_are_halved(spark):
+    """Clumps at faces, edges and corners of the box in a few blocks: parts of different sizes side by side give the same groups."""
+    rng = np.random.default_rng(14)
+    rows = [(int(i), *map(int, p)) for i, p in enumerate(np.concatenate([points(5, 250), [(0, *(rng.normal(c, 40, 3)).round().astype(int) % BOX) for c in ((0, 0, 0), (512, 512, 500), (250, 30, 900)) for _ in range(150)]])[:, 1:])]
+    df, want = frame(spark, rows), brute_labels(rows)
+    halved = fof._halvings(df.withColumnRenamed("indx", "id"), B, 256, 20)
+    assert {r["_k"] for r in halved.collect()} >= {1, 2}
+    got = [{r["indx"]: r["label"] for r in fof.fof_groups(df, B, BOX, 4, most=m).collect()} for m in (20, 10**6)]
+    assert got[0] == got[1] == want

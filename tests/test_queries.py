@@ -12,7 +12,7 @@ from halospark.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 #: One of each kind; the driver compares all.
-SOME = ("p3_min_image", "p9_flags", "f3_shell_filter", "j1_fixed_radius_pairs", "g1_fof_groups", "a1_halo_catalog", "a6_pair_potential", "a15_deposit_tsc", "a20_power_spectrum", "a23_mass_function", "a29_mass_accretion_history", "a32_column_contour", "j3_assign_observer", "j14_trace_down", "j17_snapshot_schedule", "t2_build_tree", "t3_sort_by_major_gid", "s1_read_snapshot", "r1_stream_products", "r3_stream_link", "v1_missing_link_fraction", "h2_density_peaks", "c2_disk_lightcone")
+SOME = ("p3_min_image", "p9_flags", "f3_shell_filter", "j1_fixed_radius_pairs", "g1_fof_groups", "a1_halo_catalog", "a6_pair_potential", "a15_deposit_tsc", "a20_power_spectrum", "a23_mass_function", "a29_mass_accretion_history", "a32_column_contour", "j3_assign_observer", "j14_trace_down", "j17_snapshot_schedule", "t2_build_tree", "t3_sort_by_major_gid", "s1_read_snapshot", "r1_stream_products", "r3_stream_link", "v1_missing_link_fraction", "h2_density_peaks", "h3_separate_contours", "c2_disk_lightcone", "c1_cone_run")
 
 
 def plain(v):
