@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import attach, cut, table
 
 ENTROPY, REPEATS, BUDGET, SEED = 0.97, 4.0, 1.0, 17
+#: Of the query: nearly even sources, at most four times each, half as many tokens again, so that sources repeat and end within a permutation.
+EVEN, TIMES, MORE = 0.999, 4.0, 1.5
 WORD = r"[^\x20\x09-\x0D]+"
 WAYS, ROUNDS, DIGITS = 32, 9, 9
 #: Rows that a block of a permutation has on average, at most.
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_key")
+    return mix(table(spark, sf_dir, "documents"), entropy=EVEN, repeats=TIMES, budget=MORE).select("doc_id", "source", "mix_epoch", "mix_key")
 
 
 SQL = f"""
@@ -118,12 +120,12 @@ b(i, elo, ehi, rlo, rhi) AS (
   UNION ALL
   SELECT i + 1, CASE WHEN eok THEN elo ELSE (elo + ehi) / 2 END, CASE WHEN eok THEN (elo + ehi) / 2 ELSE ehi END,
          CASE WHEN rok THEN rlo ELSE (rlo + rhi) / 2 END, CASE WHEN rok THEN (rlo + rhi) / 2 ELSE rhi END
-  FROM (SELECT i, elo, ehi, rlo, rhi, max(e.h) <= {ENTROPY} * max(e.full_h) AS eok, {BUDGET} * max(e.rep) <= {REPEATS} AS rok FROM (
+  FROM (SELECT i, elo, ehi, rlo, rhi, max(e.h) <= {EVEN} * max(e.full_h) AS eok, {MORE}e0 * max(e.rep) <= {TIMES} AS rok FROM (
     SELECT b.*, ln(es) - (elo + ehi) / 2 * el / es AS h, ln(n) AS full_h, pow(pmin, (rlo + rhi) / 2 - 1) / rs AS rep FROM (
       SELECT b.i, b.elo, b.ehi, b.rlo, b.rhi, sum(pow(p.p, (elo + ehi) / 2)) AS es, sum(pow(p.p, (elo + ehi) / 2) * ln(p.p)) AS el,
              sum(pow(p.p, (rlo + rhi) / 2)) AS rs, min(p.p) AS pmin, CAST(count(*) AS DOUBLE) AS n FROM b, p WHERE b.i < 48 GROUP BY ALL) b) e GROUP BY ALL)),
 a AS (SELECT round(greatest(CASE WHEN ehi < 1e-12 THEN 0 ELSE ehi END, CASE WHEN rhi < 1e-12 THEN 0 ELSE rhi END), {DIGITS}) AS a FROM b WHERE i = 48),
-w AS MATERIALIZED (SELECT source, t, CAST(floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM p, a) * CAST({BUDGET} * (SELECT sum(t) FROM s) AS DOUBLE)) AS BIGINT) AS quota FROM p, a),
+w AS MATERIALIZED (SELECT source, t, CAST(floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM p, a) * CAST({MORE}e0 * (SELECT sum(t) FROM s) AS DOUBLE)) AS BIGINT) AS quota FROM p, a),
 k AS (SELECT d.doc_id, d.source, d.tokens, w.quota // w.t AS epochs, w.quota % w.t AS rest, md5('{SEED}:' || CAST(w.quota // w.t AS VARCHAR) || ':' || CAST(d.doc_id AS VARCHAR)) AS key FROM d JOIN w USING (source)),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY key) AS upto FROM k),
 n AS (SELECT doc_id, source, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS n FROM c)
