@@ -250,3 +250,32 @@ def test_drop_similar_on_given_documents(spark):
     roots, _ = jaccard_groups([r["text"] for r in rows])
     got = near_copies.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in got) == sorted({rows[k]["doc_id"] for k in roots})
+
+
+@pytest.mark.parametrize("before", [1, 8])
+def test_texts_are_found_by_their_rarest_shingles(spark, monkeypatch, before):
+    """All pairs of which one looks and that are similar come out, whatever runs of shingles they share, and each once."""
+    from halospark.llm import near_copies as N
+
+    monkeypatch.setattr(N, "BEFORE", before)
+    rng = random.Random(29)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(n)] for n in (40, 90, 90, 300)]
+    base[2][:60] = base[1][:60]  # a passage of both
+    texts = []
+    for b in base:
+        for k in range(30):
+            t = list(b)
+            for _ in range(k % 6 * len(b) // 300 + k % 2):
+                t[rng.randrange(len(t))] = f"v{rng.randrange(9000)}"
+            texts.append(" ".join(t[: len(t) - k % 5 * len(b) // 60]))
+    of = N._Hashes()
+    sets = [{int(h) for h in N._shingle_hashes(N._words(t), N.WORDS, of).view("int64")} for t in texts]
+    found = [N.sketch(t, of) for t in texts]
+    signed = lambda a: [int(v) for v in a.view("int64")]
+    sketches = spark.createDataFrame([(i, f[0] - (f[0] >> 63 << 64), signed(f[2]), f[3]) for i, f in enumerate(found)], "node long, fp long, sig array<long>, size int")
+    rows = spark.createDataFrame([(i, i // 2, sorted(s)) for i, s in enumerate(sets)], "node long, root long, set array<long>")
+    own = [i for i in range(len(texts)) if i % 3]
+    similar = lambda i, j: len(sets[i] & sets[j]) >= N.JACCARD * len(sets[i] | sets[j]) - 1e-9
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if (i % 3 or j % 3) and i // 2 != j // 2 and similar(i, j)}
+    got = [tuple(r) for r in N._rare(spark.createDataFrame([(i,) for i in own], "node long"), rows, sketches).collect()]
+    assert len(want) > 100 and want <= set(got) and len(got) == len(set(got))
