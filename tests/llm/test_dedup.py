@@ -252,12 +252,10 @@ def test_drop_similar_on_given_documents(spark):
     assert sorted(r["doc_id"] for r in got) == sorted({rows[k]["doc_id"] for k in roots})
 
 
-@pytest.mark.parametrize("before", [1, 8])
-def test_texts_are_found_by_their_rarest_shingles(spark, monkeypatch, before):
+def test_texts_are_found_by_their_rarest_shingles(spark):
     """All pairs of which one looks and that are similar come out, whatever runs of shingles they share, and each once."""
     from halospark.llm import near_copies as N
 
-    monkeypatch.setattr(N, "BEFORE", before)
     rng = random.Random(29)
     base = [[f"w{rng.randrange(4000)}" for _ in range(n)] for n in (40, 90, 90, 300)]
     base[2][:60] = base[1][:60]  # a passage of both
