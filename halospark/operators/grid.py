@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,26 @@ def gather(points: DataFrame, cells: DataFrame, q: dict[str, Column], value: str
     return met.groupBy(*keys, key).agg(F.sum(F.col("w") * F.coalesce(value, F.lit(0.0))).alias(value))
 
 
+def deposit_and_gather(points: DataFrame, q: dict[str, Column], h: Column, value: str, keys: tuple[str, ...], key: str = "indx") -> DataFrame:
+    """H1: (*keys, key, value): gather() of what deposit_adaptive() makes of the same points, in one aggregation by cell, to which points give and
+    from which they read; so points that are dealt by the keys are not shuffled again."""
+    rows = points.select(*keys, key, *(q[c].cast("double").alias(f"q{c}") for c in "xyz"), F.greatest(F.coalesce(h, F.lit(0.5)), F.lit(0.5)).alias("h"), F.lit(0.0).alias("r2"))
+    low = {c: F.floor(f"q{c}") for c in "xyz"}
+    share = {c: (1 - (F.col(f"q{c}") - low[c]), F.col(f"q{c}") - low[c]) for c in "xyz"}
+    eight = [F.struct(*((low[c] + d).cast("long").alias(c) for c, d in zip("xyz", o)), (share["x"][o[0]] * share["y"][o[1]] * share["z"][o[2]]).alias("w")) for o in product((0, 1), repeat=3)]
+    gives = F.lit(None).cast("struct<x: bigint, y: bigint, z: bigint, w: double>")
+    rows = rows.withColumn("_e", F.explode(F.array(gives, *eight))).withColumn("_reads", F.col("_e").isNotNull())
+    for c in "xyz":
+        span = [F.when(F.col("_reads"), F.col(f"_e.{c}")).otherwise(end) for end in (F.ceil(F.col(f"q{c}") - 2 * F.col("h")), F.floor(F.col(f"q{c}") + 2 * F.col("h")))]
+        rows = rows.withColumn(f"i{c}", F.explode(F.sequence(*span)))
+        d = F.col(f"i{c}") - F.col(f"q{c}")
+        rows = rows.withColumn("r2", F.col("r2") + d * d).filter(F.col("_reads") | (F.col("r2") < 4 * F.col("h") * F.col("h")))
+    read = F.collect_list(F.when(F.col("_reads"), F.struct(key, F.col("_e.w").alias("w"))))
+    cells = rows.groupBy(*keys, "ix", "iy", "iz").agg(F.sum(F.when(~F.col("_reads"), w4_kernel(F.sqrt("r2"), F.col("h")))).alias(value), read.alias("_read"))
+    met = cells.select(*keys, value, F.explode("_read").alias("_r"))
+    return met.select(*keys, F.col(f"_r.{key}").alias(key), (F.col("_r.w") * F.coalesce(value, F.lit(0.0))).alias(value)).groupBy(*keys, key).agg(F.sum(value).alias(value))
+
+
 def column_contour(cells: DataFrame, column: str, place: str, value: str, levels: int = 8) -> DataFrame:
     """(column, level, outside): for thresholds k/levels of each column's maximum, the mass outside the connected run above the threshold around the peak."""
     from pyspark.sql import Window
