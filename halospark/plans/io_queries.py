@@ -187,9 +187,8 @@ def r2_stream_cone_sync(spark, sf):
     schema = _arrive(spark, timed, path)
     a = products.arriving(spark, path, schema, FILES * STEPS).withColumnRenamed("v", "v0")
     b = products.arriving(spark, path, schema, FILES * STEPS).withColumnRenamed("v", "v1")
-    joined = products.stream_cone_sync(a, b, 0.9, 0.6, 0.8)
-    joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_dir(spark)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("indx", "step", F.round("v", 6).alias("v"))
+    products.stream_cone_sync(a, b, out, shared_dir(spark), shared_dir(spark), 0.9, 0.6, 0.8)
+    return spark.read.schema("indx long, step int, v double").parquet(out).select("indx", "step", F.round("v", 6).alias("v"))
 
 
 @query(f"WITH {links_sql()} SELECT {', '.join(L.LINKS)} FROM links")
