@@ -37,14 +37,20 @@ def seen_by(particles: DataFrame, observers: DataFrame, box: int, low: int, high
     cell = lambda c: F.least(F.floor(F.col(c) * n / box), F.lit(n - 1)).cast("long")
     around = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("abc", o))) for o in product((-1, 0, 1), repeat=3)))
     near = observers.withColumn("_o", F.explode(around)).withColumns({f"_{c}": F.pmod(cell(f"o{c}") + F.col(f"_o.{k}"), F.lit(n)) for c, k in zip("xyz", "abc")}).drop("_o").distinct()
+    d = lambda c, o: min_image_signed(F.col(c) - o, box)
+    if first:  # a row is looked at with all observers of its cell, so rows are not multiplied and their first observer is known where they are
+        near = near.groupBy("_x", "_y", "_z").agg(F.sort_array(F.collect_list(F.struct("iobs", "ox", "oy", "oz"))).alias("_obs"))
+        rows = particles.withColumns({f"_{c}": cell(c) for c in "xyz"}).join(F.broadcast(near), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
+        from_there = lambda o: [d(c, o[f"o{c}"]) for c in "xyz"]
+        square = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+        seen = F.filter("_obs", lambda o: (square(from_there(o)) >= low * low) & (square(from_there(o)) < high * high))
+        rows = rows.withColumn("_o", F.get(seen, F.lit(0))).drop("_obs").filter("_o is not null")
+        rows = rows.withColumn("iobs", F.col("_o.iobs")).withColumns({f"d{c}": d(c, F.col(f"_o.o{c}")) for c in "xyz"}).drop("_o")
+        rows = rows.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+        return rows.select(key, "iobs", *(c for c in rows.columns if c not in (key, "iobs")))
     rows = particles.withColumns({f"_{c}": cell(c) for c in "xyz"}).join(F.broadcast(near), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
-    d = {f"d{c}": min_image_signed(F.col(c) - F.col(f"o{c}"), box) for c in "xyz"}
-    rows = rows.withColumns(d).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
-    rows = rows.filter((F.col("r2") >= low * low) & (F.col("r2") < high * high)).drop("ox", "oy", "oz")
-    if not first:
-        return rows
-    rest = [c for c in rows.columns if c not in (key, "iobs")]
-    return rows.groupBy(key).agg(F.min(F.struct("iobs", *rest)).alias("m")).select(key, "m.*")
+    rows = rows.withColumns({f"d{c}": d(c, F.col(f"o{c}")) for c in "xyz"}).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    return rows.filter((F.col("r2") >= low * low) & (F.col("r2") < high * high)).drop("ox", "oy", "oz")
 
 
 def spherical_cone(particles: DataFrame, observers: DataFrame, box: int, r1: int, r2: int, maxd: int) -> DataFrame:
