@@ -1,4 +1,4 @@
-"""Groups of near copies for the pipeline: SimHash fingerprints within a wide radius, verified by exact Jaccard similarity.
+"""Groups of near copies for the pipeline: searches for SimHash fingerprints within a wide radius in BK-trees, verified by exact Jaccard similarity.
 
 Sets are five-word shingles, and rows link at a Jaccard similarity of 0.8 or more. At 0.8 the 64-bit SimHashes of two sets
 differ in 10 bits on average and in more than RADIUS once in a million pairs. So wide a radius leaves no fingerprint block in
@@ -8,10 +8,12 @@ are alike (at 0.8, all but once in a million pairs), are verified on the shingle
 
 A text of which over a fifth of the shingles are in no other text of a shard cannot have the similarity with any, as J is at
 most the part that is shared. Such texts are taken out first, again and again as their leaving makes others' shingles rare. What is
-left are mostly texts near the middle of their groups. Of these, a shard's members first meet its leader, the member with the fewest lone
-shingles. A text that isn't connected with the largest group of each of its shards is then looked for by its rarest shingles: in one
-order of all shingles, the first fifths and one more of two similar texts have one in common. So a group of n near copies costs about n
-pairs, those that nothing links meet only texts that share what is rare in them, and no link is left out."""
+left are mostly texts near the middle of their groups. Of these, a task builds a BK-tree of the fingerprints of each shard and searches it with every
+member, those with the fewest lone shingles first. What finds a likely copy in the tree is a pair with it; only what finds none goes into the tree, which
+so holds a few texts of each group and stays small. Shards of more than TREE members are cut in parts, each with a tree of its own that begins with
+the shard's first member. Exact similarity decides on the pairs. A text that this doesn't connect with the largest group of each of its shards is then
+looked for by its rarest shingles: in one order of all shingles, the first fifths and one more of two similar texts have one in common. So a group of n
+near copies costs about n pairs, those that nothing links meet only texts that share what is rare in them, and no link is left out."""
 
 from __future__ import annotations
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, attach, components, cut, discard, drop_copies, text_digest
 from .decontaminate import _Hashes, _shingle_hashes, words_of
+from .simhash import BKTree
 
 WORDS, JACCARD, RADIUS = 5, 0.8, 24
 BANDS, PER = 24, 4
@@ -29,11 +32,14 @@ BANDS, PER = 24, 4
 AGREE = 60
 #: Texts of one shingle that a task looks from, about.
 TILE = 2000
+#: Members of a shard, or of a part of it, that one tree is searched with, about; pairs that a member comes out in, nearest first.
+TREE, FEW = 2000, 4
 #: How often texts with too many lone shingles are taken out.
 PRUNES = 3
 LONGS = BANDS * PER // 16
 _MULT = np.random.default_rng(5).integers(0, 2**63, BANDS * PER, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(6).integers(0, 2**63, BANDS * PER, np.uint64) * np.uint64(2) + np.uint64(1)
+_NIBBLES = int("1" * BANDS * PER, 16)
 _SHIFT = np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -66,6 +72,59 @@ def _near() -> F.Column:
     return F.expr(f"least(size, size_b) >= {JACCARD} * greatest(size, size_b) - 1e-9 AND bit_count(fp ^ fp_b) <= {RADIUS} AND {ones} <= {BANDS * PER - AGREE}")
 
 
+class _Tree:
+    """A BK-tree of the fingerprints of texts of which no two are likely to be similar, by _near()'s rule."""
+
+    def __init__(self):
+        self.tree, self.texts = BKTree(), {}
+
+    def meet(self, node: int, fp: int, sig: int, size: int) -> list[int]:
+        """The FEW nearest texts of the tree that may be similar; if there are none, the text goes into it."""
+        found = []
+        for k in self.tree.within(fp, RADIUS):
+            v = self.tree.values[k]
+            for other, its_sig, its_size in self.texts[v]:
+                d = sig ^ its_sig
+                if min(size, its_size) >= JACCARD * max(size, its_size) - 1e-9 and ((d | d >> 1 | d >> 2 | d >> 3) & _NIBBLES).bit_count() <= BANDS * PER - AGREE:
+                    found.append(((v ^ fp).bit_count(), other))
+        if not found:
+            if fp not in self.texts:
+                self.tree.add(fp)
+            self.texts.setdefault(fp, []).append((node, sig, size))
+        return [other for _, other in sorted(found)[:FEW]]
+
+
+def _by_trees(shared: DataFrame, sketches: DataFrame, tree: int = TREE) -> DataFrame:
+    """(a, b), each once: pairs that searches in the BK-trees of the shards find; shared: (node, key, lone), a row for each shard of a node.
+
+    A shard of more than `tree` members is dealt by node to parts of about so many. Its first member is in each, so parts of one group are linked."""
+    firsts = cut(shared.groupBy("key").agg(F.min(F.struct("lone", "node")).alias("l"), F.count("*").alias("many")).select("key", F.col("l.node").alias("first"), "many"))
+    rows = attach(shared, firsts, ["key"], "many", shared.count()).withColumn("parts", F.ceil(F.col("many") / tree).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    rows = rows.join(sketches, "node").select("key", "part", "node", "fp", "sig", "size", (F.col("node") != F.col("first")).alias("later"), "lone")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "later", "lone", "node").select("key", "part", "node", "fp", "sig", "size")
+
+    def search(batches):
+        at, held = None, None
+        for b in batches:
+            key, part, node, fp, sig, size = (b.column(k) for k in range(6))
+            sigs = sig.flatten().to_numpy().astype("<i8").tobytes()
+            pairs = []
+            fps = fp.to_numpy().view(np.uint64).tolist()
+            for k, (of, n, f, m) in enumerate(zip(zip(key.to_pylist(), part.to_pylist()), node.to_pylist(), fps, size.to_pylist())):
+                if of != at:
+                    at, held = of, _Tree()
+                s = int.from_bytes(sigs[8 * LONGS * k : 8 * LONGS * (k + 1)], "little")
+                pairs += ((min(n, other), max(n, other)) for other in held.meet(n, f, s, m))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
+
+    out = cut(rows.mapInArrow(search, "a long, b long").distinct())
+    discard(firsts)
+    return out
+
+
 def _similar() -> F.Column:
     """Whether set_a and set_b, arrays of the shingles' hashes, have the similarity asked for; two empty ones have."""
     shared, both = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
@@ -184,9 +243,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     in_shards = shared.select("node").distinct()
     whole, sketches = cut(sets.join(in_shards, "node", "left_semi")), cut(members.select("node", "fp", "sig", "size").join(in_shards, "node", "left_semi"))
     discard(sizes, again, met, sets, possible, one)
-    leaders = shared.groupBy("key").agg(F.min(F.struct("lone", "node")).alias("l"), F.count("*").alias("many")).select("key", F.col("l.node").alias("leader"), "many")
-    first = attach(shared, cut(leaders), ["key"], "many", shared.count()).filter("node <> leader")
-    pairs = cut(first.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    pairs = _by_trees(shared, sketches)
     links = _verified(pairs, sketches, whole)
     roots = cut(components(links))
     grouped = cut(shared.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -277,3 +277,23 @@ def test_texts_are_found_by_their_rarest_shingles(spark):
     want = {(i, j) for j in range(len(texts)) for i in range(j) if (i % 3 or j % 3) and i // 2 != j // 2 and similar(i, j)}
     got = [tuple(r) for r in N._rare(spark.createDataFrame([(i,) for i in own], "node long"), rows, sketches).collect()]
     assert len(want) > 100 and want <= set(got) and len(got) == len(set(got))
+
+
+def test_near_copies_are_searched_for_in_trees_of_fingerprints(spark):
+    """In a shard of several groups each text meets one of its own group, and parts of a large shard are linked; texts of no group meet none."""
+    from halospark.llm import near_copies as N
+
+    rng = random.Random(31)
+    texts = []
+    for _ in range(4):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+        texts += [base] + [edited(rng, base, 0.005) for _ in range(5)]
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(6)]
+    of = N._Hashes()
+    signed = lambda a: [int(v) for v in a.view("int64")]
+    sketches = spark.createDataFrame([(i, f[0] - (f[0] >> 63 << 64), signed(f[2]), f[3]) for i, f in enumerate(N.sketch(t, of) for t in texts)], "node long, fp long, sig array<long>, size int")
+    shared = spark.createDataFrame([(i, 7, i) for i in range(len(texts))], "node long, key long, lone long").repartition(3)
+    got = [tuple(r) for r in N._by_trees(shared, sketches).collect()]
+    assert sorted(got) == [(i - i % 6, i) for i in range(24) if i % 6]
+    large = spark.createDataFrame([(i, 7, i) for i in range(6)], "node long, key long, lone long")
+    assert sorted(tuple(r) for r in N._by_trees(large, sketches, tree=2).collect()) == [(0, i) for i in range(1, 6)]
