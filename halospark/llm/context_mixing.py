@@ -214,9 +214,9 @@ class WordContexts:
             np.add(h.view(np.int32), np.int32(self.offsets[k]), out=slots[k])
         return Events(slots, (step & 1).astype(np.uint8), np.minimum(place, PLACES - 1).astype(np.uint8), np.cumsum(sizes) - sizes)
 
-    def stream(self, texts):
-        """Events of texts, in parts of bounded size."""
-        for held in groups(texts, CHUNK):
+    def stream(self, texts, most: int = CHUNK):
+        """Events of texts, in parts of about `most` bytes."""
+        for held in groups(texts, most):
             ids, contexts, *_ = self.gather(held)
             yield self.events(ids, contexts)
 
@@ -248,12 +248,12 @@ class SpellingContexts:
             slots[k] += np.int32(self.offsets[k])
         return Events(slots, np.unpackbits(data), np.tile(np.arange(8, dtype=np.uint8), len(data)), 8 * (np.cumsum(sizes) - sizes))
 
-    def stream(self, words):
+    def stream(self, words, most: int = CHUNK):
         held, size = [], 0
         for w in words:
             held.append(w)
             size += len(w) + 1
-            if 4 * size > CHUNK:
+            if 4 * size > most:
                 yield self.events(held)
                 held, size = [], 0
         if held:

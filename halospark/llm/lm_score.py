@@ -36,8 +36,8 @@ FOLDS, SMOOTH, NOVEL = 10, 0.1, 50.0
 #: The step of a text's own weights and what holds it, and where in a text they learn: after 32 words and then 1.5 times as many each.
 OWN_RATE, OWN_CALM = 2.0, 50.0
 TURNS = np.array([int(32 * 1.5**k) for k in range(40)])
-#: Bytes of the texts that are scored together, and whose words are counted together.
-TOGETHER, COUNTED = 24_576, 4_000_000
+#: Bytes of the texts that are scored together, whose bits are counted together, and whose words are. No result depends on them.
+TOGETHER, BITS_OF, COUNTED = 98_304, 98_304, 4_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -135,10 +135,12 @@ def _bit_counts(rows: DataFrame, shared) -> DataFrame:
         for b in batches:
             tune = np.array(b.column(1).to_pylist(), bool)
             for f in (0, 1):
-                for e in contexts.stream(x.as_py() for x in b.column(0).filter(pa.array(tune == bool(f)))):
-                    one = np.ones(len(e.bits), np.uint32)
+                for e in contexts.stream((x.as_py() for x in b.column(0).filter(pa.array(tune == bool(f)))), BITS_OF):
                     for s in e.slots:
-                        np.add.at(seen[f], s.astype(np.int64) * 2 + e.bits, one)
+                        at = s.astype(np.int64)
+                        at *= 2
+                        at += e.bits
+                        np.add.at(seen[f], at, np.uint32(1))
         full = np.flatnonzero(seen.reshape(2, -1, 2 * BLOCK).any(axis=(0, 2)))
         for k in range(0, len(full), 32):
             part = full[k : k + 32].tolist()

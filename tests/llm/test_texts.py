@@ -318,3 +318,18 @@ def test_drop_contaminated_decides_by_row(spark):
     kept = D.drop_contaminated(frame(spark, rows), spark.createDataFrame([(1, dirty)], "item_id long, text string"))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.filter("text is not null").collect()) == [(0, "clean row without an id"), (7, "clean row of a repeated id")]
     assert kept.filter("text is null").count() == 1
+
+
+def test_scores_are_made_of_many_texts_together(monkeypatch):
+    """op4: a call for every 64 KB of texts at most, with the scores that each text has by itself."""
+    texts = [" ".join(f"w{(k * 7919 + j * j) % 97}" for j in range(k % 400)) for k in range(300)]
+    tokens = [w for t in texts for w in LM.tokens_of(t)]
+    head = sorted(set(tokens))[10:]
+    contexts = LM.WordContexts(head, np.array([float(tokens.count(w)) for w in head]), 50, len(texts), 16)
+    table = np.random.default_rng(4).integers(-40, 40, int(contexts.offsets[-1])).astype(np.int8)
+    scorer = LM.Texts(LM.Model(contexts, table, LM.Mixer(3)), np.zeros(len(head)), 0.0)
+    calls, events = [], LM.WordContexts.events
+    monkeypatch.setattr(LM.WordContexts, "events", lambda self, *a: calls.append(1) or events(self, *a))
+    got, many, size = scorer.score(texts), len(calls), sum(map(len, texts))
+    alone = [scorer.score([t])[0] for t in texts]
+    assert size > 150_000 and many <= size // 65_536 + 1 and [g[:3] for g in got] == [a[:3] for a in alone] and np.allclose([g[3] for g in got], [a[3] for a in alone], rtol=1e-12)
