@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
-from .graph import components
+from .graph import components, joined
 
 
 #: Candidate pairs that are looked at together.
@@ -37,17 +37,7 @@ def local_labels(ids: np.ndarray, pos: np.ndarray, b: float) -> np.ndarray:
     order = np.argsort(key, kind="stable")
     keys, first, count = np.unique(key[order], return_index=True, return_counts=True)
     pos_s, m = pos[order], len(keys)
-    up = np.arange(m)  # the smallest cell of a cell's set, or on the way to it
-
-    def join(one, two):
-        nonlocal up
-        one, two = up[one], up[two]
-        while (apart := one != two).any():
-            one, two = one[apart], two[apart]
-            np.minimum.at(up, np.maximum(one, two), np.minimum(one, two))
-            while not np.array_equal(higher := up[up], up):
-                up = higher
-            one, two = up[one], up[two]
+    up = np.arange(m)  # the smallest cell of a cell's set
 
     for o in _REACH:
         to = keys + (o[0] * side[1] + o[1]) * side[2] + o[2]
@@ -64,14 +54,14 @@ def local_labels(ids: np.ndarray, pos: np.ndarray, b: float) -> np.ndarray:
                 u, v = (slice(first[c[now[0]]], first[c[now[0]]] + count[c[now[0]]]) for c in (one, two))
                 rows = max(1, TOGETHER // count[two[now[0]]])
                 if any((((pos_s[u][k : k + rows, None, :] - pos_s[v][None, :, :]) ** 2).sum(axis=2) <= b * b).any() for k in range(0, count[one[now[0]]], rows)):
-                    join(one[now], two[now])
+                    up = joined(up, one[now], two[now])
                 continue
             pair = np.repeat(now, size[now])
             at = np.arange(len(pair)) - np.repeat(np.cumsum(size[now]) - size[now], size[now])
             i, j = first[one[pair]] + at // count[two[pair]], first[two[pair]] + at % count[two[pair]]
             near = ((pos_s[i] - pos_s[j]) ** 2).sum(axis=1) <= b * b
             found = np.unique(pair[near])
-            join(one[found], two[found])
+            up = joined(up, one[found], two[found])
     least = np.full(m, np.iinfo(np.int64).max)
     cells = np.repeat(np.arange(m), count)
     np.minimum.at(least, up[cells], ids[order])

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut, discard
 
 
+def joined(up: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Inside a task: `up`, the smallest member of each one's set, after the sets of one[k] and two[k] became one."""
+    one, two = up[one], up[two]
+    while (apart := one != two).any():
+        one, two = one[apart], two[apart]
+        np.minimum.at(up, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(higher := up[up], up):
+            up = higher
+        one, two = up[one], up[two]
+    return up
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) long pairs -> (node, root): the smallest node of each connected component, for every node that a pair names.
 
