@@ -14,8 +14,8 @@ from ..scratch import cut
 from .graph import components, joined
 
 
-#: Candidate pairs that are looked at together.
-TOGETHER = 4_000_000
+#: Candidate pairs that are looked at together; points of a cell that are tried before all of them are.
+TOGETHER, GLANCE = 4_000_000, 4
 
 
 #: Half of the cells, of an edge of a link's length over the root of 3, that a link can reach, the nearest first.
@@ -26,7 +26,8 @@ def local_labels(ids: np.ndarray, pos: np.ndarray, b: float) -> np.ndarray:
     """The smallest id of each point's group, linking points at most b apart.
 
     Cells are so small that all points of one are linked, so sets are of cells. The points of two cells are compared, TOGETHER pairs at
-    a time and the nearest cells first, only while these are in different sets; so a dense cluster costs about its cells, not its pairs."""
+    a time and the nearest cells first, only while these are in different sets, a few points of each before all; so a dense cluster costs about
+    its cells, not its pairs."""
     n = len(ids)
     if n < 2:
         return ids.copy()
@@ -36,15 +37,13 @@ def local_labels(ids: np.ndarray, pos: np.ndarray, b: float) -> np.ndarray:
     key = (cell[:, 0] * side[1] + cell[:, 1]) * side[2] + cell[:, 2]
     order = np.argsort(key, kind="stable")
     keys, first, count = np.unique(key[order], return_index=True, return_counts=True)
-    pos_s, m = pos[order], len(keys)
+    axes, m = np.ascontiguousarray(pos[order].T), len(keys)
     up = np.arange(m)  # the smallest cell of a cell's set
 
-    for o in _REACH:
-        to = keys + (o[0] * side[1] + o[1]) * side[2] + o[2]
-        there = np.minimum(np.searchsorted(keys, to), m - 1)
-        one = np.flatnonzero((keys[there] == to) & (up[there] != up))
-        two = there[one]
-        size = count[one] * count[two]
+    def meet(one, two, held):
+        """Joins cells one[k] and two[k] where the first `held` points of each have a link."""
+        nonlocal up
+        size = held[one] * held[two]
         s = 0
         while s < len(one):
             e = max(s + 1, int(np.searchsorted(np.cumsum(size[s:]), TOGETHER, "right")) + s)
@@ -53,15 +52,23 @@ def local_labels(ids: np.ndarray, pos: np.ndarray, b: float) -> np.ndarray:
             if len(now) == 1 and size[now[0]] > TOGETHER:
                 u, v = (slice(first[c[now[0]]], first[c[now[0]]] + count[c[now[0]]]) for c in (one, two))
                 rows = max(1, TOGETHER // count[two[now[0]]])
-                if any((((pos_s[u][k : k + rows, None, :] - pos_s[v][None, :, :]) ** 2).sum(axis=2) <= b * b).any() for k in range(0, count[one[now[0]]], rows)):
+                if any((sum((p[u][k : k + rows, None] - p[v]) ** 2 for p in axes) <= b * b).any() for k in range(0, count[one[now[0]]], rows)):
                     up = joined(up, one[now], two[now])
                 continue
             pair = np.repeat(now, size[now])
             at = np.arange(len(pair)) - np.repeat(np.cumsum(size[now]) - size[now], size[now])
-            i, j = first[one[pair]] + at // count[two[pair]], first[two[pair]] + at % count[two[pair]]
-            near = ((pos_s[i] - pos_s[j]) ** 2).sum(axis=1) <= b * b
+            i, j = first[one[pair]] + at // held[two[pair]], first[two[pair]] + at % held[two[pair]]
+            near = sum((p[i] - p[j]) ** 2 for p in axes) <= b * b
             found = np.unique(pair[near])
             up = joined(up, one[found], two[found])
+
+    for o in _REACH:
+        to = keys + (o[0] * side[1] + o[1]) * side[2] + o[2]
+        there = np.minimum(np.searchsorted(keys, to), m - 1)
+        one = np.flatnonzero((keys[there] == to) & (up[there] != up))
+        meet(one, there[one], np.minimum(count, GLANCE))
+        one = one[(up[one] != up[there[one]]) & (np.maximum(count[one], count[there[one]]) > GLANCE)]
+        meet(one, there[one], count)
     least = np.full(m, np.iinfo(np.int64).max)
     cells = np.repeat(np.arange(m), count)
     np.minimum.at(least, up[cells], ids[order])
@@ -71,13 +78,15 @@ def local_labels(ids: np.ndarray, pos: np.ndarray, b: float) -> np.ndarray:
 
 
 def _blocks(df: DataFrame, b: int, box: int, edge: int) -> DataFrame:
-    """Rows of df dealt to blocks of the given edge, and copies (ghosts) in each block they are at most b away from, moved next to it."""
+    """Rows of df dealt to blocks of the given edge, and copies (ghosts) in each block they are at most b away from, moved next to it.
+    _own: the row's own block; _shared: it has copies."""
     n = box // edge
+    df = df.withColumns({"_own": F.lit(True), "_shared": F.lit(False)})
     for c in "xyz":
         own = F.expr(f"{c} div {edge}")
         low, high = F.col(c) - own * edge <= b, (own + 1) * edge - F.col(c) <= b
         options = F.array_compact(F.array(own, F.when(low, own - 1), F.when(high, own + 1)))
-        df = df.withColumn(f"_b{c}", F.explode(options))
+        df = df.withColumns({f"_b{c}": F.explode(options), "_shared": F.col("_shared") | low | high}).withColumn("_own", F.col("_own") & (F.col(f"_b{c}") == own))
         df = df.withColumn(f"_p{c}", F.when(F.col(f"_b{c}") < 0, F.col(c) + box).when(F.col(f"_b{c}") >= n, F.col(c) - box).otherwise(F.col(c)))
         df = df.withColumn(f"_b{c}", F.pmod(F.col(f"_b{c}"), F.lit(n)))
     return df.withColumn("_block", (F.col("_bx") * n + F.col("_by")) * n + F.col("_bz"))
@@ -104,19 +113,17 @@ def _halvings(rows: DataFrame, b: int, edge: int, most: int) -> DataFrame:
 
 
 def _parts(df: DataFrame, b: int, box: int, edge: int, halvings: DataFrame) -> DataFrame:
-    """As _blocks(), but blocks in halvings are cut in parts. A part is over 2 b wide, so it is at most b away from a row exactly if it
-    holds one of the points that are b below, at or b above the row along each axis."""
-    n = box // edge
+    """As _blocks(), but blocks in halvings are cut in parts: a row goes to the parts of a block between b below and b above it along each
+    axis, and to no part twice."""
+    df = _blocks(df, b, box, edge).join(halvings, ["_bx", "_by", "_bz"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
     for c in "xyz":
-        df = df.withColumn(f"_t{c}", F.explode(F.array(*(F.col(c) + d for d in (-b, 0, b)))))
-        df = df.withColumn(f"_p{c}", F.when(F.col(f"_t{c}") < 0, F.col(c) + box).when(F.col(f"_t{c}") >= box, F.col(c) - box).otherwise(F.col(c)))
-        df = df.withColumn(f"_t{c}", F.pmod(f"_t{c}", F.lit(box))).withColumn(f"_b{c}", F.expr(f"_t{c} div {edge}"))
-    df = df.join(halvings, ["_bx", "_by", "_bz"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
-    part = [F.expr(f"(_t{c} % {edge}) div shiftright({edge}, _k)") for c in "xyz"]
-    block = (F.col("_bx") * n + F.col("_by")) * n + F.col("_bz")
-    for p in part:
-        block = block * edge + p
-    return df.withColumn("_block", block).dropDuplicates(["id", "_block"])
+        inside = F.col(f"_p{c}") - F.col(f"_b{c}") * edge
+        ends = (F.least(F.greatest(inside + d, F.lit(0)), F.lit(edge - 1)).cast("long") for d in (-b, b))
+        df = df.withColumns({f"_from{c}": next(ends), f"_to{c}": next(ends)}).withColumns({v: F.expr(f"{v} div shiftright({edge}, _k)") for v in (f"_from{c}", f"_to{c}")})
+        df = df.withColumns({"_shared": F.col("_shared") | (F.col(f"_from{c}") < F.col(f"_to{c}")), f"_s{c}": F.explode(F.sequence(f"_from{c}", f"_to{c}"))})
+        df = df.withColumn("_own", F.col("_own") & (F.expr(f"cast(_p{c} - _b{c} * {edge} as long) div shiftright({edge}, _k)") == F.col(f"_s{c}")))
+        df = df.withColumn("_block", F.col("_block") * edge + F.col(f"_s{c}"))
+    return df
 
 
 def block_edge(b: int, box: int, blocks: int) -> int:
@@ -133,7 +140,8 @@ def fof_groups(particles: DataFrame, b: int, box: int, blocks: int | None = None
     """(key, label): the smallest key of each particle's group, linking particles at most b apart (inclusive, periodic).
 
     Blocks with ghosts of width b are grouped by themselves, one task's rows at a time; ghosts that got two labels give edges
-    of a graph of labels, which only holds labels at block faces and whose components merge the groups. The number of
+    of a graph of labels, which only holds labels at block faces and whose components merge the groups. Only rows that are in several blocks are
+    put together by key, and only members of groups that have such rows meet the graph. The number of
     blocks an axis follows the particles' number by default, 8 at least, and sets how many a task holds at once; a block of over `most`
     particles is halved until its parts hold no more, as far as the linking length lets it."""
     if blocks is None:
@@ -144,18 +152,21 @@ def fof_groups(particles: DataFrame, b: int, box: int, blocks: int | None = None
     rows = particles.select(F.col(key).alias("id"), "x", "y", "z")
     halvings = _halvings(rows, b, edge, most)
     dealt = _blocks(rows, b, box, edge) if halvings.isEmpty() else _parts(rows, b, box, edge, halvings)
-    dealt = dealt.select("_block", "id", F.col("_px").cast("double").alias("x"), F.col("_py").cast("double").alias("y"), F.col("_pz").cast("double").alias("z"))
+    dealt = dealt.select("_block", "id", F.col("_px").cast("double").alias("x"), F.col("_py").cast("double").alias("y"), F.col("_pz").cast("double").alias("z"), F.col("_shared").alias("shared"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy(np.int64)
-        return pd.DataFrame({"id": ids, "label": local_labels(ids, pdf[["x", "y", "z"]].to_numpy(float), float(b))})
-
-    local = cut(dealt.groupBy("_block").applyInPandas(group, "id long, label long"))
-    label = local.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
-    edges = local.join(label.filter("label <> other").select("id", F.col("label").alias("low")), "id").select(F.col("label").alias("a"), F.col("low").alias("b"))
+        ids, shared = pdf["id"].to_numpy(np.int64), pdf["shared"].to_numpy(bool)
+        label = local_labels(ids, pdf[["x", "y", "z"]].to_numpy(float), float(b))
+        return pd.DataFrame({"id": ids, "label": label, "shared": shared, "met": np.isin(label, label[shared])})
+
+    local = cut(dealt.groupBy("_block").applyInPandas(group, "id long, label long, shared boolean, met boolean"))
+    copies = local.filter("shared").select("id", "label")
+    label = copies.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    edges = copies.join(label.filter("label <> other").select("id", F.col("label").alias("low")), "id").select(F.col("label").alias("a"), F.col("low").alias("b"))
     roots = components(edges)
-    merged = label.join(roots, F.col("label") == F.col("node"), "left")
-    return merged.select(F.col("id").alias(key), F.coalesce("root", "label").alias("label"))
+    open_ = local.filter("met and not shared").select("id", "label").unionByName(label.select("id", "label"))
+    merged = open_.join(roots, F.col("label") == F.col("node"), "left").select("id", F.coalesce("root", "label").alias("label"))
+    return local.filter("not met").select("id", "label").unionByName(merged).withColumnRenamed("id", key)
 
 
 def boundary_class(particles: DataFrame, labels: DataFrame, b: int, slab: int, key: str = "indx") -> DataFrame:
@@ -173,14 +184,14 @@ def unwrap(members: DataFrame, b: int, box: int, group: str = "hid") -> DataFram
     Where a group touches both faces of an axis, it is cut at the first gap over 1.5 b along it, and the part above is moved down by the
     box. Gaps are looked for between bins no wider than that, from their least and greatest places, so no group is sorted."""
     wide = max(1, int(1.5 * b))
-    for c in "xyz":
-        touch = members.groupBy(group).agg(((F.min(c) <= b) & (F.max(c) >= box - b)).alias("_cut")).filter("_cut").select(group)
-        flagged = members.join(touch, group, "left_semi")
-        bins = flagged.groupBy(group, F.floor(F.col(c) / wide).alias("_bin")).agg(F.min(c).alias("_low"), F.max(c).alias("_high"))
-        before = F.lag("_high").over(Window.partitionBy(group).orderBy("_bin"))  # box / wide bins at most
-        gaps = bins.withColumn("_before", before).filter(F.col("_low") - F.col("_before") > 1.5 * b).groupBy(group).agg(F.min("_low").alias("_from"))
-        members = cut(members.join(gaps, group, "left").withColumn(c, F.when(F.col(c) >= F.col("_from"), F.col(c) - box).otherwise(F.col(c))).drop("_from"))
-    return members
+    touch = members.groupBy(group).agg(*(((F.min(c) <= b) & (F.max(c) >= box - b)).alias(f"_cut{c}") for c in "xyz")).filter("_cutx or _cuty or _cutz")
+    along = F.array_compact(F.array(*(F.when(F.col(f"_cut{c}"), F.struct(F.lit(c).alias("_axis"), F.col(c).alias("_v"))) for c in "xyz")))
+    flagged = members.join(touch, group).select(group, F.explode(along).alias("_e")).select(group, "_e.*")
+    bins = flagged.groupBy(group, "_axis", F.floor(F.col("_v") / wide).alias("_bin")).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    before = F.lag("_high").over(Window.partitionBy(group, "_axis").orderBy("_bin"))  # box / wide bins at most
+    gaps = bins.withColumn("_before", before).filter(F.col("_low") - F.col("_before") > 1.5 * b).groupBy(group).agg(*(F.min(F.when(F.col("_axis") == c, F.col("_low"))).alias(f"_from{c}") for c in "xyz"))
+    moved = {c: F.when(F.col(c) >= F.col(f"_from{c}"), F.col(c) - box).otherwise(F.col(c)) for c in "xyz"}
+    return members.join(gaps, group, "left").withColumns(moved).select(*members.columns)
 
 
 #: Rows of a range, on average, at most.
